@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,16 @@ def _order_ids(table: pa.Table) -> np.ndarray:
     return ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64) if len(table) else np.zeros(0, np.int64)
 
 
+def _settled(table: pa.Table) -> pa.Table:
+    """The rows of a text shard by doc_id and text: a shuffle brings them in another order each time, and places
+    found by one task are read by another."""
+    ids = _order_ids(table)
+    by = np.argsort(ids, kind="stable")
+    if len(ids) and (np.diff(ids[by]) == 0).any():
+        by = pc.sort_indices(table.select([_ID, _TEXT]), sort_keys=[(_ID, "ascending"), (_TEXT, "ascending")])
+    return table.take(pa.array(by)).combine_chunks()
+
+
 def _anchors(table: pa.Table, window: int, anchor: int) -> pa.Table:
     words = split_words(table.column(_TEXT), NON_SPACE)
     values, starts, _ = _segments(words, words.hashes()[words.ids] if words.n else np.zeros(0, np.uint64), window, anchor)
@@ -110,6 +121,7 @@ def _packs(left: pa.Table, shared: pa.Table, homes: int, window: int, anchor: in
     empty = pa.table({n: pa.array([], t) for n, t in (("shard", pa.int64()), ("home", pa.int32()), *((c, pa.binary()) for c in ("rows", "starts", "lengths", "least", "most", "ends", "words")))})
     if not len(left) or not len(shared):
         return empty
+    left = _settled(left)
     words = split_words(left.column(_TEXT), NON_SPACE)
     ids = words.hashes()[words.ids] if words.n else np.zeros(0, np.uint64)
     values, starts, windows = _segments(words, ids, window, anchor)
@@ -275,6 +287,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, sh
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
     def finish(left: pa.Table, back: pa.Table) -> pa.Table:
+        left = _settled(left)
         words = split_words(left.column(_TEXT), NON_SPACE)
         gone = _removed(left, back, words, window)
         stay = np.flatnonzero(~gone)
