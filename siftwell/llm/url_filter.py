@@ -123,7 +123,12 @@ def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     """All keys of a url that a rule could have, longest first (of equal ones that with the longer host)."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    by_length = [F.transform(F.when(F.length(path) >= n, suffixes).otherwise(F.array().cast("array<string>")), lambda s, n=n: F.concat(s, F.lit("\n"), F.substr(path, F.lit(1), F.lit(n)))) for n in lengths]
+
+    def with_prefix(n: int) -> Column:
+        fitting = F.when(F.length(path) >= n, suffixes).otherwise(F.array().cast("array<string>"))
+        return F.transform(fitting, lambda s: F.concat(s, F.lit("\n"), F.substr(path, F.lit(1), F.lit(n))))
+
+    by_length = [with_prefix(n) for n in lengths]
     keys = F.concat(*by_length)
     rank = F.transform(keys, lambda k: F.struct((-F.length(k)).alias("size"), F.instr(k, "\n").alias("host") * -1, k.alias("key")))
     return F.transform(F.array_sort(rank), lambda x: x["key"])
