@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, quality_rules, sharding, substring_dedup, url_filter
+from . import decontaminate, language_id, near_dup, packing, pu_classifier, quality_rules, sharding, substring_dedup, url_filter
 from .frames import table
 
 
@@ -52,6 +52,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
@@ -60,6 +68,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 _WORDS2 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
