@@ -39,7 +39,7 @@ SHARD_BYTES = 6 << 20
 COMMON = 512
 _LAST = np.iinfo(np.int64).max  # order of a null doc_id: after all others
 _SHARD, _TEXT, _ID = own("shard"), own("text"), own("doc_id")
-_PACK = "shard long, home int, rows binary, starts binary, lengths binary, least binary, most binary, ends binary, words binary"
+_PACK = "shard long, home int, rows binary, starts binary, lengths binary, least binary, more binary, words binary"
 _BACK = "shard long, rows binary, starts binary, least binary"
 
 
@@ -117,8 +117,10 @@ def _span_keys(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 def _packs(left: pa.Table, shared: pa.Table, homes: int, window: int, anchor: int, common: int) -> pa.Table:
-    """What a text shard sends: for each index shard, distinct spans with their place here and least and largest doc_id."""
-    empty = pa.table({n: pa.array([], t) for n, t in (("shard", pa.int64()), ("home", pa.int32()), *((c, pa.binary()) for c in ("rows", "starts", "lengths", "least", "most", "ends", "words")))})
+    """What a text shard sends: for each index shard, distinct spans with their place here, their least doc_id, how
+    much larger the largest one is, and their words, a space after each. In order of place, so that all of it packs
+    well."""
+    empty = pa.table({n: pa.array([], t) for n, t in (("shard", pa.int64()), ("home", pa.int32()), *((c, pa.binary()) for c in ("rows", "starts", "lengths", "least", "more", "words")))})
     if not len(left) or not len(shared):
         return empty
     left = _settled(left)
@@ -144,12 +146,13 @@ def _packs(left: pa.Table, shared: pa.Table, homes: int, window: int, anchor: in
     begin, length = begin[pick], length[pick]
     route = np.where(is_single[pick], run_hash(keys[pick], 1, 3), run_hash(np.concatenate([values[few], np.zeros(len(single), np.uint64)])[pick], 1, 5))
     home = (route % np.uint64(homes)).astype(np.int64)
-    by = np.argsort(home, kind="stable")
+    by = np.lexsort((begin, home))
     begin, length, least, most, home = begin[by], length[by], least[by], most[by], home[by]
     flat = _gather(begin, length)
     sizes = (words.ends - words.starts)[flat]
-    raw = words.data[_gather(words.starts[flat], sizes)]
-    word_ends = np.cumsum(sizes)
+    word_ends = np.cumsum(sizes + 1)
+    raw = np.full(int(word_ends[-1]) if len(flat) else 0, 0x20, np.uint8)
+    raw[_gather(word_ends - sizes - 1, sizes)] = words.data[_gather(words.starts[flat], sizes)]
     cuts = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home)) if len(home) else np.zeros(1, np.int64)
     rows = words.doc[begin]
     places = begin - words.first[:-1][rows]
@@ -158,8 +161,8 @@ def _packs(left: pa.Table, shared: pa.Table, homes: int, window: int, anchor: in
     shard = left.column(_SHARD)[0].as_py()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         w0, w1 = in_words[a], in_words[b]
-        b0 = word_ends[w0 - 1] if w0 else 0
-        for c, v in (("shard", shard), ("home", int(home[a])), ("rows", rows[a:b].astype(np.int32).tobytes()), ("starts", places[a:b].astype(np.int32).tobytes()), ("lengths", length[a:b].astype(np.int32).tobytes()), ("least", least[a:b].tobytes()), ("most", most[a:b].tobytes()), ("ends", (word_ends[w0:w1] - b0).astype(np.int32).tobytes()), ("words", raw[b0 : word_ends[w1 - 1]].tobytes())):
+        text = raw[word_ends[w0 - 1] if w0 else 0 : word_ends[w1 - 1]]
+        for c, v in (("shard", shard), ("home", int(home[a])), ("rows", rows[a:b].astype(np.int32).tobytes()), ("starts", places[a:b].astype(np.int32).tobytes()), ("lengths", length[a:b].astype(np.int32).tobytes()), ("least", least[a:b].tobytes()), ("more", (most - least)[a:b].tobytes()), ("words", text.tobytes())):
             out[c].append(v)
     return pa.table(out, schema=empty.schema)
 
@@ -205,11 +208,13 @@ def _match(table: pa.Table, window: int) -> pa.Table:
     columns = {c: table.column(c).to_pylist() for c in table.column_names if c != "home"}
     ints = lambda c, kind: [np.frombuffer(x, kind) for x in columns[c]]
     lengths, rows, starts = (np.concatenate(ints(c, np.int32)).astype(np.int64) for c in ("lengths", "rows", "starts"))
-    least, most = (np.concatenate(ints(c, np.int64)) for c in ("least", "most"))
+    least, more = (np.concatenate(ints(c, np.int64)) for c in ("least", "more"))
+    most = least + more
     sender = np.repeat(np.arange(len(table)), [len(x) // 4 for x in columns["rows"]])
-    sizes = np.concatenate([np.diff(x, prepend=0) for x in ints("ends", np.int32)])
-    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
-    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(columns["words"]))]).dictionary_encode()
+    raw = np.frombuffer(b"".join(columns["words"]), np.uint8)
+    space = raw == 0x20
+    offsets = np.append(0, np.flatnonzero(space) - np.arange(int(space.sum())))
+    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[~space]))]).dictionary_encode()
     ids = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     head = np.cumsum(lengths + 1) - lengths - 1
     symbols = np.zeros(int(lengths.sum()) + len(lengths), np.int64)
