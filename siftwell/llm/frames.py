@@ -41,13 +41,15 @@ def pieces(total: float, each: float) -> int:
     return max(1, math.ceil(total / each))
 
 
-def gapless(df: DataFrame, group: str, order: list[str], out: str, rows: int, each: int = 200_000) -> DataFrame:
+def gapless(df: DataFrame, group: str, order: list[str], out: str, rows: int) -> DataFrame:
     """Numbers the rows of every group from 0 without gaps, though no task sees a whole group.
 
     A group's rows are dealt over hash buckets of the order columns; a bucket's rows are numbered in that order,
     beginning after all rows of the group's earlier buckets. Rows equal in all order columns are interchangeable.
-    The counts table has a row for each group and bucket.
+    Of n rows a bucket holds the root, 1000 at least, so the counts table, with a row for each group and bucket, stays
+    as small as a bucket.
     """
+    each = max(1000, math.isqrt(rows))
     bucket, before, size, within = own("bucket"), own("before"), own("size"), own("within")
     dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(pieces(rows, each))).cast("int"))
     counts = dealt.groupBy(group, bucket).agg(F.count("*").alias(size))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dup, packing, pu_classifier, quality_rules, sharding, substring_dedup, url_filter
+from . import decontaminate, language_id, near_dup, packing, pu_classifier, quality_rules, sharding, substring_dedup, url_filter, warc
 from .frames import table
 
 
@@ -56,6 +56,23 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """A capture log of all pages: page n is fetched at minute n and asked for again a day later, when its server
+    answers not-modified with the page's entity tag and a new date. Where pages share a canonical url, the latest
+    earlier response can be another page's, whose tag then differs."""
+    tag = F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    base = pages.select("page_id", "url", tag.alias("tag"), F.octet_length("html").cast("string").alias("size"))
+    minute = lambda day: F.timestamp_seconds(F.lit(1704067200) + F.lit(86400 * day) + F.col("page_id") * 60)
+    full = base.select(F.concat(F.lit("r"), "page_id").alias("record_id"), F.lit("response").alias("record_type"), "url", minute(0).alias("ts"), F.map_from_arrays(F.array(F.lit("etag"), F.lit("content-length"), F.lit("date")), F.array(F.concat(F.lit('W/"'), "tag", F.lit('"')), "size", F.col("page_id").cast("string"))).alias("headers"), F.col("tag").alias("payload_digest"))
+    again = base.select(F.concat(F.lit("v"), "page_id").alias("record_id"), F.lit("revisit").alias("record_type"), "url", minute(1).alias("ts"), F.map_from_arrays(F.array(F.lit("etag"), F.lit("content-length"), F.lit("date")), F.array(F.concat(F.lit('"'), "tag", F.lit('"')), F.lit("0"), F.concat("page_id", F.lit("+1")))).alias("headers"), F.lit(None).cast("string").alias("payload_digest"))
+    return full.unionByName(again)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical_url", "resolved_id", "outcome", *(F.col("headers")[h].alias(n) for h, n in (("etag", "etag"), ("content-length", "size"), ("date", "date"))))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -69,6 +86,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
 
@@ -110,4 +128,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
        sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
               ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '') END) AS kept_sha256
 FROM d LEFT JOIN l USING (r)""",
+    "op9_warc": r"""
+WITH u AS (SELECT page_id, md5(coalesce(html, '')) AS tag, CAST(strlen(html) AS VARCHAR) AS size,
+             CASE WHEN instr(url, '://') > 0 THEN regexp_replace(substr(url, instr(url, '://') + 3), '#.*', '', 's') END AS rest FROM pages),
+p AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', '') AS host,
+             regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS path,
+             array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)', 1), '&'),
+               lambda q: q <> '' AND split_part(q, '=', 1) NOT IN ('ref', 'fbclid', 'gclid', 'sessionid') AND NOT starts_with(q, 'utm_'))), '&') AS q FROM u),
+c AS (SELECT page_id, tag, size, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canon FROM p),
+m AS (SELECT v.page_id, max_by(r.page_id, r.page_id) AS rid FROM c v LEFT JOIN c r ON v.canon = r.canon AND r.page_id < v.page_id + 1440 GROUP BY v.page_id)
+SELECT 'v' || v.page_id AS record_id, v.canon AS canonical_url, 'r' || rid AS resolved_id,
+       CASE WHEN rid IS NULL THEN 'missing' WHEN r.tag = v.tag THEN 'resolved' ELSE 'changed' END AS outcome,
+       '"' || v.tag || '"' AS etag, CASE WHEN r.tag = v.tag THEN r.size ELSE '0' END AS size, v.page_id || '+1' AS "date"
+FROM c v JOIN m USING (page_id) LEFT JOIN c r ON r.page_id = m.rid""",
 }
