@@ -1,8 +1,9 @@
-"""Registered queries over the given tables, with the SQL that checks them."""
+"""All registered queries of the library itself, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
 
+from . import q_graph, q_knowledge, q_search, q_tables, q_text  # noqa: F401  (they register their queries)
+from .q_search import flagship
+from .registry import ORACLE, QUERIES
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE", "QUERIES", "flagship"]
