@@ -48,12 +48,7 @@ class Encoder:
     _made: dict = {}
 
     def __init__(self, vocabulary: Vocabulary):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary.path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.vocabulary, self.slow, self.fast = vocabulary, None, None
         if vocabulary.ranks:
             import base64
 
@@ -63,6 +58,15 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding(f"siftwell {vocabulary.ranks}", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def _exact(self, text: str) -> list[int]:
+        if self.slow is None:  # large, and most workers never need it
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.vocabulary.path)
+            self.slow.encode_special_tokens = True
+        return self.slow.encode(text, add_special_tokens=False).ids
+
     @classmethod
     def of(cls, vocabulary: Vocabulary) -> Encoder:
         if vocabulary not in cls._made:
@@ -82,7 +86,7 @@ class Encoder:
             elif self.fast is not None and high <= _LATIN_LEAD:
                 yield np.array(self.fast.encode_ordinary(text), np.uint32)
             else:
-                yield np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+                yield np.array(self._exact(text), np.uint32)
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:

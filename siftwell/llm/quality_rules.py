@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .words import NON_SPACE, Words, blocks, column_bytes, covered, per_doc, rows_of, split_words
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _ADDED = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("ratio", T.DoubleType()), ("chunk_low", T.DoubleType()), ("chunk_high", T.DoubleType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 

@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 
 from .fm_index import FMIndex
 from .frames import own, pieces, text_bytes
-from .words import NON_SPACE, Words, covered, per_doc, run_hash, sliding_min, split_words
+from .words import NON_SPACE, Words, covered, per_doc, release, run_hash, sliding_min, split_words
 
 WINDOW, ANCHOR = 13, 5
 #: UTF-8 bytes of text in a text shard, on average.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: An anchor of more documents sends single windows.
 COMMON = 512
 _LAST = np.iinfo(np.int64).max  # order of a null doc_id: after all others
@@ -64,6 +64,12 @@ def _order_ids(table: pa.Table) -> np.ndarray:
     return ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64) if len(table) else np.zeros(0, np.int64)
 
 
+def _freeing(step, *args) -> pa.Table:
+    out = step(*args)
+    release()
+    return out
+
+
 def _settled(table: pa.Table) -> pa.Table:
     """The rows of a text shard by doc_id and text: a shuffle brings them in another order each time, and places
     found by one task are read by another."""
@@ -283,11 +289,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, sh
         *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns, strict=True) if c not in ("doc_id", "text")),
     )
     dealt = plain.repartition(_SHARD)
-    asked = dealt.groupBy(_SHARD).applyInArrow(lambda t: _anchors(t, window, anchor), f"{_SHARD} long, anchor long, docs int")
+    asked = dealt.groupBy(_SHARD).applyInArrow(lambda t: _freeing(_anchors, t, window, anchor), f"{_SHARD} long, anchor long, docs int")
     total = F.sum("docs").over(Window.partitionBy("anchor"))
     shared = asked.withColumn("docs", total).filter("docs > 1")
-    packs = dealt.groupBy(_SHARD).cogroup(shared.groupBy(_SHARD)).applyInArrow(lambda a, b: _packs(a, b, shards, window, anchor, common), _PACK)
-    answers = packs.groupBy("home").applyInArrow(lambda t: _match(t, window), _BACK)
+    packs = dealt.groupBy(_SHARD).cogroup(shared.groupBy(_SHARD)).applyInArrow(lambda a, b: _freeing(_packs, a, b, shards, window, anchor, common), _PACK)
+    answers = packs.groupBy("home").applyInArrow(lambda t: _freeing(_match, t, window), _BACK)
     kept = [f for f in plain.schema.fields if f.name != _SHARD]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 
@@ -311,7 +317,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, sh
         arrays = [*(left.column(f.name) for f in kept), pa.array(words.counts), pa.array(per_doc(gone, words.first)), data, spans]
         return pa.table(arrays, names=[*(f.name for f in kept), "n_words", "n_removed", "kept_text", "spans"])
 
-    out = dealt.groupBy(_SHARD).cogroup(answers.groupBy("shard")).applyInArrow(finish, schema)
+    out = dealt.groupBy(_SHARD).cogroup(answers.groupBy("shard")).applyInArrow(lambda a, b: _freeing(finish, a, b), schema)
     back = [F.col({"doc_id": _ID, "text": _TEXT}.get(c, n)).alias(c) for c, n in zip(docs.columns, columns, strict=True)]
     return out.select(*back, "n_words", "n_removed", "kept_text", "spans")
 

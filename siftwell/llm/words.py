@@ -6,6 +6,7 @@ a non-ASCII character is 0x80 or above), so a 256-entry table finds the words wi
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BYTES = np.arange(256)
 #: Words are runs of anything but space and \t \n \v \f \r.
 NON_SPACE = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
@@ -156,6 +158,18 @@ def per_doc(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def rows_of(batches):
     """Batches that have rows."""
-    return (b for b in batches if b.num_rows)
+    for k, batch in enumerate(batches):
+        if k:
+            release()
+        if batch.num_rows:
+            yield batch
+    release()
