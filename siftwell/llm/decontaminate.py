@@ -161,8 +161,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     exclusive), item_ids (strings, sorted: items of which a window occurs) and n_hit (words in spans).
 
     Null and empty texts have no words; items without words are never found. Repeated rows are judged each by
-    itself. benchmark has item_id and text; it is read by the driver in blocks of a checked size.
+    itself. Earlier columns of the new names are replaced. benchmark has item_id and text; it is read by the driver in
+    blocks of a checked size.
     """
+    docs = docs.drop("n_words", "spans", "item_ids", "n_hit")
     spark = docs.sparkSession
     chosen = benchmark.select("item_id", "text")
     n_blocks = max(1, -(-text_bytes(chosen) // block_bytes))

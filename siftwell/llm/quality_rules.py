@@ -27,8 +27,8 @@ _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 class Bands:
     """Allowed zstandard ratios. Each limit holds for inputs of at least so many bytes, up to the next one's."""
 
-    document: tuple[tuple[int, float, float], ...] = ((0, 0.0, 1e9), (256, 0.30, 0.95), (1024, 0.28, 0.85), (4096, 0.24, 0.80), (16384, 0.20, 0.75))
-    chunk: tuple[tuple[int, float, float], ...] = ((0, 0.0, 1e9), (1024, 0.28, 0.85), (4096, 0.24, 0.80))
+    document: tuple[tuple[int, float, float], ...] = ((0, 0.0, 1e9), (256, 0.30, 0.95), (1024, 0.28, 0.80), (4096, 0.24, 0.72), (16384, 0.20, 0.68))
+    chunk: tuple[tuple[int, float, float], ...] = ((0, 0.0, 1e9), (1024, 0.28, 0.80), (4096, 0.24, 0.72))
     chunk_bytes: int = 4096
     level: int = 3
 

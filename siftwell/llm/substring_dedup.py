@@ -276,8 +276,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, sh
 
     A word goes if a window over it also starts in a document with a smaller doc_id; all windows are judged on the
     input. Rows with one doc_id never remove from each other; a null doc_id comes after all others. Null texts have
-    no words; texts of fewer words than a window lose none. Other columns pass through, whatever their names.
+    no words; texts of fewer words than a window lose none. Other columns pass through; earlier ones of the new names
+    are replaced.
     """
+    docs = docs.drop("n_words", "n_removed", "kept_text", "spans")
     if not anchor <= window or not 8 < window <= 17:
         raise ValueError("windows of 9 to 17 words are supported, anchors of at most a window")
     columns = [f"c{k}" for k in range(len(docs.columns))]
@@ -341,7 +343,8 @@ def _joined(words: Words, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated windows cut from text (n_chars, where there is one, follows it). A text that loses nothing stays as it is; one
     that loses all its words goes."""
-    found = find_repeats(docs).filter("n_removed = 0 OR n_removed < n_words")
+    held = [c if c in ("doc_id", "text", "n_chars") else f"in_{k}" for k, c in enumerate(docs.columns)]
+    found = find_repeats(docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(docs.columns, held, strict=True)))).filter("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     made = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text")) if "n_chars" in docs.columns else None}
-    return found.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns))
+    return found.select(*(made[c].alias(c) if c in made else F.col(h).alias(c) for c, h in zip(docs.columns, held, strict=True)))
