@@ -22,7 +22,7 @@ def sessions(events: DataFrame, at: str, seconds: float, *keys: str) -> DataFram
 
 
 def debounced(events: DataFrame, at: str, seconds: float, *keys: str) -> DataFrame:
-    """One row a run: first and last time, and events. Works on streams too: session windows end `seconds` after their
+    """One row a run: first and last time, and events. Works on streams too, with one key at least: session windows end `seconds` after their
     last event, and a watermark lets their state go."""
     window = F.session_window(at, f"{seconds} seconds")
     return events.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("events"), F.min(at).alias("first_at"), F.max(at).alias("last_at")).select(*keys, "first_at", "last_at", "events")
@@ -85,11 +85,11 @@ def run_incremental(changes: DataFrame, apply: Callable[[DataFrame, DataFrame, i
 
 def turn_tracker(events: DataFrame, timeout_minutes: int = 60) -> DataFrame:
     """A stream of (key, action start or finish, ts) to one row for each finished turn: key, started_at, finished_at.
-    State is one time for each open key and goes after the timeout."""
+    State is one time for each open key; it goes once the watermark is past its timeout."""
     import pandas as pd
 
     def step(key, frames, state):
-        started = state.get[0] if state.exists else None
+        started = state.get[0] if state.exists and not state.hasTimedOut else None
         out = []
         for frame in frames:
             for row in frame.sort_values("ts").itertuples():
@@ -103,9 +103,9 @@ def turn_tracker(events: DataFrame, timeout_minutes: int = 60) -> DataFrame:
                 state.remove()
         else:
             state.update((started,))
-            state.setTimeoutDuration(timeout_minutes * 60_000)
-        if state.hasTimedOut:
-            state.remove()
+            ends = int(pd.Timestamp(started).timestamp() * 1000) + timeout_minutes * 60_000
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "started_at", "finished_at"])
 
-    return events.groupBy("key").applyInPandasWithState(step, "key string, started_at timestamp, finished_at timestamp", "started_at timestamp", "append", "ProcessingTimeTimeout")
+    timed = events.withWatermark("ts", f"{timeout_minutes} minutes")
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, started_at timestamp, finished_at timestamp", "started_at timestamp", "append", "EventTimeTimeout")

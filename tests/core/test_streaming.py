@@ -20,7 +20,7 @@ def test_incremental_batches(spark, tmp_path):
 
 def test_debounced_stream(spark, tmp_path):
     source = stream(spark, str(tmp_path), [("a", "change", "2024-01-01 00:00:00", None), ("b", "change", "2024-01-01 00:00:04", None), ("c", "change", "2024-01-01 00:01:00", None)], [("d", "change", "2024-01-01 01:00:00", None)], [("e", "change", "2024-01-01 02:00:00", None)])
-    out = changes.debounced(source.withWatermark("ts", "5 seconds"), "ts", 5)
+    out = changes.debounced(source.withWatermark("ts", "5 seconds"), "ts", 5, "kind")
     query = out.writeStream.format("memory").queryName("sessions_out").outputMode("append").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = sorted(r["events"] for r in spark.table("sessions_out").collect())
