@@ -190,3 +190,21 @@ def resolve(directory: Column, relative: Column) -> Column:
     kept = F.filter(parts, lambda p: (p != "") & (p != "."))
     up = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("..")) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
     return F.array_join(F.aggregate(kept, F.array().cast("array<string>"), up), "/")
+
+
+def is_low_value(path: Column) -> Column:
+    """Lock files, built and installed code, images and maps: not worth a review."""
+    lower = F.lower(path)
+    return lower.rlike(r"(^|/)(package-lock\.json|pnpm-lock\.yaml|yarn\.lock|bun\.lockb)$") | lower.rlike(r"(^|/)(dist|build|coverage|node_modules|\.next|\.turbo)/") | lower.rlike(r"\.(png|jpg|jpeg|gif|webp|svg|ico|lock|map)$")
+
+
+def review_priority(path: Column, focus: str = "") -> Column:
+    """How much a whole-repository review wants a file: sources, telling names, tests, code, and the focus's terms."""
+    lower = F.lower(path)
+    part = lambda test, value: F.when(test, value).otherwise(0)
+    score = part(path.rlike(r"\b(src|app|packages|lib)/"), 5) + part(path.rlike(r"(?i)\b(api|route|server|auth|schema|store|hook|component|screen)\b"), 4)
+    score = score + part(lower.rlike(r"\.(test|spec)\.[tj]sx?$"), 2) + part(lower.rlike(r"\.(ts|tsx|js|jsx)$"), 2)
+    for term in re.split(r"\W+", focus.lower()):
+        if len(term) >= 3:
+            score = score + part(lower.contains(term), 3)
+    return score

@@ -61,6 +61,28 @@ def overlap(query_terms: Column, content_terms: Column) -> Column:
     return F.size(F.array_intersect(query_terms, content_terms)) / F.greatest(F.lit(1), F.size(query_terms))
 
 
+# Words left out when phrases are compared.
+PHRASE_STOP_WORDS = ("the", "and", "for", "with", "when", "this", "that", "use", "using", "always", "never", "prefer", "avoid", "should", "work", "repo")
+# Prompts that want context, and those that never do.
+_PLANNING = r"(?i)\b(implement|add|create|change|modify|update|refactor|fix|debug|test|failing|error|route|component|api|endpoint|feature|bug|edit|rewrite|migrate|rename|remove|find|trace|where|when|why|how often|what controls|refresh|poll|refetch|invalidate|query)\b"
+_TRIVIAL = r"(?i)^(thanks|thank you|ok|okay|yes|no|nice|looks good|continue|go on|proceed)\.?$"
+
+
+def wants_context(prompt: Column) -> Column:
+    """Prompts of twelve characters at least that ask for work or mention a file."""
+    body = trim(prompt)
+    return (F.length(body) >= 12) & ~body.rlike(_TRIVIAL) & (body.rlike(_PLANNING) | (F.size(mentioned_paths(body)) > 0))
+
+
+def phrases_compatible(a: Column, b: Column) -> Column:
+    """Equal, one inside the other (of twelve characters at least), or with most terms shared."""
+    x, y = key_terms(a, PHRASE_STOP_WORDS), key_terms(b, PHRASE_STOP_WORDS)
+    shared = F.size(F.array_intersect(x, y))
+    least = F.greatest(F.lit(2), F.ceil(F.least(F.size(x), F.size(y)) * 0.6))
+    inside = ((F.length(a) >= 12) & b.contains(a)) | ((F.length(b) >= 12) & a.contains(b))
+    return (a == b) | inside | ((F.size(x) > 0) & (F.size(y) > 0) & (shared >= least))
+
+
 def mentioned_paths(text: Column) -> Column:
     found = F.filter(F.regexp_extract_all(text, F.lit(_PATH), 1), lambda p: ~p.startswith("http"))
     return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, r"^\./", "")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from . import lexical, retrieval
 
 # Wording that marks a correction, in any case.
 _ACTS = r"(?:use|prefer|add|run|keep|write|put|place|check|look\s+up|validate|call|name|import|export|mock|edit|modify|include)"
@@ -277,11 +278,64 @@ def hard_rules(rules: DataFrame, learnings: DataFrame) -> DataFrame:
     return rules.filter("status = 'active'").join(sure, "learning_id").orderBy("severity", F.desc("priority"), "rule_kind", "rule_id")
 
 
-def semantic_duplicate(score: Column, same_type: Column, terms_a: Column, terms_b: Column, globs_a: Column, globs_b: Column) -> Column:
-    """Near vectors, one rule type, shared terms, and a shared glob where both have any."""
-    shared = F.size(F.array_intersect(terms_a, terms_b)) >= F.greatest(F.lit(1), F.ceil(0.5 * F.least(F.size(terms_a), F.size(terms_b))))
-    scoped = (F.coalesce(F.size(globs_a), F.lit(0)) == 0) | (F.coalesce(F.size(globs_b), F.lit(0)) == 0) | F.coalesce(F.arrays_overlap(globs_a, globs_b), F.lit(False))
-    return (score >= 0.78) & same_type & shared & scoped
+def learning_score(base: Column) -> Column:
+    """A hit's score, with a little for confidence and priority."""
+    return base + F.col("confidence") * 0.1 + F.col("priority") / 1000
+
+
+def search(learnings: DataFrame, terms: list[str], near: DataFrame | None = None, package_key: str | None = None, limit: int = 8) -> DataFrame:
+    """The best active learnings (confidence 0.5 at least; of no package or the given one) for a query: lexical hits
+    over the learning's text by rank, priority and confidence, fused with vector neighbours (near: learning_id,
+    similarity). Usage is a step of its own, see mark_used."""
+    usable = learnings.filter("status = 'active' AND confidence >= 0.5")
+    if package_key and "package_key" in learnings.columns:
+        usable = usable.filter(F.col("package_key").isNull() | (F.col("package_key") == package_key))
+    body = usable.withColumn("__t", F.concat_ws(" ", "title", "summary", "avoid", "prefer"))
+    hits = lexical.bm25(body, "learning_id", "__t", terms).join(usable.select("learning_id", "priority", "confidence"), "learning_id")
+    best = hits.orderBy("rank", F.desc("priority"), F.desc("confidence"), "learning_id").limit(limit)
+    lex = best.select("learning_id", learning_score(F.lit(1.0)).alias("score"), F.array(F.lit("fts_match")).alias("reasons"), F.rint(F.col("rank") * 1_000_000).cast("long").alias("ordinal"))
+    vec = lex.limit(0)
+    if near is not None:
+        positive = near.filter("similarity > 0").join(usable.select("learning_id", "priority", "confidence"), "learning_id").orderBy(F.desc("similarity"), "learning_id").limit(limit)
+        vec = positive.select("learning_id", learning_score(F.col("similarity")).alias("score"), F.array(F.lit("semantic_match")).alias("reasons"), F.rint(F.col("similarity") * -1_000_000).cast("long").alias("ordinal"))
+    return retrieval.fuse(lex, vec, "learning_id", limit).join(usable, "learning_id").orderBy(F.desc("score"), "learning_id")
+
+
+def terms_overlap(a: str, b: str) -> Column:
+    """Whether learning a and candidate b (aliases of structs with title, summary, avoid, prefer) are about the same:
+    compatible avoid or prefer phrases, a long phrase of a in b's text, or enough of b's key terms in a's text."""
+    low = lambda side, c: F.lower(text.trim(F.coalesce(F.col(f"{side}.{c}"), F.lit(""))))
+    whole = lambda side: F.concat_ws(" ", low(side, "title"), low(side, "summary"), low(side, "avoid"), low(side, "prefer"))
+    both = lambda c: (low(a, c) != "") & (low(b, c) != "") & text.phrases_compatible(low(a, c), low(b, c))
+    inside = lambda c: (F.length(low(a, c)) >= 12) & whole(b).contains(low(a, c))
+    key = text.key_terms(F.concat_ws(" ", low(b, "avoid"), low(b, "prefer")), text.PHRASE_STOP_WORDS)
+    shared = F.size(F.array_intersect(key, text.key_terms(whole(a), text.PHRASE_STOP_WORDS)))
+    need = F.when(F.size(key) <= 3, F.size(key)).otherwise(F.greatest(F.lit(2), F.ceil(F.size(key) * 0.5)))
+    return both("avoid") | both("prefer") | inside("avoid") | inside("prefer") | ((F.size(key) > 0) & (shared >= need))
+
+
+def semantic_duplicates(found: DataFrame) -> DataFrame:
+    """Of retrieved pairs (candidate_id, learning_id, score, place and structs l and c with title, summary, avoid,
+    prefer, rule_type, path_globs) the first good one of each candidate: score 0.78 at least, one rule type, the same
+    subject, and a shared glob where both have any."""
+    size = lambda side: F.coalesce(F.size(F.col(f"{side}.path_globs")), F.lit(0))
+    scoped = (size("l") <= 0) | (size("c") <= 0) | F.coalesce(F.arrays_overlap("l.path_globs", "c.path_globs"), F.lit(False))
+    good = found.filter((F.col("score") >= 0.78) & (F.col("l.rule_type") == F.col("c.rule_type")) & scoped & terms_overlap("l", "c"))
+    return good.groupBy("candidate_id").agg(F.min_by("learning_id", "place").alias("learning_id"))
+
+
+def feedback_candidate(feedback: DataFrame) -> DataFrame:
+    """feedback: finding_id, action, title, evidence, correction, path_globs. The learning that a reviewer's word gives:
+    made of the correction, else title, else evidence; accepted ones active with at most 0.85, the others drafts with
+    at most 0.75. Rejected findings and false positives give none."""
+    known = F.when(F.col("action").isin("accepted", "rejected", "false_positive"), F.col("action")).otherwise("needs_changes")
+    first = lambda c: F.nullif(text.trim(F.col(c)), F.lit(""))
+    body = F.coalesce(first("correction"), first("title"), first("evidence"), F.concat(F.lit("Review finding "), "finding_id", F.lit(" was useful.")))
+    made = feedback.withColumn("action", known).filter("action IN ('accepted', 'needs_changes')").withColumn("__l", extract_learning(body))
+    accepted = F.col("action") == "accepted"
+    fields = ("title", "summary", "rule_type", "applies_when", "avoid", "prefer")
+    globs = F.when(F.coalesce(F.size("path_globs"), F.lit(0)) > 0, F.col("path_globs")).otherwise(F.col("__l.path_globs"))
+    return made.select("finding_id", "action", *(F.col(f"__l.{c}").alias(c) for c in fields), globs.alias("path_globs"), F.least(F.col("__l.confidence"), F.when(accepted, 0.85).otherwise(0.75)).alias("confidence"), F.greatest(F.col("__l.priority"), F.when(accepted, 65).otherwise(55)).alias("priority"), F.when(accepted, "active").otherwise("draft").alias("status"))
 
 
 def status_histogram(learnings: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def merge_queries(found: DataFrame, key: str) -> DataFrame:
 def balanced(found: DataFrame, limit: int, per_file: int = 2, low_share: int = 6) -> DataFrame:
     """A choice that spreads over files: up to two chunks of each file that is worth it, then the rest of those, then
     up to six of low-value files, within the limit. found: chunk_id, path, score."""
-    low = F.col("path").rlike(r"(^|/)(CHANGELOG|LICENSE)[^/]*$") | F.col("path").rlike(r"(^|/)(package-lock\.json|pnpm-lock\.yaml|yarn\.lock)$") | F.col("path").rlike(r"\.(snap|map)$")
+    low = paths.is_low_value(F.col("path"))
     n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "chunk_id"))
     tier = F.when(low, 2).when(F.col("__n") <= per_file, 0).otherwise(1)
     tiered = found.withColumn("__n", n).withColumn("__tier", tier)

@@ -137,9 +137,17 @@ def record_learning(learnings: DataFrame, candidates: DataFrame) -> tuple[DataFr
     return knowledge.boost_duplicates(learnings, twice), candidates.join(twice.select("candidate_id"), "candidate_id", "left_anti")
 
 
-def record_feedback(candidates: DataFrame, verdict: str) -> DataFrame:
-    """Candidates after a reviewer's word: accepted ones are surer, rejected and false ones become avoid notes at a
-    low confidence, anything else asks for changes and stays a draft."""
-    known = verdict if verdict in ("accepted", "rejected", "false_positive") else "needs_changes"
-    sure = {"accepted": 0.9, "rejected": 0.6, "false_positive": 0.6, "needs_changes": 0.55}[known]
-    return candidates.withColumn("confidence", F.least(F.col("confidence"), F.lit(sure))).withColumn("status", knowledge.status_for(F.col("confidence"))).withColumn("feedback", F.lit(known))
+def record_feedback(learnings: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, created) after reviewers' words, see knowledge.feedback_candidate. The feedback of one repository."""
+    made = knowledge.feedback_candidate(feedback).withColumn("candidate_id", F.col("finding_id"))
+    repo = learnings.select("repo_key").limit(1)
+    return record_learning(learnings, made.join(F.broadcast(repo), how="cross"))  # one row
+
+
+def search_learnings(learnings: DataFrame, query: str, package_key: str | None = None, limit: int = 8) -> DataFrame:
+    """The best learnings for a query, lexical and by hash vectors of their embedding texts."""
+    spark = learnings.sparkSession
+    probe = vectors.hash_embedding(spark.createDataFrame([(0, query)], "k int, t string"), "k", "t").first()["embedding"]
+    bodies = learnings.withColumn("__body", knowledge.embedding_text())
+    near = retrieval.vector_top_k(vectors.hash_embedding(bodies, "learning_id", "__body"), probe, limit * 4, "learning_id")
+    return knowledge.search(learnings, query_terms(spark, query), near, package_key, limit)

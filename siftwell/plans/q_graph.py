@@ -283,3 +283,35 @@ def change_review(spark, sf):
     files, _, imports = _index(spark, sf)
     index = engine.Index(files, files, found, imports, file, code)
     return rules.warning_counts(engine.review(index, _diffs(spark, sf), _learnings(spark, sf)))
+
+
+@query(f"""SELECT path, CAST(CASE WHEN regexp_matches(path, '\\b(src|app|packages|lib)/') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(path, '\\.test\\.ts$') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(path, '\\.(ts|tsx|js)$') THEN 2 ELSE 0 END + CASE WHEN contains(path, 'view') OR contains(path, 'View') THEN 3 ELSE 0 END AS INTEGER) AS priority
+FROM {_MADE} WHERE NOT ends_with(path, '.PNG')""")
+def review_priority(spark, sf):
+    from ..functions import paths
+
+    made = table(spark, sf, "documents").select(F.expr(MADE_PATH).alias("path")).filter(~paths.is_low_value(F.col("path")))
+    return made.select("path", paths.review_priority(F.col("path"), "the VIEW of a").alias("priority"))
+
+
+@query(_CODE + f""", e AS (SELECT DISTINCT source_path, 'Code ' || kind || ': ' || source_name || ' -> ' || target_name || coalesce(' in ' || target_path, '') AS line FROM c WHERE starts_with(source_name, 'fn_')),
+i AS (SELECT {_P} AS source_path, 'File imports: ' || {_PREV} AS line FROM documents WHERE doc_id - 1 IN (SELECT doc_id FROM documents))
+SELECT source_path AS path, count(*) AS n, min(line) AS first_line FROM (FROM e UNION ALL FROM i) GROUP BY source_path""")
+def graph_context_lines(spark, sf):
+    from ..operators import formats
+
+    file, code, found = _edges(spark, sf)
+    chunks = found.filter("kind = 'function'").select(F.col("entity_id").alias("chunk_id"), "path", F.col("name").alias("symbol_name"))
+    made = formats.graph_context(chunks, file.filter("kind = 'imports'"), code)
+    return made.join(chunks, "chunk_id").select("path", F.size("graph_lines").cast("long").alias("n"), F.array_min("graph_lines").alias("first_line"))
+
+
+@query(f"""SELECT {_P} AS path, CASE WHEN doc_id - 1 IN (SELECT doc_id FROM documents) THEN 1 ELSE 0 END + CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN 1 ELSE 0 END AS n FROM documents""".replace("AS n FROM", "AS n FROM"))
+def summary_sections(spark, sf):
+    """Files' summaries as text: how many of the two import lines each has."""
+    from ..operators import formats
+
+    file, code, found = _edges(spark, sf)
+    made = formats.summary_text(graph.summaries(found, file, code, found))
+    has = lambda label: F.col("section").contains(f"\n{label}: ").cast("int")
+    return made.select("path", (has("Imports") + has("Imported by")).alias("n"))

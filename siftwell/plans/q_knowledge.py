@@ -153,3 +153,36 @@ def planning_trigger(spark, sf):
     """Long enough prompts with a trigger word (here, of the test's invented languages)."""
     body = text.trim(F.col("text"))
     return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", ((F.length(body) >= 12) & F.lower(body).rlike("the|nicht")).alias("wanted"))
+
+
+@query("""SELECT p_partkey, k <> 3 AND (k = 0 OR k = 1 OR k = 2) AS wanted FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)""")
+def planning_prompts(spark, sf):
+    message = F.expr("CASE p_partkey % 5 WHEN 0 THEN concat('please fix ', p_name) WHEN 1 THEN concat('look into src/x', p_size, '.ts') WHEN 2 THEN concat(p_name, ' has a failing test') WHEN 3 THEN 'looks good.' ELSE concat('zz ', p_size) END")
+    return table(spark, sf, "part").select("p_partkey", text.wants_context(message).alias("wanted"))
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey, 'brand' || p_brand[7:] || ' size' || p_size AS phrase FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
+WHERE a.phrase = b.phrase OR (length(a.phrase) >= 12 AND contains(b.phrase, a.phrase)) OR (length(b.phrase) >= 12 AND contains(a.phrase, b.phrase))""")
+def phrase_compatibility(spark, sf):
+    """Parts of one brand whose phrases (brand and size words) agree."""
+    p = table(spark, sf, "part").select("p_brand", "p_partkey", F.concat(F.lit("brand"), F.substr("p_brand", F.lit(7)), F.lit(" size"), "p_size").alias("phrase"))
+    pairs = p.toDF("p_brand", "a", "x").join(p.toDF("p_brand", "b", "y"), "p_brand").filter("a < b")
+    return pairs.filter(text.phrases_compatible(F.col("x"), F.col("y"))).select("a", "b")
+
+
+@query(r"""WITH k AS (SELECT p_partkey AS id, p_partkey % 100 / 100 AS confidence, p_size AS priority, p_name AS title, CASE WHEN ends_with(p_brand, '5') THEN 'draft' ELSE 'active' END AS status, p_size % 5 AS z, p_partkey FROM part),
+u AS (SELECT id, confidence, priority, regexp_extract_all(lower(concat_ws(' ', title, 'Note ' || id, CASE z WHEN 0 THEN '''pkg' || id % 7 || '''' WHEN 1 THEN 'tool' || id % 5 || '.js' WHEN 2 THEN 'editing gen' || id % 9 || '/' WHEN 4 THEN 'two words' END, CASE z WHEN 0 THEN 'fetch' WHEN 3 THEN 'add tests under tests/unit' || id % 4 WHEN 4 THEN 'one' END)), '[\p{L}\p{N}]+') AS t FROM k WHERE status = 'active' AND confidence >= 0.5),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM u), p AS (SELECT id, dl, w, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS w FROM u) WHERE w IN ('fetch', 'pkg3', 'unit2') GROUP BY ALL),
+f AS (SELECT w, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM p, s GROUP BY w, n),
+r AS (SELECT id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM p JOIN f USING (w), s GROUP BY id)
+SELECT id AS learning_id, round(0.45 * (1 + confidence * 0.1 + priority / 1000), 6) AS score FROM r JOIN u USING (id) ORDER BY r.rank, priority DESC, confidence DESC, id LIMIT 8""")
+def learning_search(spark, sf):
+    return knowledge.search(_learnings(spark, sf), ["fetch", "pkg3", "unit2"]).select("learning_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey AS finding_id, CASE WHEN p_size % 4 = 0 THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS confidence, CAST(CASE WHEN p_size % 4 = 0 THEN 75 ELSE 75 END AS INTEGER) AS priority, CASE WHEN p_size % 4 = 0 THEN 'active' ELSE 'draft' END AS status, 'Prefer lib' || p_size || ' over ' || p_brand AS title FROM part WHERE p_size % 4 IN (0, 3)")
+def review_feedback(spark, sf):
+    action = F.element_at(F.array(*map(F.lit, ("accepted", "rejected", "false_positive", "whatever"))), (F.col("p_size") % 4 + 1).cast("int"))
+    f = table(spark, sf, "part").select(F.col("p_partkey").alias("finding_id"), action.alias("action"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("evidence"), F.concat(F.lit("Prefer lib"), "p_size", F.lit(" over "), "p_brand").alias("correction"), F.lit(None).cast("array<string>").alias("path_globs"))
+    return knowledge.feedback_candidate(f).select("finding_id", "confidence", "priority", "status", "title")

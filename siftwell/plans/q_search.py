@@ -172,12 +172,12 @@ def reason_histogram(spark, sf):
     return retrieval.reason_histogram(scored)
 
 
-@query("""WITH d AS (SELECT doc_id AS chunk_id, CASE WHEN lang = 'es' THEN source || '/CHANGELOG.md' ELSE source || '/' || lang END AS path, n_chars / 1000.0 AS score, lang = 'es' AS low FROM documents),
+@query("""WITH d AS (SELECT doc_id AS chunk_id, CASE WHEN lang = 'es' THEN source || '/yarn.lock' ELSE source || '/' || lang END AS path, n_chars / 1000.0 AS score, lang = 'es' AS low FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_id) AS n FROM d), t AS (SELECT *, CASE WHEN low THEN 2 WHEN n <= 2 THEN 0 ELSE 1 END AS tier FROM n)
 SELECT chunk_id, path FROM t ORDER BY tier, score DESC, chunk_id LIMIT 100""")
 def balanced_selection(spark, sf):
     docs = table(spark, sf, "documents")
-    found = docs.select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit("/"), F.when(F.col("lang") == "es", "CHANGELOG.md").otherwise(F.col("lang"))).alias("path"), (F.col("n_chars") / 1000).alias("score"))
+    found = docs.select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit("/"), F.when(F.col("lang") == "es", "yarn.lock").otherwise(F.col("lang"))).alias("path"), (F.col("n_chars") / 1000).alias("score"))
     return retrieval.balanced(found, 100).select("chunk_id", "path")
 
 

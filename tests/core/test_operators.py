@@ -226,3 +226,28 @@ def test_json_replies(spark):
 
 def test_clamp():
     assert [corpus.clamp(v, 1, 10, 4) for v in (5.9, 0, 99, "x", float("nan"), None, True)] == [5, 1, 10, 4, 4, 4, 4]
+
+
+def test_learning_search_and_semantic_duplicates(spark):
+    learned = spark.createDataFrame([("1", "r", "prefer dayjs over moment", "Prefer dayjs over moment.", "prefer_pattern", "When choosing.", "moment", "dayjs", None, 0.9, 70, "active"), ("2", "r", "tabs", "Use tabs.", "style", "Always.", None, None, None, 0.4, 10, "active"), ("3", "r", "dayjs only", "dayjs", "style", "x", None, None, None, 0.9, 10, "draft")], "learning_id string, repo_key string, title string, summary string, rule_type string, applies_when string, avoid string, prefer string, path_globs array<string>, confidence double, priority long, status string")
+    assert [r["learning_id"] for r in engine.search_learnings(learned, "dayjs moment").collect()] == ["1"]
+    side = "struct(title, summary, avoid, prefer, rule_type, path_globs)"
+    found = learned.filter("learning_id = '1'").selectExpr("'c' AS candidate_id", "learning_id", "0.8D AS score", "1 AS place", f"{side} AS l", "named_struct('title', 't', 'summary', 's', 'avoid', 'moment', 'prefer', 'dayjs', 'rule_type', 'prefer_pattern', 'path_globs', array('a/**')) AS c")
+    assert [tuple(r) for r in knowledge.semantic_duplicates(found).collect()] == [("c", "1")]
+    assert knowledge.semantic_duplicates(found.withColumn("score", F.lit(0.7))).count() == 0
+    feedback = spark.createDataFrame([("f1", "accepted", "Prefer dayjs over moment", None, None, None), ("f2", "rejected", "x", None, None, None)], "finding_id string, action string, title string, evidence string, correction string, path_globs array<string>")
+    snapshot, created = engine.record_feedback(learned, feedback)
+    assert created.count() == 0 and round(snapshot.filter("learning_id = '1'").first()["confidence"], 2) == 0.95
+
+
+def test_texts(spark):
+    from siftwell.operators import formats
+
+    chunk = spark.createDataFrame([("a.ts", "typescript", "f", "function", "function", 1, 3, "x" * 9000, ["r1", "r2"], ["File imports: b"])], "path string, language string, symbol_name string, symbol_kind string, chunk_kind string, start_line int, end_line int, content string, reasons array<string>, graph_lines array<string>")
+    body, shown = chunk.select(formats.embedding_text(), formats.chunk_text(200)).first()
+    assert body.startswith("Path: a.ts\nLanguage: typescript\nSymbol: function f\nKind: function\nGraph context:\nFile imports: b\nCode:\nxxx") and len(body) < 6000
+    assert shown.startswith("### a.ts:1-3\nWhy retrieved: r1, r2\nSymbol: f\n```\nxxx") and shown.endswith("[Chunk truncated to 200 characters]\n```")
+    assert formats.prompt_text(["c"], ["r"], most=30).endswith("[Context truncated to 30 characters]")
+    assert formats.review_queries("b", "", ["x.ts"], ["k", "k"])[:2] == ["b", "k\n\nx.ts"]
+    ranges = spark.sql("SELECT array(named_struct('start_line', 1, 'end_line', 4), named_struct('start_line', 9, 'end_line', 9)) AS r")
+    assert ranges.select(formats.ranges_label(F.col("r"))).first()[0] == "L1-L4, L9"
