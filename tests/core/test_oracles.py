@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas
 import pytest
 
 from siftwell.plans import catalog
@@ -22,7 +23,7 @@ def oracle():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: None if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    show = lambda v: None if v is None or v is pandas.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
     return list(frame.columns), sorted([tuple(show(v) for v in r) for r in frame.itertuples(index=False)], key=str)
 
 
