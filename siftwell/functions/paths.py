@@ -142,6 +142,12 @@ def _regexes(pattern: str) -> tuple[list[str], list[str]]:
     return [glob_regex(p) for p in whole], [glob_regex(pattern)]
 
 
+def regexes(pattern: str) -> tuple[str, str]:
+    """What a glob means for a path and for its base name, each one expression; empty for a blank glob."""
+    whole, base = _regexes(pattern)
+    return ("^(?:" + "|".join(whole) + ")$", "^(?:" + "|".join(base) + ")$") if whole else ("", "")
+
+
 def matches_any(path: Column, patterns: list[str]) -> Column:
     """A glob fits the path, its base name, or a directory above it; one without a slash may stand at any depth."""
     both = [_regexes(p) for p in patterns]

@@ -150,7 +150,13 @@ def bm25_stemmed(docs: DataFrame, key: str, text: str, terms: list[str], k1: flo
     wanted = sorted({porter(_fold(t.lower())) for t in terms})
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("rank")).limit(0)
-    posted = postings(docs, key, text)
+    # A stem but for its last letter begins every word that has it, accents aside: only such words are counted and stemmed.
+    likely = F.lit(False)
+    for n in {max(1, len(stem) - 1) for stem in wanted}:
+        begin = F.substring("term", 1, n)
+        likely = likely | begin.isin(*(stem[:n] for stem in wanted if max(1, len(stem) - 1) == n)) | begin.rlike(r"[^\x00-\x7F]")
+    split = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    posted = split.select(key, "dl", F.explode("t").alias("term")).filter(likely).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     stems = stem_vocabulary(posted).filter(F.col("stem").isin(*wanted))
     hits = posted.join(stems, "term").groupBy(key, "dl", "stem").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("stem").agg(F.count("*").alias("df"))

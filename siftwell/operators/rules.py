@@ -126,6 +126,44 @@ def forbidden_dependencies(found: DataFrame, rules: DataFrame) -> DataFrame:
     return forbidden_imports(as_imports, rules.filter("rule_kind = 'forbidden_dependency'").withColumn("rule_kind", F.lit("forbidden_import"))).withColumn("rule_kind", F.lit("forbidden_dependency"))
 
 
+def pattern_hits(files: DataFrame, patterns: list[str], block: int = 500) -> DataFrame:
+    """files with pattern, a row for each glob that fits the path. The globs' regular expressions are an array of the
+    plan, some at a time; files are read once for each block of them."""
+    out = files.withColumn("pattern", F.lit("")).limit(0)
+    for k in range(0, len(patterns), block):
+        some = [(p, *paths.regexes(p)) for p in patterns[k : k + block]]
+        table = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(b).alias("b")) for p, w, b in some if w))
+        rel, base = paths.normalized(F.col("path")), paths.basename(paths.normalized(F.col("path")))
+        hit = _fitting(table, rel, base)
+        out = out.unionByName(files.withColumn("pattern", F.explode(F.transform(hit, lambda g: g["p"]))))
+    return out
+
+
+def _fitting(table: Column, rel: Column, base: Column) -> Column:
+    return F.filter(table, lambda g: F.call_function("rlike", rel, g["w"]) | F.call_function("rlike", base, g["b"]))
+
+
+def forbidden_edits(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules of any number against edited files, by their distinct globs."""
+    own = rules.filter("status = 'active' AND rule_kind = 'forbidden_path_edit'")
+    globs = own.select("rule_id", "rule_kind", "severity", "message", F.col("pattern").alias("shown"), F.explode(F.when(F.size("path_globs") > 0, F.col("path_globs")).otherwise(F.array("pattern"))).alias("pattern"))
+    known = [r[0] for r in globs.select("pattern").distinct().orderBy("pattern").collect()]
+    hit = pattern_hits(files.select("diff_id", "path"), known).join(globs, "pattern")
+    return hit.select("diff_id", "rule_id", "rule_kind", "severity", "message", "path", F.col("shown").alias("pattern"), F.lit("file edited").alias("evidence")).distinct()
+
+
+def missing_tests(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Required-test rules (without source globs of their own) whose place no file of a diff with a source change is in."""
+    own = rules.filter((F.col("status") == "active") & (F.col("rule_kind") == "required_test_path") & paths.is_test_requirement(F.col("pattern")))
+    known = [r[0] for r in own.select("pattern").distinct().orderBy("pattern").collect()]
+    changed = files.filter(~paths.is_test_path(F.col("path"))).select("diff_id").distinct()
+    there = pattern_hits(files.select("diff_id", "path"), known).select("diff_id", "pattern").distinct()
+    wanted = changed.withColumn("pattern", F.explode(F.array(*map(F.lit, known)).cast("array<string>")))
+    lost = wanted.join(there, ["diff_id", "pattern"], "left_anti")
+    hit = lost.join(own.select("rule_id", "rule_kind", "severity", "message", "pattern"), "pattern")
+    return hit.select("diff_id", "rule_id", "rule_kind", "severity", "message", F.lit(None).cast("string").alias("path"), "pattern", F.concat(F.lit("no changed file matched "), "pattern").alias("evidence"))
+
+
 def glob_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
     """Edits of forbidden paths. rules: rule_id, severity, message, pattern and path_globs; their globs become
     regular expressions of the plan, so that each file is read once."""

@@ -110,21 +110,19 @@ def analyze_changes(index: Index, diffs: DataFrame) -> DataFrame:
 
 
 def review(index: Index, diffs: DataFrame, learnings: DataFrame) -> DataFrame:
-    """All warnings of diffs: rules of the knowledge base and repeated added lines. Glob rules are few and are read by
-    the driver, as their globs become part of the plan."""
+    """All warnings of diffs: rules of the knowledge base and repeated added lines."""
     drafted = rules.make_rules(learnings)
     lines, files = rules.diff_lines(diffs), rules.diff_files(diffs)
-    by_glob = [r.asDict() for r in drafted.filter("rule_kind IN ('forbidden_path_edit', 'required_test_path')").limit(1000).collect()]
     columns = ["diff_id", "rule_id", "rule_kind", "severity", "message", "path", "pattern", "evidence"]
-    shape = lambda df, kind: df.withColumn("rule_kind", F.lit(kind)).select(*(F.col(c) if c in df.columns or c == "rule_kind" else F.lit(None).cast("string").alias(c) for c in columns))
     found = [
         rules.forbidden_imports(rules.added_imports(lines), drafted).select(*columns),
-        shape(rules.glob_rules(files, [r for r in by_glob if r["rule_kind"] == "forbidden_path_edit"]), "forbidden_path_edit"),
+        rules.forbidden_dependencies(rules.added_dependencies(lines), drafted).select(*columns),
+        rules.forbidden_edits(files, drafted).select(*columns),
+        rules.missing_tests(files, drafted).select(*columns),
     ]
-    if required := [r for r in by_glob if r["rule_kind"] == "required_test_path"]:
-        found.append(shape(rules.required_tests(files, required), "required_test_path"))
     repeated = rules.duplicate_lines(lines.filter("kind = 'added'"), "diff_id", "path", "text", "line_no").withColumns({"rule_id": F.lit("intrinsic:duplicate_added_text"), "severity": F.lit("warning"), "message": F.lit("Added text repeats; consider sharing it.")})
-    found.append(shape(repeated, "duplicate_added_text"))
+    repeated = repeated.withColumns({"rule_kind": F.lit("duplicate_added_text"), "path": F.lit(None).cast("string")})
+    found.append(repeated.select(*columns))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
