@@ -9,7 +9,11 @@
 3. Texts with equal bands meet in a bucket. Each is a candidate pair with the bucket's first and its last text, so
    pairs grow with the texts, not with the square of a bucket. Equal texts count once.
 4. Candidates are verified by exact weighted Jaccard similarity: for each text first the pair with most bands in
-   common; then all other pairs whose texts are not connected yet. Connected texts form a class.
+   common; then all other pairs whose texts are not connected yet.
+5. Where the texts between a bucket's ends are then still in several components, all pairs across these are verified
+   too, dealt over cells of bounded size. So every pair that meets in a bucket is verified or connected. Only buckets
+   of four texts or more with unlike texts cost anything here, but a large one of them costs the square of its texts.
+   Connected texts form a class.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ DF_BUCKETS, SMOOTH = 1 << 17, 0.05
 _TABLE, _SEED = 1 << 14, 20100101
 _BLOCK = 1 << 20
 _FILTER_BITS = 1 << 26
+_CELL = 1024
 _LAST = (1 << 63) - 1
 
 
@@ -171,7 +176,7 @@ def _dealt_anew(sums: DataFrame, key: str) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and root (its component's least node) of all nodes but the roots, from links (a, b), by alternating large
     and small stars (Kiveris and others, 2014). Only least neighbours are gathered for a node, so one with any number
-    of links is safe."""
+    of links is safe. Merge joins, as a broadcast in each round fills the driver."""
     edges = settle(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi != lo").distinct())
     mark = None
     while True:
@@ -181,9 +186,9 @@ def components(links: DataFrame) -> DataFrame:
         mark = new
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(_dealt_anew(least, "u"), F.col("u") == F.col(own("u"))).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
+        large = both.join(_dealt_anew(least, "u").hint("merge"), F.col("u") == F.col(own("u"))).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(_dealt_anew(least, "hi"), F.col("hi") == F.col(own("hi"))).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(least.select("hi", F.col("m").alias("lo")))
+        small = large.join(_dealt_anew(least, "hi").hint("merge"), F.col("hi") == F.col(own("hi"))).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(least.select("hi", F.col("m").alias("lo")))
         edges = settle(small.filter("hi != lo").distinct())
 
 
@@ -211,6 +216,25 @@ def _order_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
 
+def _uncompared(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (key, mate) of texts in one bucket that are both not its ends, and not of one component. A bucket's
+    largest component needs no pairs within, so only texts outside of it are paired with all; both sides are dealt
+    over cells, so no task holds the pairs of a whole bucket. met: band, key, lo, hi, n; joined: node, root."""
+    inner = met.filter("n > 3 AND key != lo AND key != hi").select("band", "key")
+    rooted = inner.join(joined.hint("merge"), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    rooted = settle(rooted)
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n")).filter("m.n < n")
+    cells = lambda n: F.ceil(n / _CELL).cast("int")
+    dealt = rooted.join(main.select("band", F.col("m.root").alias("main"), cells(F.col("n") - F.col("m.n")).alias("ps"), cells(F.col("n")).alias("qs")), "band")
+    slot = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = dealt.filter("root != main").select("band", slot("ps").alias("p"), each("qs").alias("q"), "key", F.col("root").alias("key_root"))
+    every = dealt.select("band", each("ps").alias("p"), slot("qs").alias("q"), F.col("key").alias("mate"), F.col("root").alias("mate_root"), "main")
+    met_across = (F.col("key_root") != F.col("mate_root")) & ((F.col("mate_root") == F.col("main")) | (F.col("key") < F.col("mate")))
+    return outside.hint("merge").join(every, ["band", "p", "q"]).filter(met_across).select("key", "mate")
+
+
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each distinct text of docs (doc_id, text) that has a class of two rows or more: key, class_id (its least
     doc_id; 2^63 - 1 stands for null) and the key of the text that stands for the class (rep_key, the row with class_id)."""
@@ -219,9 +243,10 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     shares = spark.sparkContext.broadcast(bucket_shares(plain))
     distinct = settle(_signed(plain, shares, bands, rows).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     banded = distinct.select("key", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi")
-    met = banded.join(ends, "band").select("key", F.explode(F.array("lo", "hi")).alias("mate")).filter("key != mate")
-    candidates = settle(met.groupBy("key", "mate").agg(F.count("*").alias("votes")))
+    ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
+    met = settle(banded.join(ends, "band"))
+    stars = met.select("key", F.explode(F.array("lo", "hi")).alias("mate")).filter("key != mate")
+    candidates = settle(stars.groupBy("key", "mate").agg(F.count("*").alias("votes")))
     best = candidates.groupBy("key").agg(F.max(F.struct("votes", "mate")).alias("m")).select("key", F.col("m.mate").alias("mate"))
     pair = lambda df: df.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct()
     nodes = candidates.select("key").union(candidates.select(F.col("mate").alias("key"))).distinct().join(distinct.select("key", "doc_id"), "key")
@@ -235,6 +260,10 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     rest = pair(candidates).join(first_pairs, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(root("a") != root("b"))
     more = settle(_verified(rest, texts, shares, threshold))
     joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    rest = pair(_uncompared(met, joined)).join(pair(candidates), ["a", "b"], "left_anti")
+    more = settle(_verified(rest, texts, shares, threshold))
+    if not more.isEmpty():
+        joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     copies = plain.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     every = copies.join(joined, copies["key"] == joined["node"], "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root"))
     every = settle(every)

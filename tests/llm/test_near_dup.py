@@ -93,3 +93,25 @@ def test_samples_estimate_weighted_jaccard():
     a, b = near_dup.signature(values, one, 2000), near_dup.signature(values, two, 2000)
     want = np.minimum(one, two).sum() / np.maximum(one, two).sum()
     assert abs((a == b).mean() - want) < 0.04
+
+
+def test_twins_within_a_family(spark):
+    """Texts that share a long template (0.76 to each other) each with one twin at 0.83: no end of a bucket links them."""
+    template, rows = prose(80, 400, 4000), []
+    for k in range(30):
+        shared = " ".join(f"s{k}x{j}" for j in range(4))
+        rows += [(1000 + 2 * k + t, f"{template} {shared} " + " ".join(f"t{k}x{t}x{j}" for j in range(10))) for t in (0, 1)]
+    want = [(i, c) for (i, _), c in zip(rows, brute(rows), strict=True)]
+    assert len({c for _, c in want}) == 30
+    assert sorted(map(tuple, near_dup.near_duplicates(frame(spark, rows)).collect())) == want
+
+
+def test_pairs_of_cells(spark, monkeypatch):
+    """All pairs of a bucket's inner texts across components, though the bucket is cut into many cells."""
+    monkeypatch.setattr(near_dup, "_CELL", 3)
+    node = lambda k: bytes([k])
+    met = spark.createDataFrame([(1, node(k), node(0), node(19), 20) for k in range(20)] + [(2, node(k), node(0), node(2), 3) for k in range(3)], "band long, key binary, lo binary, hi binary, n long")
+    root = {k: 1 if k < 8 else 8 if k < 11 else k for k in range(1, 19)}
+    joined = spark.createDataFrame([(node(k), node(r)) for k, r in root.items() if k != r], "node binary, root binary")
+    got = Counter(tuple(sorted((r["key"][0], r["mate"][0]))) for r in near_dup._uncompared(met, joined).collect())
+    assert got == Counter((a, b) for a in root for b in root if a < b and root[a] != root[b])
