@@ -34,33 +34,44 @@ def boost_score(names: Column) -> Column:
     return F.aggregate(names, F.lit(0.0), lambda total, n: total + F.element_at(table, n))
 
 
-def similar_pairs(items: DataFrame, block: str, least: float = LEAST, per_source: int = PER_SOURCE) -> DataFrame:
+def similar_pairs(items: DataFrame, block: str, least: float = LEAST, per_source: int | None = PER_SOURCE) -> DataFrame:
     """source, target, similarity of rows (id, block, embedding) with one block value and a cosine of at least
-    `least`; the best per_source of each. The join is on the block and on a salt of the target side, so a large block
+    `least`; the best per_source of each (None: all). The join is on the block and on a salt of the target side, so a large block
     is compared by many tasks; each pair is made once for each direction."""
     salts = 8
     left = items.select(F.col("id").alias("source"), block, F.col("embedding").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     right = items.select(F.col("id").alias("target"), block, F.col("embedding").alias("b"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
     scored = left.join(right, [block, "salt"]).filter("source != target").select("source", "target", vectors.cosine(F.col("a"), F.col("b")).alias("similarity")).filter(F.col("similarity") >= least)
+    if per_source is None:
+        return scored
     best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("similarity"), "target"))
     return scored.withColumn("n", best).filter(F.col("n") <= per_source).drop("n")
 
 
-def similar_edges(chunks: DataFrame, least: float = LEAST, per_source: int = PER_SOURCE, per_pair: int = PER_PAIR, most: int = MOST) -> DataFrame:
+def similar_edges(chunks: DataFrame, least: float = LEAST, per_source: int | None = PER_SOURCE, per_pair: int | None = PER_PAIR, most: int | None = MOST) -> DataFrame:
     """similar_to edges between chunks (chunk_id, path, chunk_kind, symbol_kind, symbol_name, package_key, embedding)
-    of different files. Four equality joins, one for each way to be comparable, take the place of comparing all."""
+    of different files. Four equality joins, one for each way to be comparable, take the place of comparing all.
+    Kept are the best per_source edges of a source, of these per_pair for a pair of names, and `most` edges in all; None
+    for any of them sets no bound."""
     keyed = chunks.select("*", paths.dirname(F.col("path")).alias("directory"))
     halves = []
     for block in ("chunk_kind", "symbol_kind", "package_key", "directory"):
         some = keyed.filter(F.col(block).isNotNull() & (F.col(block) != "")).select(F.col("chunk_id").alias("id"), block, "embedding")
-        halves.append(similar_pairs(some, block, least, 1 << 30))
+        halves.append(similar_pairs(some, block, least, None))
     pairs = halves[0].unionByName(halves[1]).unionByName(halves[2]).unionByName(halves[3]).groupBy("source", "target").agg(F.max("similarity").alias("similarity"))
     side = lambda name, key: chunks.drop("embedding").select(F.struct(*[F.col(c) for c in chunks.columns if c != "embedding"]).alias(name), F.col("chunk_id").alias(key))
     full = pairs.join(side("s", "source"), "source").join(side("t", "target"), "target").filter("s.path != t.path")
     scored = full.withColumn("boosts", boosts("s", "t")).withColumn("score", F.col("similarity") + boost_score(F.col("boosts")))
     first = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), F.desc("similarity"), "target"))
     names = scored.withColumn("source_name", F.coalesce("s.symbol_name", "s.chunk_kind")).withColumn("target_name", F.coalesce("t.symbol_name", "t.chunk_kind"))
-    capped = names.withColumn("n", first).filter(F.col("n") <= per_source)
-    pair = F.row_number().over(Window.partitionBy("source", "source_name", "target_name").orderBy("n"))
-    kept = capped.withColumn("m", pair).filter(F.col("m") <= per_pair).orderBy("source", "n").limit(most)
+    kept = names
+    if not per_source is per_pair is most is None:
+        kept = kept.withColumn("n", first)
+    if per_source is not None:
+        kept = kept.filter(F.col("n") <= per_source)
+    if per_pair is not None:
+        pair = F.row_number().over(Window.partitionBy("source", "source_name", "target_name").orderBy("n"))
+        kept = kept.withColumn("m", pair).filter(F.col("m") <= per_pair)
+    if most is not None:
+        kept = kept.orderBy("source", "n").limit(most)
     return kept.select("source", "target", F.col("s.path").alias("source_path"), F.col("t.path").alias("target_path"), "source_name", "target_name", F.lit("similar_to").alias("kind"), F.round(F.least(F.lit(0.99), "score"), 4).alias("confidence"), F.round("similarity", 4).alias("similarity"), "boosts")

@@ -84,11 +84,23 @@ n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, c DE
 m AS (SELECT *, row_number() OVER (PARTITION BY source, pair ORDER BY n) AS m FROM n QUALIFY m <= 3)
 SELECT source, target, round(least(0.99, score), 4) AS confidence, round(c, 4) AS similarity FROM m ORDER BY source, n LIMIT 2000""")
 def similar_edges(spark, sf):
+    return similarity.similar_edges(_vector_chunks(spark, sf), 0.2).select("source", "target", "confidence", "similarity")
+
+
+@query("""WITH e AS (SELECT vec_id AS id, 'k' || label AS kind, 'd' || (vec_id % 40) AS dir, 'p' || (vec_id % 25) AS pkg, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.id AS source, b.id AS target, list_cosine_similarity(a.v, b.v) AS c, a.kind = b.kind AS k, a.dir = b.dir AS d, a.pkg = b.pkg AS g FROM e a JOIN e b ON a.id <> b.id AND (a.kind = b.kind OR a.dir = b.dir OR a.pkg = b.pkg))
+SELECT source, target, round(least(0.99, c + 0.05 * k::INT + 0.03 * d::INT + 0.04 * g::INT), 4) AS confidence, round(c, 4) AS similarity FROM p WHERE c >= 0.2""")
+def similar_edges_all(spark, sf):
+    """All links, without the reference's bounds on partners and edges."""
+    every = similarity.similar_edges(_vector_chunks(spark, sf), 0.2, per_source=None, per_pair=None, most=None)
+    return every.select("source", "target", "confidence", "similarity")
+
+
+def _vector_chunks(spark, sf):
     e = table(spark, sf, "embeddings")
     v = F.col("vec_id")
     none = F.lit(None).cast("string")
-    chunks = e.select(v.alias("chunk_id"), F.concat(F.lit("d"), v % 40, F.lit("/f"), v).alias("path"), F.concat(F.lit("k"), "label").alias("chunk_kind"), none.alias("symbol_kind"), none.alias("symbol_name"), F.concat(F.lit("p"), v % 25).alias("package_key"), "embedding")
-    return similarity.similar_edges(chunks, 0.2).select("source", "target", "confidence", "similarity")
+    return e.select(v.alias("chunk_id"), F.concat(F.lit("d"), v % 40, F.lit("/f"), v).alias("path"), F.concat(F.lit("k"), "label").alias("chunk_kind"), none.alias("symbol_kind"), none.alias("symbol_name"), F.concat(F.lit("p"), v % 25).alias("package_key"), "embedding")
 
 
 @query(f"""WITH {_bm25_sql(_TERMS_SQL)}, l AS (SELECT doc_id, row_number() OVER (ORDER BY rank, doc_id) AS o FROM r ORDER BY rank, doc_id LIMIT 20),

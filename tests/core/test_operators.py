@@ -251,3 +251,10 @@ def test_texts(spark):
     assert formats.review_queries("b", "", ["x.ts"], ["k", "k"])[:2] == ["b", "k\n\nx.ts"]
     ranges = spark.sql("SELECT array(named_struct('start_line', 1, 'end_line', 4), named_struct('start_line', 9, 'end_line', 9)) AS r")
     assert ranges.select(formats.ranges_label(F.col("r"))).first()[0] == "L1-L4, L9"
+
+
+def test_similar_edges_without_bounds(spark):
+    rows = [(k, f"d{k}/f.ts", "function", "function", "loadUser", None, [1.0, 0.01 * k]) for k in range(50)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, path string, chunk_kind string, symbol_kind string, symbol_name string, package_key string, embedding array<float>")
+    got = similarity.similar_edges(chunks, per_source=None, per_pair=None, most=None)
+    assert sorted((r["source"], r["target"]) for r in got.collect()) == [(a, b) for a in range(50) for b in range(50) if a != b]
