@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, vectors
 
 LEXICAL_SHARE, VECTOR_SHARE = 0.45, 0.55
+#: Most queries, and rows, that a task of vector_top_k_each compares at once, on average.
+QUERY_BLOCK, ROW_BLOCK = 1000, 10_000
 # Words that make a query ask for documentation, or for code.
 _DOC_QUERY = r"\b(readme|docs?|documentation|guide|usage|overview)\b"
 _CODE_QUERY = r"\b(where|how|built|implemented?|implementation|code|function|class|method|call|calls|prompt|review|graph|context|changed files?|handler|command|tool|worker|index(?:ed|er|ing)?|retriev(?:e|al)|rank(?:ing)?)\b"
@@ -44,6 +48,44 @@ def vector_top_k(items: DataFrame, query: list[float], k: int, key: str, embeddi
     return items.select(key, vectors.cosine(F.col(embedding), q).alias("similarity")).filter("similarity > 0").orderBy(F.desc("similarity"), key).limit(k)
 
 
+def vector_top_k_each(items: DataFrame, queries: DataFrame, k: int, key: str, embedding: str = "embedding") -> DataFrame:
+    """query, key and similarity of the k nearest rows of items with a positive cosine, for each row of queries (query,
+    and a vector of the same length in `embedding`); similarities are rounded to 12 digits, ties go by key. Queries and rows are dealt over
+    blocks; a task compares one block of each, so none holds more, and hands on k rows a query."""
+    cut = lambda df, each: max(1, -(-df.count() // each))
+    ps, qs = cut(queries, QUERY_BLOCK), cut(items, ROW_BLOCK)
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = F.col(embedding).cast("array<double>").alias("v")
+    left = queries.select(slot("query", ps).alias("p"), each(qs).alias("q"), "query", vector)
+    right = items.select(each(ps).alias("p"), slot(key, qs).alias("q"), F.col(key).alias("key"), vector)
+
+    def unit(vectors: pd.Series, width: int) -> np.ndarray:
+        out = np.zeros((len(vectors), width))
+        for row, v in zip(out, vectors, strict=True):
+            if v is not None:
+                row[: len(v)] = np.nan_to_num(np.asarray(v, float))
+        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+    def compare(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", kind="stable")
+        width = max((len(v) for s in (some["v"], rows["v"]) for v in s if v is not None), default=0)
+        one, two = unit(some["v"], width), unit(rows["v"], width)
+        found = []
+        for name, vector in zip(some["query"], one, strict=True):
+            near = np.round(two @ vector, 12)
+            best = np.argsort(-near, kind="stable")[:k]
+            best = best[near[best] > 0]
+            found.append(pd.DataFrame({"query": name, "key": rows["key"].to_numpy()[best], "similarity": near[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"query": [], "key": [], "similarity": []})
+
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, key {items.schema[key].dataType.simpleString()}, similarity double"
+    made = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(compare, schema)
+    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key"))
+    return made.withColumn("n", n).filter(F.col("n") <= k).select("query", F.col("key").alias(key), "similarity")
+
+
 def top_per_path(chunks: DataFrame, most: int, path: str = "path", order: tuple[str, ...] = ("start_line", "chunk_id")) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(path).orderBy(*order))
     return chunks.withColumn("__n", n).filter(F.col("__n") <= most).drop("__n")

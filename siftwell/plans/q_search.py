@@ -54,6 +54,16 @@ def vector_topk(spark, sf):
     return retrieval.vector_top_k(e, probe, 12, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.v, q.v), 12) AS c FROM e, e q WHERE q.vec_id % 20 = 0)
+SELECT query, vec_id, round(c, 6) AS similarity FROM p WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) <= 12""")
+def vector_topk_each(spark, sf):
+    """Every row whose id is divisible by 20 as a query, against all rows."""
+    e = table(spark, sf, "embeddings")
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return retrieval.vector_top_k_each(e, queries, 12, "vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: 4 * x * x))), 5) AS size, round(1.0::DOUBLE, 5) AS unit FROM embeddings")
 def vector_normalize(spark, sf):
     twice = F.transform("embedding", lambda x: x * 2)

@@ -258,3 +258,17 @@ def test_similar_edges_without_bounds(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, path string, chunk_kind string, symbol_kind string, symbol_name string, package_key string, embedding array<float>")
     got = similarity.similar_edges(chunks, per_source=None, per_pair=None, most=None)
     assert sorted((r["source"], r["target"]) for r in got.collect()) == [(a, b) for a in range(50) for b in range(50) if a != b]
+
+
+def test_vector_top_k_each_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 7)
+    items = spark.createDataFrame([(k, [float(k % 5), float(k % 7) - 3, 1.0]) for k in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0])], "id long, embedding array<double>")
+    queries = items.filter("id % 4 = 0").withColumnRenamed("id", "query")
+    got = {}
+    for r in retrieval.vector_top_k_each(items, queries, 5, "id").collect():
+        got.setdefault(r["query"], []).append((-r["similarity"], r["id"]))
+    for q in queries.filter("query < 40").collect():
+        alone = retrieval.vector_top_k(items.withColumn("embedding", F.coalesce("embedding", F.array())), q["embedding"], 42, "id").collect()
+        want = sorted((-round(r["similarity"], 12), r["id"]) for r in alone)[:5]
+        assert sorted(got[q["query"]]) == want
