@@ -283,22 +283,28 @@ def learning_score(base: Column) -> Column:
     return base + F.col("confidence") * 0.1 + F.col("priority") / 1000
 
 
+def usable(learnings: DataFrame, package_key: str | None = None) -> DataFrame:
+    """Active learnings with a confidence of 0.5 at least, of no package or the given one."""
+    found = learnings.filter("status = 'active' AND confidence >= 0.5")
+    if package_key and "package_key" in learnings.columns:
+        found = found.filter(F.col("package_key").isNull() | (F.col("package_key") == package_key))
+    return found
+
+
 def search(learnings: DataFrame, terms: list[str], near: DataFrame | None = None, package_key: str | None = None, limit: int = 8) -> DataFrame:
-    """The best active learnings (confidence 0.5 at least; of no package or the given one) for a query: lexical hits
+    """The best usable learnings for a query: lexical hits
     over the learning's text by rank, priority and confidence, fused with vector neighbours (near: learning_id,
-    similarity). Usage is a step of its own, see mark_used."""
-    usable = learnings.filter("status = 'active' AND confidence >= 0.5")
-    if package_key and "package_key" in learnings.columns:
-        usable = usable.filter(F.col("package_key").isNull() | (F.col("package_key") == package_key))
-    body = usable.withColumn("__t", F.concat_ws(" ", "title", "summary", "avoid", "prefer"))
-    hits = lexical.bm25(body, "learning_id", "__t", terms).join(usable.select("learning_id", "priority", "confidence"), "learning_id")
+    similarity; of usable ones only, or a cut made before counts others). Usage is a step of its own, see mark_used."""
+    chosen = usable(learnings, package_key)
+    body = chosen.withColumn("__t", F.concat_ws(" ", "title", "summary", "avoid", "prefer"))
+    hits = lexical.bm25(body, "learning_id", "__t", terms).join(chosen.select("learning_id", "priority", "confidence"), "learning_id")
     best = hits.orderBy("rank", F.desc("priority"), F.desc("confidence"), "learning_id").limit(limit)
     lex = best.select("learning_id", learning_score(F.lit(1.0)).alias("score"), F.array(F.lit("fts_match")).alias("reasons"), F.rint(F.col("rank") * 1_000_000).cast("long").alias("ordinal"))
     vec = lex.limit(0)
     if near is not None:
-        positive = near.filter("similarity > 0").join(usable.select("learning_id", "priority", "confidence"), "learning_id").orderBy(F.desc("similarity"), "learning_id").limit(limit)
+        positive = near.filter("similarity > 0").join(chosen.select("learning_id", "priority", "confidence"), "learning_id").orderBy(F.desc("similarity"), "learning_id").limit(limit)
         vec = positive.select("learning_id", learning_score(F.col("similarity")).alias("score"), F.array(F.lit("semantic_match")).alias("reasons"), F.rint(F.col("similarity") * -1_000_000).cast("long").alias("ordinal"))
-    return retrieval.fuse(lex, vec, "learning_id", limit).join(usable, "learning_id").orderBy(F.desc("score"), "learning_id")
+    return retrieval.fuse(lex, vec, "learning_id", limit).join(chosen, "learning_id").orderBy(F.desc("score"), "learning_id")
 
 
 def terms_overlap(a: str, b: str) -> Column:

@@ -146,6 +146,6 @@ def search_learnings(learnings: DataFrame, query: str, package_key: str | None =
     """The best learnings for a query, lexical and by hash vectors of their embedding texts."""
     spark = learnings.sparkSession
     probe = vectors.hash_embedding(spark.createDataFrame([(0, query)], "k int, t string"), "k", "t").first()["embedding"]
-    bodies = learnings.withColumn("__body", knowledge.embedding_text())
-    near = retrieval.vector_top_k(vectors.hash_embedding(bodies, "learning_id", "__body"), probe, limit * 4, "learning_id")
+    bodies = knowledge.usable(learnings, package_key).withColumn("__body", knowledge.embedding_text())
+    near = retrieval.vector_top_k(vectors.hash_embedding(bodies, "learning_id", "__body"), probe, limit, "learning_id")
     return knowledge.search(learnings, query_terms(spark, query), near, package_key, limit)

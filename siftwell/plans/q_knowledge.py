@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import knowledge
 from .q_graph import _learnings
+from . import engine
 from .registry import query, table
 
 #: One message of each wording, by part.
@@ -181,6 +182,11 @@ def learning_search(spark, sf):
     return knowledge.search(_learnings(spark, sf), ["fetch", "pkg3", "unit2"]).select("learning_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def learning_search_vectors(spark, sf):
+    return engine.search_learnings(_learnings(spark, sf).withColumn("applies_when", F.lit("")), "fetch pkg3 unit2").select("learning_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT p_partkey AS finding_id, CASE WHEN p_size % 4 = 0 THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS confidence, CAST(CASE WHEN p_size % 4 = 0 THEN 75 ELSE 75 END AS INTEGER) AS priority, CASE WHEN p_size % 4 = 0 THEN 'active' ELSE 'draft' END AS status, 'Prefer lib' || p_size || ' over ' || p_brand AS title FROM part WHERE p_size % 4 IN (0, 3)")
 def review_feedback(spark, sf):
     action = F.element_at(F.array(*map(F.lit, ("accepted", "rejected", "false_positive", "whatever"))), (F.col("p_size") % 4 + 1).cast("int"))

@@ -3,6 +3,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions import vectors
 from siftwell.operators import chunking, entities, graph, knowledge, lexical, lifecycle, retrieval, rules, similarity
 from siftwell.plans import engine
 from siftwell.sources import corpus, store, web
@@ -272,3 +273,15 @@ def test_vector_top_k_each_over_blocks(spark, monkeypatch):
         alone = retrieval.vector_top_k(items.withColumn("embedding", F.coalesce("embedding", F.array())), q["embedding"], 42, "id").collect()
         want = sorted((-round(r["similarity"], 12), r["id"]) for r in alone)[:5]
         assert sorted(got[q["query"]]) == want
+
+
+def test_learning_search_filters_before_it_cuts(spark):
+    columns = "learning_id string, repo_key string, title string, summary string, rule_type string, applies_when string, avoid string, prefer string, path_globs array<string>, package_key string, confidence double, priority long, status string"
+    near = [(f"a{k:02}", "r", "dayjs moment", "dayjs moment", "style", "x", None, None, None, "other" if k % 2 else None, 0.9, 10, "active" if k % 2 else "superseded") for k in range(40)]
+    far = ("z", "r", "formatting", "something else entirely", "style", "x", None, "dayjsx", None, "mine", 0.9, 10, "active")
+    learned = spark.createDataFrame([*near, far], columns)
+    probe = vectors.hash_embedding(spark.createDataFrame([(0, "style formatting dayjs moment")], "k int, t string"), "k", "t").first()["embedding"]
+    bodies = vectors.hash_embedding(learned.withColumn("b", knowledge.embedding_text()), "learning_id", "b")
+    assert [r["learning_id"] for r in retrieval.vector_top_k(bodies, probe, 41, "learning_id").collect()].index("z") >= 32
+    got = engine.search_learnings(learned, "style formatting dayjs moment", "mine").collect()
+    assert [(r["learning_id"], r["reasons"]) for r in got] == [("z", ["fts_match", "semantic_match"])]
