@@ -70,22 +70,27 @@ def dependents(changed: DataFrame, deleted: DataFrame, edges: DataFrame, most: i
     return hit.join(changed.select("path"), "path", "left_anti").join(deleted.select("path"), "path", "left_anti").orderBy("path").limit(most)
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """path and depth of all files that reach a seed along edges (source_path to target_path). Each round joins the
-    frontier only; reached files are kept in the shared checkpoint folder."""
+    frontier only, until none is new; reached files are kept in the shared checkpoint folder. More than most_rounds
+    rounds, where given, are an error."""
     spark = seeds.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/siftwell-checkpoints-{uuid.uuid4().hex}")
     frontier = seeds.select("path").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    reached = frontier
-    for depth in range(1, most_rounds + 1):
+    reached, depth = frontier, 0
+    while True:
+        depth += 1
         step = edges.join(frontier.select(F.col("path").alias("target_path")), "target_path", "left_semi").select(F.col("source_path").alias("path")).distinct()
         frontier = step.join(reached.select("path"), "path", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
-            break
+            return reached
+        if most_rounds is not None and depth > most_rounds:
+            raise ValueError(f"files more than {most_rounds} edges away")
         reached = reached.unionByName(frontier)
-    return reached
+        if depth % 16 == 0:  # the plan stays small on long chains
+            reached = reached.checkpoint()
 
 
 def coverage(changed: DataFrame, made: DataFrame) -> DataFrame:

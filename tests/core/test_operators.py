@@ -285,3 +285,11 @@ def test_learning_search_filters_before_it_cuts(spark):
     assert [r["learning_id"] for r in retrieval.vector_top_k(bodies, probe, 41, "learning_id").collect()].index("z") >= 32
     got = engine.search_learnings(learned, "style formatting dayjs moment", "mine").collect()
     assert [(r["learning_id"], r["reasons"]) for r in got] == [("z", ["fts_match", "semantic_match"])]
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"f{k + 1}", f"f{k}") for k in range(104)], "source_path string, target_path string").coalesce(1)
+    seeds = spark.createDataFrame([("f0",)], "path string").coalesce(1)
+    assert dict(map(tuple, graph.closure(seeds, edges).collect())) == {f"f{k}": k for k in range(105)}
+    with pytest.raises(ValueError):
+        graph.closure(seeds, edges, most_rounds=3)
