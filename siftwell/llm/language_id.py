@@ -20,8 +20,6 @@ _B = np.arange(256)
 #: Words are runs of a-z and of characters from U+0080 up.
 LETTERS = ((_B >= 0x61) & (_B <= 0x7A)) | (_B >= 0x80)
 BUCKETS = 1 << 16
-#: Most languages in one document's set.
-MOST = 4
 #: Most values of the language column that a model may have: its tables hold 512 KB for each.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
@@ -79,7 +77,8 @@ def _em(like: np.ndarray, doc: np.ndarray, heads: np.ndarray, counts: np.ndarray
 def infer(words: Words, table: np.ndarray, rounds: int = 8, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """For each text its language set's proportions (texts x languages; 0 for languages outside), and whether it has
     any word. Sets are nested, by the proportions that all languages together give; the set's size is that with the
-    best log likelihood less penalty x (size - 1) x ln(words)."""
+    best log likelihood less penalty x (size - 1) x ln(words). A text's search ends where a larger set's penalty alone
+    is below the best value, as log likelihoods are never above 0."""
     n, m = len(words.first) - 1, len(table)
     full = np.flatnonzero(words.counts > 0)
     out = np.zeros((n, m))
@@ -95,13 +94,19 @@ def infer(words: Words, table: np.ndarray, rounds: int = 8, penalty: float = 1.0
     share, _ = _em(like, doc, heads, counts, np.ones((len(full), m)), rounds)
     order = np.argsort(-share, axis=1, kind="stable")
     best, value = np.zeros((len(full), m)), np.full(len(full), -np.inf)
-    for size in range(1, min(m, MOST) + 1):
-        allowed = np.zeros((len(full), m))
-        np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-        some, fit = _em(like, doc, heads, counts, np.maximum(allowed, 1e-12), rounds if size > 1 else 0)
-        fit = fit - penalty * (size - 1) * np.log(np.maximum(counts, 2))
-        better = fit > value
-        best[better], value[better] = (some * allowed)[better], fit[better]
+    for size in range(1, m + 1):
+        cost = penalty * (size - 1) * np.log(np.maximum(counts, 2))
+        left = np.flatnonzero(-cost > value - 1e-6)
+        if not len(left):
+            break
+        at = np.isin(doc, left)
+        n_words = counts[left]
+        allowed = np.zeros((len(left), m))
+        np.put_along_axis(allowed, order[left, :size], 1.0, axis=1)
+        some, fit = _em(like[at], np.repeat(np.arange(len(left)), n_words), np.cumsum(n_words) - n_words, n_words, allowed, rounds if size > 1 else 0)
+        fit = fit - cost[left]
+        better = fit > value[left]
+        best[left[better]], value[left[better]] = (some * allowed)[better], fit[better]
     out[full] = best / best.sum(axis=1, keepdims=True)
     return out, words.counts > 0
 

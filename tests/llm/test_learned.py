@@ -78,3 +78,21 @@ def test_nothing_to_learn_from(spark):
 
     none = frame(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(none).collect()} == {"und"}
+
+
+def test_set_of_six_languages():
+    import pyarrow as pa
+
+    from siftwell.llm import language_id
+    from siftwell.llm.words import split_words
+
+    letters = ["abc", "def", "ghi", "jkl", "mno", "pqr"]
+    split = lambda texts: split_words(pa.array(texts, pa.large_string()), language_id.LETTERS, lower=True)
+    words = [[x + y + z + x for x in s for y in s for z in s] for s in letters]
+    counts = np.full((6, language_id.BUCKETS), 0.5)
+    for row, own in zip(counts, words, strict=True):
+        np.add.at(row, language_id.trigram_buckets(split([" ".join(own)]))[0], 1)
+    table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    shares, has = language_id.infer(split([" ".join(sum(words, [])), " ".join(words[2])]), table)
+    assert has.all() and (shares[0] > 0).all() and np.allclose(shares[0], 1 / 6, atol=0.01)
+    assert (shares[1] > 0).tolist() == [k == 2 for k in range(6)]
