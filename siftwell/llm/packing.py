@@ -9,7 +9,9 @@ is a list of runs: the pieces number a to b of one length go to sequences s, s +
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -29,26 +31,37 @@ _LATIN_LEAD = 0xC9  # first bytes up to here: characters below U+0240, on which
 @dataclass(frozen=True)
 class Vocabulary:
     """A byte-level BPE vocabulary: the tokenizers file, and optionally the same one as ranks for tiktoken with its
-    split pattern, which is faster. Texts with characters past U+023F always go through tokenizers."""
+    split pattern, which is faster, and the file's added tokens. Texts with characters past U+023F, and those in which
+    an added token's string occurs, always go through tokenizers."""
 
     path: str
     ranks: str | None = None
     pattern: str | None = None
+    added: tuple[str, ...] = ()
+
+
+def added_tokens(path: str) -> tuple[str, ...]:
+    """The strings that a tokenizers file takes as tokens of their own wherever they occur in a text."""
+    with open(path, encoding="utf-8") as file:
+        return tuple(sorted(t["content"] for t in json.load(file).get("added_tokens") or () if t["content"]))
 
 
 def public_vocabulary() -> Vocabulary:
     import public_tokenizers
 
-    return Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return Vocabulary(path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added_tokens(path))
 
 
 class Encoder:
-    """Token ids of texts; strings of special tokens in a text are ordinary text."""
+    """Token ids of texts, those that the tokenizers file gives by itself, without the tokens of its post-processor:
+    the string of an added token in a text has that token's id."""
 
     _made: dict = {}
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.slow, self.fast = vocabulary, None, None
+        self.added = re.compile("|".join(map(re.escape, vocabulary.added))) if vocabulary.added else None
         if vocabulary.ranks:
             import base64
 
@@ -64,7 +77,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.vocabulary.path)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
     @classmethod
@@ -83,7 +95,7 @@ class Encoder:
         for text, high in zip(texts.to_pylist(), top, strict=True):
             if not text:
                 yield np.zeros(0, np.uint32)
-            elif self.fast is not None and high <= _LATIN_LEAD:
+            elif self.fast is not None and high <= _LATIN_LEAD and not (self.added and self.added.search(text)):
                 yield np.array(self.fast.encode_ordinary(text), np.uint32)
             else:
                 yield np.array(self._exact(text), np.uint32)

@@ -155,9 +155,10 @@ def test_pieces_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    rows = [*DOCS, (30, prose(9, 2500)), (31, "漢字 and кириллица <|endoftext|> ok"), (32, "a\u0301 \u00a0 \u2028 x\r\n")]
+    special = ["漢字 and кириллица <|endoftext|> ok", "hello <|endoftext|> there", "<|endoftext|><|endoftext|>", " <|endoftext", "x<|ENDOFTEXT|>", prose(10, 1500) + "<|endoftext|>"]
+    rows = [*DOCS, (30, prose(9, 2500)), (32, "a\u0301 \u00a0 \u2028 x\r\n"), *((40 + k, t) for k, t in enumerate(special))]
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
+    assert plain.encode("hello <|endoftext|> there", add_special_tokens=False).ids == [31373, 220, 50256, 612]
     got = packing.token_pieces(frame(spark, rows), packing.public_vocabulary(), with_ids=True).collect()
     want = Counter()
     for i, t in rows:
