@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,10 +23,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named in spark.checkpoint.dir; sets one only where none is named (a local session)."""
+    """Uses the folder named in spark.checkpoint.dir. Where none is named, a session within one process gets one; a
+    cluster's executors share no local folder, so there the setting has to be given."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/siftwell-checkpoints-{uuid.uuid4().hex}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"/tmp/siftwell-checkpoints-{uuid.uuid4().hex}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -33,6 +45,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets go of frames that are no longer referenced, so that Spark deletes their shuffle files and checkpoints now,
+    and not when the driver's memory happens to fill. For a few points between long steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.select(F.sum(F.octet_length(column))).first()[0] or 0
 

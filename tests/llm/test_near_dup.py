@@ -28,7 +28,7 @@ def brute(rows):
         s = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
         sets.append(s)
         df.update(s.keys())
-    weight = lambda s: {x: c * math.log1p(1 / (df[x] / n + near_dup.SMOOTH)) for x, c in s.items()}
+    weight = lambda s: {x: c * math.log1p(1 / (math.floor(df[x] / n * 64) / 64 + near_dup.SMOOTH)) for x, c in s.items()}
     weighted = [weight(s) for s in sets]
     parent = list(range(len(rows)))
 
@@ -95,6 +95,16 @@ def test_samples_estimate_weighted_jaccard():
     assert abs((a == b).mean() - want) < 0.04
 
 
+def test_samples_by_looked_up_keys_are_the_same():
+    draw = np.random.default_rng(4)
+    for m in (1, 7, 300, 9000):
+        values = np.unique(draw.integers(0, 2**63, m).astype(np.uint64))
+        weight = draw.choice([3.0, 3.0, 3.0, 2.5, 6.0], len(values))
+        plain = near_dup.signature(values, weight, 120)
+        assert (plain == near_dup.signature(values, weight, 120, 3.0)).all()
+        assert (plain == near_dup.signature(values, weight, 120, 99.0)).all()
+
+
 def test_twins_within_a_family(spark):
     """Texts that share a long template (0.76 to each other) each with one twin at 0.83: no end of a bucket links them."""
     template, rows = prose(80, 400, 4000), []
@@ -106,12 +116,26 @@ def test_twins_within_a_family(spark):
     assert sorted(map(tuple, near_dup.near_duplicates(frame(spark, rows)).collect())) == want
 
 
-def test_pairs_of_cells(spark, monkeypatch):
-    """All pairs of a bucket's inner texts across components, though the bucket is cut into many cells."""
-    monkeypatch.setattr(near_dup, "_CELL", 3)
+def test_pairs_in_cells(spark):
+    """All links of a bucket's inner texts across components, though the bucket is cut into many cells."""
     node = lambda k: bytes([k])
-    met = spark.createDataFrame([(1, node(k), node(0), node(19), 20) for k in range(20)] + [(2, node(k), node(0), node(2), 3) for k in range(3)], "band long, key binary, lo binary, hi binary, n long")
+    families = [prose(90 + f, 120) for f in range(4)]
+    body = {k: edited(families[k % 4], 5 + 3 * k) for k in range(20)}
+    met = spark.createDataFrame([(1, node(k), 20, node(0), node(19)) for k in range(20)] + [(2, node(k), 3, node(0), node(2)) for k in range(3)], "band long, key binary, n long, mid binary, side binary")
     root = {k: 1 if k < 8 else 8 if k < 11 else k for k in range(1, 19)}
     joined = spark.createDataFrame([(node(k), node(r)) for k, r in root.items() if k != r], "node binary, root binary")
-    got = Counter(tuple(sorted((r["key"][0], r["mate"][0]))) for r in near_dup._uncompared(met, joined).collect())
-    assert got == Counter((a, b) for a in root for b in root if a < b and root[a] != root[b])
+    texts = spark.createDataFrame([(node(k), t) for k, t in body.items()], "key binary, text string")
+    sizes = spark.createDataFrame([(node(k), len(t.encode())) for k, t in body.items()], "key binary, size long")
+    shares = spark.sparkContext.broadcast(np.zeros(near_dup.DF_BUCKETS, np.float32))
+    want = {(a, b) for a in root for b in root if a < b and root[a] != root[b] and a % 4 == b % 4}
+    for cell in (700, 3000, 1 << 20):
+        got = [tuple(sorted((r["a"][0], r["b"][0]))) for r in near_dup._in_cells(met, joined, sizes, texts, shares, 0.8, cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_middle_of_a_family_is_its_star(spark):
+    rows = [(k, b) for k in range(1, 30) for b in {k, 100, 200 + k % 2}] + [(0, b) for b in (100, 200, 201, 5, 6, 7)]
+    met = near_dup._met(spark.createDataFrame([(bytes([k]), b) for k, b in rows], "key binary, band long"))
+    got = {(r["band"], bytes(r["mid"]), bytes(r["side"]), r["n"]) for r in met.collect()}
+    assert {(100, bytes([0]), bytes([29]), 30), (200, bytes([0]), bytes([28]), 15), (5, bytes([0]), bytes([5]), 2)} <= got
+    assert met.count() == 30 + 15 + 16 + 6
