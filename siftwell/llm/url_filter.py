@@ -5,7 +5,9 @@ the prefixes of its path that are as long as some rule's path. A cascade tells w
 encodes the listed keys; level 2 those keys of the corpus that level 1 takes wrongly; level 3 the listed keys that
 level 2 takes, and so on until no false positive is left. A key belongs to the list if the first level that misses it
 is an even one. As the false positives are taken over every key that the corpus has, the answer is exact for all of
-them, and the lookup needs no join: the levels' bits are literals of the plan, of a size that the list bounds.
+them, and the lookup needs no join: the levels' bits are literals of the plan, of a size that the list bounds. A long
+list is cut by its keys' hash into several cascades; each is looked up in a plan of its own, so that no plan holds the
+bits of two.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from pyspark.sql import functions as F
 
 from .frames import own, settle
 
-MAX_LEVELS = 40
-#: Bits in all levels; a longer list has to be split by host into several cascades.
+#: Bits in the first level of a cascade; a longer list is cut into several ones.
 MAX_BITS = 1 << 26
 
 
@@ -82,28 +83,32 @@ def contains(key: Column, cascade: Cascade) -> Column:
 
 def build_cascade(listed: DataFrame, universe: DataFrame, per_key: float = 10.0, later: float = 3.0) -> Cascade:
     """listed and universe: one column, key (string). Only keys of the universe that a level takes wrongly are ever
-    gathered, each once."""
+    gathered, each once. Every level has hash functions of its own and takes a fixed share wrongly at most; after many
+    levels it gets more bits for each key, so the cascade ends."""
     listed = listed.select("key").filter(F.col("key").isNotNull()).distinct()
     n = listed.count()
     out = Cascade()
     if not n:
         return out
-    if n * per_key > MAX_BITS:
-        raise ValueError(f"{n} listed keys need more bits than {MAX_BITS}: split the list by host")
     out.levels.append(_level(listed, n, per_key, 1))
     wrong = settle(universe.select("key").filter(_in_level(F.col("key"), out.levels[0])).distinct().join(listed, "key", "left_anti"))
     inner, outer = wrong, listed  # to encode next; what the next level may take wrongly
     while (n := inner.count()) > 0:
-        if len(out.levels) >= MAX_LEVELS:
-            raise RuntimeError("the cascade does not end: keys with equal hashes")
-        level = _level(inner, n, later, len(out.levels) + 1)
+        level = _level(inner, n, later * (1 + len(out.levels) // 16), len(out.levels) + 1)
         out.levels.append(level)
-        if sum(x[1] for x in out.levels) > MAX_BITS:
-            raise ValueError("the levels need too many bits: raise per_key or split the list by host")
         inner, outer = settle(outer.filter(_in_level(F.col("key"), level))), inner
     return out
 
 
+def parts_of(n: int, per_key: float = 10.0, most: int | None = None) -> int:
+    """Into how many cascades a list of n keys is cut."""
+    return max(1, -(-int(n * per_key) // (most or MAX_BITS)))
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
     at = F.locate("://", url)
@@ -119,25 +124,31 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a url that a rule could have, longest first (of equal ones that with the longer host)."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def _candidates(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """All keys of a url that a rule could have: the suffixes of its host with as many labels as some rule's host has
+    at most, with the prefixes of its path. However long a url is, their number depends on the rules alone."""
+    found = F.split(host, r"\.")
+    last = F.slice(found, -F.least(F.size(found), F.lit(labels)), F.lit(labels))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda k: F.array_join(F.slice(last, k, F.size(last)), "."))
 
     def with_prefix(n: int) -> Column:
         fitting = F.when(F.length(path) >= n, suffixes).otherwise(F.array().cast("array<string>"))
         return F.transform(fitting, lambda s: F.concat(s, F.lit("\n"), F.substr(path, F.lit(1), F.lit(n))))
 
-    by_length = [with_prefix(n) for n in lengths]
-    keys = F.concat(*by_length)
+    return _longest_first(F.concat(*(with_prefix(n) for n in lengths)))
+
+
+def _longest_first(keys: Column) -> Column:
+    """Of equally long keys that with the longer host comes first."""
     rank = F.transform(keys, lambda k: F.struct((-F.length(k)).alias("size"), F.instr(k, "\n").alias("host") * -1, k.alias("key")))
     return F.transform(F.array_sort(rank), lambda x: x["key"])
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url", most_bits: int | None = None) -> DataFrame:
     """The rows of pages with host, path, rule (host and path of the longest rule that fits the url; null: none) and
     verdict (the rule's; else the default). Columns of these names are replaced. Of rules with one host and path the
-    last counts. A null url, or one without ://, has an empty host and path and no rule but one for the empty host."""
+    last counts. A null url, or one without ://, has an empty host and path and no rule but one for the empty host.
+    Urls of any length and repeated rows are judged alike. most_bits: see MAX_BITS."""
     spark = pages.sparkSession
     by_key = {f"{r.host}\n{r.path}": r for r in rules}
     lengths = sorted({len(r.path) for r in rules})
@@ -145,16 +156,28 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     parted = pages.drop("rule", "verdict").withColumns(names)
     if not rules:
         return parted.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keys = own("keys")
-    keyed = parted.withColumn(keys, _candidates(F.col("host"), F.col("path"), lengths))
-    universe = keyed.select(F.explode(keys).alias("key"))
+    keys, hits, blocks = own("keys"), own("hits"), own("blocks")
+    labels = max(r.host.count(".") + 1 for r in rules)
+    found = parted.withColumn(keys, _candidates(F.col("host"), F.col("path"), lengths, labels))
+    universe = found.select(F.explode(keys).alias("key"))
     listed = _keys(spark, list(by_key))
-    any_rule = build_cascade(listed, universe)
-    blocked = build_cascade(_keys(spark, [k for k, r in by_key.items() if r.verdict == "block"]), listed)
-    hit = F.get(F.filter(keys, lambda k: contains(k, any_rule)), F.lit(0))
-    found = keyed.withColumn(own("hit"), hit)
-    verdict = F.when(F.col(own("hit")).isNull(), F.lit(default)).when(contains(F.col(own("hit")), blocked), F.lit("block")).otherwise(F.lit("allow"))
-    return found.withColumns({"rule": F.replace(F.col(own("hit")), F.lit("\n"), F.lit("")), "verdict": verdict}).drop(keys, own("hit"))
+    block = _keys(spark, [k for k, r in by_key.items() if r.verdict == "block"])
+    parts = parts_of(len(by_key), most=most_bits)
+    for k in range(parts):
+        mine = (lambda key, k=k: _part(key, parts) == k) if parts > 1 else (lambda key: F.lit(True))
+        any_rule = build_cascade(listed.filter(mine(F.col("key"))), universe.filter(mine(F.col("key"))))
+        blocked = build_cascade(block.filter(mine(F.col("key"))), listed.filter(mine(F.col("key"))))
+        if parts == 1:  # the first hit is the longest
+            found = found.withColumn(hits, F.slice(F.filter(keys, lambda key: contains(key, any_rule)), 1, 1))
+            found = found.withColumn(blocks, F.when(F.size(hits) > 0, contains(F.get(hits, F.lit(0)), blocked)))
+        else:
+            new = F.filter(keys, lambda key: mine(key) & contains(key, any_rule))
+            old = F.col(hits) if k else F.array().cast("array<string>")
+            found = found.withColumn(hits, F.slice(_longest_first(F.concat(old, new)), 1, 1))
+            best = F.get(hits, F.lit(0))
+            found = settle(found.withColumn(blocks, F.when(mine(best), contains(best, blocked)).otherwise(F.col(blocks) if k else F.lit(None).cast("boolean"))))
+    verdict = F.when(F.size(hits) == 0, F.lit(default)).when(F.col(blocks), F.lit("block")).otherwise(F.lit("allow"))
+    return found.withColumns({"rule": F.replace(F.get(hits, F.lit(0)), F.lit("\n"), F.lit("")), "verdict": verdict}).drop(keys, hits, blocks)
 
 
 def _keys(spark: SparkSession, keys: list[str]) -> DataFrame:
