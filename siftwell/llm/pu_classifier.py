@@ -2,9 +2,13 @@
 
 Texts become a few dozen counts and shares, kept as a small table. A piecewise-linear basis of them feeds a linear
 model g that minimises the non-negative unbiased risk (du Plessis and others, 2015; Kiryo and others, 2017) with
-squared loss: trusted positives are rows labelled 1, every document is unlabelled text, and the class prior is the
-share of 1 among the labelled rows. With this loss the risk needs the first and second moments of the basis only,
-and they are taken over all rows.
+squared loss: trusted positives are rows labelled 1, and every document is unlabelled text. With this loss the risk
+needs the first and second moments of the basis only, and they are taken over all rows.
+
+The class prior is estimated from the same two sets, as the proportion of the positives in the mixture: a linear
+score tells half of the positives from the unlabelled text, and over its thresholds the least ratio of the shares of
+unlabelled text and of the other positives above it bounds the prior (the best bin of Garg and others, 2021). Rows
+labelled 0 are never read.
 """
 
 from __future__ import annotations
@@ -131,41 +135,81 @@ class Model:
         return np.clip((basis(stats) @ self.weights + 1) / 2, 0.0, 1.0)
 
 
-def minimise(prior: float, mean_p: np.ndarray, square_p: np.ndarray, mean_u: np.ndarray, square_u: np.ndarray, ridge: float = 1e-3, steps: int = 2000) -> np.ndarray:
-    """The weights of least non-negative risk. With loss (1 - y g)^2 / 4 the unbiased risk is quadratic; where its
-    minimum makes the estimated risk on negatives less than 0, gradient steps go on as Kiryo and others say: while
-    that part is negative, uphill in it."""
+def risks(w: np.ndarray, prior: float, mean_p, square_p, mean_u, square_u) -> tuple[float, float]:
+    """The estimated risk on positives (times the prior) and on negatives, with loss (1 - y g)^2 / 4."""
+    loss = lambda y, m, s: (w @ s @ w - 2 * y * (w @ m) + 1) / 4
+    return prior * loss(1, mean_p, square_p), loss(-1, mean_u, square_u) - prior * loss(-1, mean_p, square_p)
+
+
+def minimise(prior: float, mean_p: np.ndarray, square_p: np.ndarray, mean_u: np.ndarray, square_u: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """The weights of least non-negative risk: that on positives plus that on negatives, where the latter counts as 0
+    if its estimate is less. As max(0, b) is the largest share x b for shares of 0 to 1, the weights are those of least
+    a + share x b: with share 1 (the unbiased risk) where b is not negative there, else with the largest share, found
+    by halving, at which it is not."""
     d = len(mean_p)
-    system = square_u + ridge * np.eye(d)
-    w = np.linalg.solve(system, 2 * prior * mean_p - mean_u)
 
-    def negative(w):
-        risk = lambda m, s: (w @ s @ w + 2 * w @ m + 1) / 4
-        return risk(mean_u, square_u) - prior * risk(mean_p, square_p)
+    def least(share):
+        system = prior * (1 - share) * square_p + share * square_u + ridge * np.eye(d)
+        return np.linalg.solve(system, prior * (1 + share) * mean_p - share * mean_u)
 
+    negative = lambda w: risks(w, prior, mean_p, square_p, mean_u, square_u)[1]
+    w = least(1.0)
     if negative(w) >= 0:
         return w
-    rate = 1.0 / np.linalg.eigvalsh(system)[-1]
+    low, high = 0.0, 1.0
     for _ in range(steps):
-        down = ((square_u - prior * square_p) @ w + mean_u - prior * mean_p) / 2
-        if negative(w) < 0:
-            w = w + rate * down
-        else:
-            w = w - rate * (down + prior * (square_p @ w - mean_p) / 2 + ridge * w)
-    return w
+        middle = (low + high) / 2
+        low, high = (middle, high) if negative(least(middle)) >= 0 else (low, middle)
+    return least(low)
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, certainty: float = 0.1, slack: float = 0.01) -> float:
+    """An upper estimate of the share of positives in unlabelled text, from histograms of both over one score: the
+    ratio of their shares above the threshold at which the ratio's upper confidence bound is least."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    tail_p, tail_u = (np.cumsum(x[::-1])[::-1] / max(x.sum(), 1.0) for x in (positive, unlabelled))
+    doubt = sum((np.log(4 / certainty) / (2 * max(n, 1.0))) ** 0.5 for n in (n_p, n_u))
+    has = tail_p > 0
+    bound = (tail_u[has] + (1 + slack) * doubt) / tail_p[has]
+    return float(np.clip((tail_u[has] / tail_p[has])[bound.argmin()], 0.01, 0.99)) if has.any() else 0.5
+
+
+_BINS = 4096
+
+
+def _histogram(stats: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Rows in bins of equal width over scores from -2 to 2."""
+
+    def totals(batches):
+        out = np.zeros(_BINS)
+        for batch in batches:
+            flat = batch.column("stats").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k in range(0, len(flat), 4096):
+                score = basis(flat[k : k + 4096]) @ weights
+                out += np.bincount(np.clip((score + 2) * (_BINS / 4), 0, _BINS - 1).astype(np.int64), minlength=_BINS)
+        return out
+
+    return summed(stats.select("stats"), totals, _BINS)
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """stats: doc_id and stats of all documents (the unlabelled text); labels: doc_id and a 0/1 label. Only rows
-    labelled 1 are fitted to; the zeros count for the class prior alone. Null labels are left out."""
-    marked = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    prior, n = marked.agg(F.avg("y"), F.count("*")).first()
-    positives = stats.join(marked.filter("y = 1").select("doc_id"), "doc_id")
-    n_p, mean_p, square_p = _moments(positives)
-    _, mean_u, square_u = _moments(stats)
+    labelled 1 are read, each doc_id once, however often it is labelled; each document row with such a doc_id is a
+    positive. Without any, every score is one half."""
+    trusted = labels.filter(F.col(label).cast("int") == 1).select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    positives = settle(stats.join(trusted, "doc_id"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
+    n_a, mean_a, square_a = _moments(positives.filter(half))
+    n_b, mean_b, square_b = _moments(positives.filter(~half))
+    n_p = n_a + n_b
     if not n_p:
-        return Model(np.append(2.0 * float(prior or 0.5) - 1.0, np.zeros(DIMENSION - 1)), float(prior or 0.5), 0)
-    prior = min(max(float(prior), 0.01), 0.99)
+        return Model(np.zeros(DIMENSION), 0.5, 0)
+    _, mean_u, square_u = _moments(stats)
+    mean_p, square_p = ((n_a * a + n_b * b) / n_p for a, b in ((mean_a, mean_b), (square_a, square_b)))
+    if not n_a or not n_b:  # a single positive or so: nothing to tell a mixture by
+        return Model(minimise(0.5, mean_p, square_p, mean_u, square_u), 0.5, n_p)
+    telling = np.linalg.solve(square_a + square_u + 1e-2 * np.eye(DIMENSION), mean_a - mean_u)
+    prior = best_bin(_histogram(positives.filter(~half), telling), _histogram(stats, telling))
     return Model(minimise(prior, mean_p, square_p, mean_u, square_u), prior, n_p)
 
 
@@ -188,8 +232,8 @@ def stats_table(docs: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out (fold 0), score and predicted of each row of docs. Labels of fold 0 are never read.
 
-    Every whole text gets a score, null and empty ones too (their stats are 0). Without any positive label all scores
-    are the prior."""
+    Every whole text gets a score, null and empty ones too (their stats are 0), and every repeated row its own. Without
+    any positive label all scores are one half. Of labels only doc_id and the label are read."""
     stats = settle(stats_table(docs))
     model = fit(stats, labels.filter(fold(F.col("doc_id"), folds) != 0), label)
 
