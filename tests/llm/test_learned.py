@@ -39,11 +39,58 @@ def test_quality_ignores_held_out_labels_and_empty_tables(spark):
 
 
 def test_risk_stays_non_negative():
+    """Where the unbiased risk would go below 0 on negatives, the fit stops at 0, and no other weights do better. Only
+    with so few rows that the fit of the positives alone has it below 0 does that fit stand."""
     draw = np.random.default_rng(0)
-    x = draw.normal(size=(12, 40))
     moments = lambda a: (a.mean(axis=0), a.T @ a / len(a))
-    w = pu_classifier.minimise(0.9, *moments(x[:6]), *moments(x))
-    assert np.isfinite(w).all()
+    held, alone = 0, 0
+    for rows, prior in ((6, 0.9), (12, 0.7), (60, 0.95), (80, 0.9), (150, 0.97), (400, 0.5)):
+        x = draw.normal(size=(2 * rows, 40)) + 0.3
+        given = (prior, *moments(x[:rows]), *moments(x))
+        w = pu_classifier.minimise(*given, ridge=1e-6)
+        positive, negative = pu_classifier.risks(w, *given)
+        plain = np.linalg.solve(given[4] + 1e-6 * np.eye(40), 2 * prior * given[1] - given[3])
+        of_positives = np.linalg.solve(prior * given[2] + 1e-6 * np.eye(40), prior * given[1])
+        if pu_classifier.risks(of_positives, *given)[1] < 0:
+            alone += 1
+        else:
+            assert negative >= -1e-9
+            held += pu_classifier.risks(plain, *given)[1] < 0
+        value = positive + max(0.0, negative) + 5e-7 * w @ w / 2
+        for other in (plain, of_positives, 0 * w, *(w + draw.normal(size=(200, 40)) * 10.0 ** draw.uniform(-4, 0, (200, 1)))):
+            a, b = pu_classifier.risks(other, *given)
+            assert a + max(0.0, b) + 5e-7 * other @ other / 2 >= value - 1e-7
+    assert held >= 2 and alone >= 1
+
+
+def test_risks_are_those_of_the_rows():
+    draw = np.random.default_rng(1)
+    x, y, w = draw.normal(size=(30, 5)), draw.normal(size=(80, 5)), draw.normal(size=5)
+    moments = lambda a: (a.mean(axis=0), a.T @ a / len(a))
+    positive, negative = pu_classifier.risks(w, 0.6, *moments(x), *moments(y))
+    assert np.isclose(positive, 0.6 * np.mean((1 - x @ w) ** 2) / 4)
+    assert np.isclose(negative, np.mean((1 + y @ w) ** 2) / 4 - 0.6 * np.mean((1 + x @ w) ** 2) / 4)
+
+
+def test_prior_is_that_of_the_mixture():
+    draw = np.random.default_rng(2)
+    for prior in (0.2, 0.5, 0.9):
+        good, bad = draw.normal(1, 0.4, 60000), draw.normal(-1, 0.4, 60000)
+        mixed = np.where(draw.random(60000) < prior, good, bad)
+        bins = lambda a: np.histogram(a, 400, (-4, 4))[0].astype(float)
+        assert abs(pu_classifier.best_bin(bins(draw.normal(1, 0.4, 20000)), bins(mixed)) - prior) < 0.03
+    assert pu_classifier.best_bin(np.zeros(5), np.ones(5)) == 0.5
+
+
+def test_labels_of_bad_documents_are_not_read(spark):
+    """Zeros, repeated labels and other columns of labels change nothing."""
+    rows = [(k, prose(k, 60) if k % 5 else "| x " * 60) for k in range(200)]
+    ones = [(k, 1, "a") for k in range(0, 200, 3) if k % 5]
+    more = ones + ones + [(k, 0, "b") for k in range(0, 200, 5)] + [(None, 1, "c"), (10**6, 1, "d")]
+    run = lambda some: sorted(map(tuple, pu_classifier.classify(frame(spark, rows + rows[:9]), spark.createDataFrame(some, "doc_id long, quality int, text string")).collect()))
+    got = run(ones)
+    assert len(got) == 209
+    assert np.allclose([r[2] for r in got], [r[2] for r in run(more)], atol=1e-6)
 
 
 WORDS = {"aa": "the of and thing with that ing tion", "bb": "les des une ment eau oui dans", "cc": "und der nicht ung schen ich"}
@@ -80,6 +127,75 @@ def test_nothing_to_learn_from(spark):
     assert {r["lang_pred"] for r in language_id.identify(none).collect()} == {"und"}
 
 
+def test_long_texts_in_parts_and_many_languages(monkeypatch):
+    import pyarrow as pa
+
+    from siftwell.llm.words import split_words
+
+    split = lambda texts: split_words(pa.array(texts, pa.large_string()), language_id.LETTERS, lower=True)
+    draw = np.random.default_rng(1)
+    table = np.log(draw.dirichlet(np.ones(language_id.BUCKETS), 5)).astype(np.float32)
+    texts = ["", *(" ".join("".join(draw.choice(list("abcdefé"), 4)) for _ in range(n)) for n in (1, 3, 40, 900)), "12", "abc abc abc"]
+    whole, has = language_id.infer(split(texts), table)
+    for cells in (5, 60, 700):
+        monkeypatch.setattr(language_id, "_CELLS", cells)
+        some, _ = language_id.infer(split(texts), table)
+        assert np.allclose(whole, some)
+    assert has.tolist() == [False, True, True, True, True, False, True]
+    assert language_id.buckets_for(4) == 1 << 16 and language_id.buckets_for(7000) * 7000 <= language_id.TABLE
+
+
+def plain_mixture(text, table, rounds=8):
+    """The mixture of one text word by word, without vectors."""
+    import math
+
+    from .helpers import LOWER
+
+    raw = text.translate(LOWER).encode()
+    found = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw).split()
+    if not found:
+        return [0.0] * len(table)
+    rows = []
+    for w in found:
+        g = b" " + w + b" "
+        gram = [((g[k] << 16 | g[k + 1] << 8 | g[k + 2]) * 0x9E3779B1 % 2**32) >> 16 for k in range(len(w))]
+        logs = [math.fsum(float(lang[x]) for x in gram) for lang in table]
+        rows.append([math.exp(max(x - max(logs), -30)) for x in logs])
+
+    def em(allowed, rounds):
+        share = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(table))]
+        for _ in range(rounds):
+            total = [0.0] * len(table)
+            for r in rows:
+                joint = [a * b for a, b in zip(r, share, strict=True)]
+                for k, x in enumerate(joint):
+                    total[k] += x / sum(joint)
+            share = [x / len(rows) for x in total]
+        return share, sum(math.log(sum(a * b for a, b in zip(r, share, strict=True))) for r in rows)
+
+    share, _ = em(range(len(table)), rounds)
+    order = sorted(range(len(table)), key=lambda k: (-share[k], k))
+    best, value = None, -math.inf
+    for size in range(1, len(table) + 1):
+        some, fit = em(order[:size], rounds if size > 1 else 0)
+        fit -= (size - 1) * math.log(max(len(rows), 2))
+        if fit > value:
+            best, value = some, fit
+    return [x / sum(best) for x in best]
+
+
+def test_mixtures_against_brute_force(spark):
+    docs = [(k, speech(lang, k, 5 + k % 40), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 30)] + [(300, speech("aa", 1, 9) + " " + speech("cc", 2, 12), None), (301, "é", None), (302, "and und eau", None)]
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    known = [(t, lang) for i, t, lang in docs if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    table = language_id.train(spark.createDataFrame(known, "text string, lang string"), ["aa", "bb", "cc"])
+    got = {r["doc_id"]: r for r in language_id.identify(frame_).collect()}
+    for i, t, _ in docs:
+        want = plain_mixture(t, table)
+        order = sorted(range(3), key=lambda k: (-want[k], k))
+        assert abs(got[i]["score"] - max(want)) < 1e-6 and got[i]["langs"] == [("aa", "bb", "cc")[k] for k in order if want[k] > 0]
+
+
 def test_set_of_six_languages():
     import pyarrow as pa
 
