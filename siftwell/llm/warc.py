@@ -7,8 +7,7 @@ a not-modified answer may carry replace the stored ones.
 
 from __future__ import annotations
 
-import gzip
-import io
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,9 +20,10 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 #: Query parameters that do not name a page.
 TRACKING = ("ref", "fbclid", "gclid", "sessionid")
 #: Seconds of captures of one url that a task sees together.
-SPAN = 30 * 86400
+SPAN = 3600
 
-RECORD = "record_id string, record_type string, url string, ts timestamp, status int, headers map<string,string>, payload_digest string, payload binary"
+RECORD = "record_id string, record_type string, url string, ts timestamp, status int, headers map<string,string>, payload_digest string, payload binary, skipped long"
+_BATCH_BYTES = 8 << 20
 
 
 def canonical_url(url: Column) -> Column:
@@ -55,31 +55,37 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     never match. headers: the response's, with the revisit's permitted ones put over them, if resolved; else the
     revisit's own.
 
-    A url with any number of captures is safe: its time is cut into spans, a span's captures are ordered by
-    themselves, and revisits without an earlier response in their span take the last one of earlier spans from a
-    table with a row for each url and span.
+    Repeated revisits each get a row; of responses with one url, time and record_id any stands for all. Columns beside
+    those named are dropped, and record types other than the two are left out.
+
+    A url with any number of captures is safe: responses and revisits of one time are first brought down to one row
+    each; the url's time is cut into spans, a span's times are ordered by themselves, and revisits without an earlier
+    response in their span take the last one of earlier spans from a table with a row for each url and span.
     """
-    url, at, info, last = own("url"), own("span"), own("info"), own("last")
+    url, at, micros, info, last = own("url"), own("span"), own("micros"), own("info"), own("last")
     named = records.select(
         "record_id",
         "record_type",
         "ts",
         canonical_url(F.col("url")).alias(url),
         F.floor(F.unix_timestamp("ts") / span).alias(at),
-        F.when(F.col("record_type") == "response", F.struct(F.unix_micros("ts").alias("micros"), "record_id", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload_digest")).alias(info),
+        F.unix_micros("ts").alias(micros),
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
         "payload_digest",
     )
     usable = named.filter(F.col(url).isNotNull() & F.col("ts").isNotNull())
-    seconds = Window.partitionBy(url, at).orderBy(F.unix_micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
-    latest = lambda c: F.max_by(c, F.struct(F.col(c)["micros"], F.col(c)["record_id"]))
-    responses = F.max_by(info, F.when(F.col(info).isNotNull(), F.struct(F.col(info)["micros"], F.col(info)["record_id"])))
-    inside = usable.withColumn(last, responses.over(seconds)).filter("record_type = 'revisit'")
-    by_span = usable.filter(F.col(info).isNotNull()).groupBy(url, at).agg(latest(info).alias(last))
-    spans = usable.select(url, at).distinct().join(by_span, [url, at], "left")
-    before = F.last(last, ignorenulls=True).over(Window.partitionBy(url).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
-    earlier = spans.select(url, at, before.alias(own("before"))).filter(F.col(own("before")).isNotNull())
-    found = inside.join(earlier, [url, at], "left").withColumn(last, F.coalesce(last, own("before")))
+    shown = F.struct("record_id", "headers", "payload_digest")
+    responses = usable.filter("record_type = 'response'").groupBy(url, at, micros).agg(F.max_by(shown, F.coalesce("record_id", F.lit(""))).alias(info))
+    asked = usable.filter("record_type = 'revisit'")
+    times = responses.unionByName(asked.select(url, at, micros).distinct().withColumn(info, F.lit(None).cast(responses.schema[info].dataType)))
+    before = Window.partitionBy(url, at).orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
+    inside = times.withColumn(last, F.last(info, ignorenulls=True).over(before)).withColumn(own("is"), F.col(info).isNull()).filter(own("is")).select(url, at, micros, last)
+    by_span = responses.groupBy(url, at).agg(F.max_by(info, micros).alias(last))
+    spans = times.select(url, at).distinct().join(by_span, [url, at], "left")
+    earlier = F.last(last, ignorenulls=True).over(Window.partitionBy(url).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    carried = spans.select(url, at, earlier.alias(own("before"))).filter(F.col(own("before")).isNotNull())
+    known = inside.join(carried, [url, at], "left").select(url, micros, F.coalesce(last, own("before")).alias(last))
+    found = asked.join(known, [url, micros], "left")
     lost = named.filter((F.col("record_type") == "revisit") & (F.col(url).isNull() | F.col("ts").isNull()))
     every = found.select("record_id", "ts", url, "headers", "payload_digest", last).unionByName(lost.select("record_id", "ts", url, "headers", "payload_digest").withColumn(last, F.lit(None)), allowMissingColumns=True)
     theirs, ours = F.col(last)["headers"], F.col("headers")
@@ -102,43 +108,113 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
+def _plain(content: bytes) -> Iterator[tuple[bytes, int]]:
+    """The bytes of a file, unpacked where it is gzipped, in parts, each with the packed bytes left out before it. After
+    a broken member it goes on at the next one; what that one held up to the break is kept."""
+    if content[:2] != b"\x1f\x8b":
+        yield content, 0
+        return
+    at, skipped, view = 0, 0, memoryview(content)
+    while at < len(content):
+        member, parts, used = zlib.decompressobj(wbits=31), [], at
+        try:
+            while used < len(content) and not member.eof:
+                step = view[used : used + (1 << 20)]
+                parts.append(member.decompress(step))
+                used += len(step) - len(member.unused_data)
+        except zlib.error:
+            pass
+        if data := b"".join(parts):
+            yield data, skipped
+            skipped = 0
+        if not member.eof:  # broken or cut
+            after = content.find(b"\x1f\x8b\x08", at + 1)
+            used = len(content) if after < 0 else after
+            skipped += 0 if data else used - at
+        at = used
+    if skipped:
+        yield b"", skipped
+
+
+def _records(data: bytes) -> Iterator[tuple[dict | None, int]]:
+    """(fields and body of a record, 0) or (None, bytes that are no record) for all of data, in order."""
+    at, end = 0, len(data)
+
+    def begins(place):
+        return data.startswith(b"WARC/", place)
+
+    def following(place):
+        """The next line from a place on that begins a record."""
+        while 0 <= (place := data.find(b"WARC/", place)):
+            if place == 0 or data[place - 1] == 10:
+                return place
+            place += 1
+        return end
+
+    while at < end:
+        if not begins(at):
+            stop = following(at)
+            if data[at:stop].strip():
+                yield None, stop - at
+            at = stop
+            continue
+        head = data.find(b"\r\n\r\n", at)
+        lines = data[at : head if head >= 0 else end].split(b"\r\n")
+        fields = _headers(lines[1:])
+        size = fields.get("content-length", "")
+        begin = head + 4
+        if head >= 0 and size.isdigit() and begin + int(size) <= end:
+            after = begin + int(size)
+            rest = after
+            while rest < end and data[rest] in b"\r\n":
+                rest += 1
+            if rest == end or begins(rest) or data.startswith(b"\r\n\r\n", after):
+                yield fields | {"": data[begin:after]}, 0
+                at = rest
+                continue
+        stop = following(at + 5)  # cut, or of a wrong length
+        yield None, stop - at
+        at = stop
+
+
 def parse_warc(content: bytes) -> Iterator[dict]:
-    """The response and revisit records of a WARC file, plain or gzipped by record. A cut or broken record ends it."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content))
-    try:
-        while line := stream.readline():
-            if not line.strip():
+    """The response and revisit records of a WARC file, plain or gzipped by record. What is no whole record (foreign
+    lines, a cut record, one whose length does not lead to the next) is stepped over up to the next record, and told as
+    a row of type `unreadable` with the number of bytes in `skipped`."""
+    nothing = dict.fromkeys(("record_id", "record_type", "url", "ts", "status", "headers", "payload_digest", "payload"))
+    for data, lost in _plain(content):
+        for fields, skipped in ([(None, lost)] if lost else []) + list(_records(data)):
+            if fields is None:
+                yield nothing | {"record_type": "unreadable", "headers": {}, "skipped": skipped}
                 continue
-            if not line.startswith(b"WARC/"):
-                return
-            lines = []
-            while (line := stream.readline().strip()):
-                lines.append(line)
-            fields = _headers(lines)
-            body = stream.read(int(fields.get("content-length", "0")))
             kind = fields.get("warc-type", "")
             if kind not in ("response", "revisit"):
                 continue
-            head, _, payload = body.partition(b"\r\n\r\n")
+            head, _, payload = fields[""].partition(b"\r\n\r\n")
             first, *rest = head.split(b"\r\n")
             status = first.split(b" ")[1:2]
-            yield {"record_id": fields.get("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "ts": fields.get("warc-date"), "status": int(status[0]) if status and status[0].isdigit() else None, "headers": _headers(rest), "payload_digest": fields.get("warc-payload-digest"), "payload": payload if kind == "response" else None}
-    except (OSError, EOFError, ValueError):
-        return
+            yield {"record_id": fields.get("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "ts": fields.get("warc-date"), "status": int(status[0]) if status and status[0].isdigit() else None, "headers": _headers(rest), "payload_digest": fields.get("warc-payload-digest"), "payload": payload if kind == "response" else None, "skipped": 0}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, read by Spark's own reader, one file at a time in a task."""
+    """The records of WARC files, read by Spark's own reader: one file of at most 2 GB (that reader's limit; writers
+    close files at about 1 GB) at a time in a task. Rows of type `unreadable` tell what could not be read."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload_digest", pa.string()), ("payload", pa.binary())]
+        kinds = [("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload_digest", pa.string()), ("payload", pa.binary()), ("skipped", pa.int64())]
+        held, size = [], 0
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                for record in parse_warc(content or b""):
-                    record["headers"] = list(record["headers"].items())
-                    yield pa.RecordBatch.from_pylist([record], schema=pa.schema(kinds))
+            for content in batch.column("content"):
+                for record in parse_warc(content.as_buffer().to_pybytes() if content.is_valid else b""):
+                    held.append(record | {"headers": list(record["headers"].items())})
+                    size += len(record["payload"] or b"") + 500
+                    if size > _BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema=pa.schema(kinds))
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=pa.schema(kinds))
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD.replace("ts timestamp", "ts string"))
     return found.withColumn("ts", F.try_to_timestamp("ts"))

@@ -147,10 +147,20 @@ def test_url_rules(spark):
     assert len(got) == 2 * len(URLS)
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(r["url"])
+    in_parts = url_filter.filter_urls(pages, queries.URL_RULES, most_bits=16).collect()
+    assert sorted(map(str, in_parts)) == sorted(map(str, got))
     assert url_filter.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
     assert {r["verdict"] for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_hosts_of_many_labels(spark):
+    """40 KB of labels: candidates depend on the rules, not on the url."""
+    long = "http://" + "a." * 20000 + "net/x"
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "n" * 30000 + ".example.net/en/" + "p/" * 9000)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, queries.URL_RULES).collect()}
+    assert got == {1: ("net/", "block"), 2: ("example.net/en/", "allow")}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"k{k}" for k in range(3000)]
     universe = spark.createDataFrame([(k,) for k in [*keys, *keys[:500]]], "key string")
@@ -248,6 +258,38 @@ WARC = b"".join(
 )
 
 
+def test_reader_goes_on_after_what_is_no_record():
+    import gzip
+
+    parts = [WARC[a:b] for a, b in itertools.pairwise([m.start() for m in re.finditer(b"WARC/1.0", WARC)] + [len(WARC)])]
+    whole = [r["record_id"] for r in warc.parse_warc(WARC)]
+    kinds = lambda data: [(r["record_id"] or r["record_type"]) for r in warc.parse_warc(data)]
+    assert whole == [f"<{c}>" for c in "abcdefg"]
+    junk = parts[1] + b"junk WARC/ line\r\n" + parts[2]
+    assert kinds(junk) == ["<a>", "unreadable", "<b>"] and sum(r["skipped"] for r in warc.parse_warc(junk)) == 17
+    wrong = parts[2].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    assert kinds(parts[1] + wrong + parts[4]) == ["<a>", "unreadable", "<d>"]
+    assert kinds(parts[1] + parts[2][:50]) == ["<a>", "unreadable"]
+    assert kinds(b"") == [] and kinds(b"\r\n\r\n") == []
+    packed = [gzip.compress(p) for p in parts[1:4]]
+    broken = packed[1][:20] + b"\x00\xff\x00" + packed[1][23:]
+    found = kinds(packed[0] + broken + packed[2])
+    assert found[0] == "<a>" and found[-1] == "<c>" and "unreadable" in found
+
+
+def test_one_url_many_captures_at_one_time(spark):
+    """Ties, repeated rows and null ids; a revisit at a response's own time takes an earlier one."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"r{t}-{k}" if k else None, "response", t, f"d{t}") for t in (0, 10, 7200) for k in range(4)]
+    rows += [(f"v{t}", "revisit", t, "d10") for t in (0, 10, 11, 11, 3700, 7200, 9000)]
+    records = spark.createDataFrame([(i, kind, "http://h/x", t, d, 1) for i, kind, t, d in rows], "record_id string, record_type string, url string, t long, payload_digest string, info int")
+    records = records.withColumn("ts", F.timestamp_seconds("t")).withColumn("headers", F.lit(None).cast("map<string,string>"))
+    for span in (5, 3600, 10**6):
+        got = sorted((r["record_id"], r["resolved_id"], r["outcome"]) for r in warc.resolve_revisits(records, span).collect())
+        assert got == [("v0", None, "missing"), ("v10", "r0-3", "changed"), ("v11", "r10-3", "resolved"), ("v11", "r10-3", "resolved"), ("v3700", "r10-3", "resolved"), ("v7200", "r10-3", "resolved"), ("v9000", "r7200-3", "changed")]
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_warc(spark, tmp_path, packed):
     import gzip
