@@ -156,13 +156,13 @@ def _search_shard(texts, phrase: Phrases, old_spans, old_items) -> tuple[pa.Arra
     return pa.array(words.counts), spans, items
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BLOCK, shard_bytes: int = SHARD_BYTES, remove: bool = False) -> DataFrame:
     """The rows of docs (column text) with n_words, spans (merged word intervals inside any benchmark window; end
     exclusive), item_ids (strings, sorted: items of which a window occurs) and n_hit (words in spans).
 
     Null and empty texts have no words; items without words are never found. Repeated rows are judged each by
     itself. Earlier columns of the new names are replaced. benchmark has item_id and text; it is read by the driver in
-    blocks of a checked size.
+    blocks of a checked size. remove: the texts come without their spans; all else is as judged on the input.
     """
     docs = docs.drop("n_words", "spans", "item_ids", "n_hit")
     spark = docs.sparkSession
@@ -175,13 +175,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         rows = chosen if n_blocks == 1 else chosen.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         held = spark.sparkContext.broadcast(phrases([(r[0], r[1]) for r in rows.collect()], window))
 
-        def search(batches, held=held):
+        def search(batches, held=held, cut=remove and k == n_blocks - 1):
             phrase = held.value
             for batch in rows_of(batches):
                 for part in blocks(batch, "text", shard_bytes):
                     old = [part.column(c) if c in part.schema.names else None for c in (_SPANS, _ITEMS)]
                     new = _search_shard(part.column("text"), phrase, *old)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *new], names=[*columns, _COUNT, _SPANS, _ITEMS])
+                    kept = {"text": _without(part.column("text"), new[1])} if cut else {}
+                    yield pa.RecordBatch.from_arrays([*(kept.get(c, part.column(c)) for c in columns), *new], names=[*columns, _COUNT, _SPANS, _ITEMS])
 
         out = out.mapInArrow(search, schema)
     n_hit = F.aggregate(F.col(_SPANS), F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["start"]))
@@ -205,13 +206,25 @@ def cut_spans(text: str | None, spans: list) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without their spans; few have any."""
+    has = pc.greater(pc.list_value_length(spans), 0)
+    if not pc.any(has).as_py():
+        return texts
+    cut = [cut_spans(t, s) for t, s in zip(texts.filter(has).to_pylist(), spans.filter(has).to_pylist(), strict=True)]
+    return pc.replace_with_mask(texts, has, pa.array(cut, texts.type))
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, unchanged."""
+    """The rows of docs that are not contaminated, their texts without the benchmark windows that they still hold
+    (n_chars, where there is one, follows). Texts without any stay as they are."""
     columns = docs.columns
-    plain = docs.select([F.col(c).alias(own(f"in_{k}")) if c != "text" else F.col(c) for k, c in enumerate(columns)])
-    found = find_benchmark(plain, benchmark, window).filter(~is_contaminated())
-    return found.select([F.col(own(f"in_{k}")).alias(c) if c != "text" else F.col(c) for k, c in enumerate(columns)])
+    plain = docs.select([F.col(f"`{c}`").alias(own(f"in_{k}")) if c != "text" else F.col(c) for k, c in enumerate(columns)])
+    found = find_benchmark(plain, benchmark, window, remove=True).filter(~is_contaminated())
+    size = lambda old: F.when(F.col("n_hit") > 0, F.length("text")).otherwise(old)
+    old = [F.col(own(f"in_{k}")) if c != "text" else F.col(c) for k, c in enumerate(columns)]
+    return found.select([(size(x) if c == "n_chars" else x).alias(c) for c, x in zip(columns, old, strict=True)])

@@ -1,10 +1,11 @@
 import hashlib
+import re
 
 import pytest
 
 from siftwell.llm import decontaminate
 
-from .helpers import DOCS, SHARED, frame, prose, words2
+from .helpers import DOCS, LOWER, SHARED, frame, prose, words2
 
 ITEMS = [(1, " ".join(SHARED.split()[10:40])), (2, "one two three"), (3, None), (4, ""), (5, "X"), (5, "x x"), (None, " ".join(SHARED.split()[:20])), (7, prose(55, 30)), (8, "?!")]
 
@@ -37,14 +38,38 @@ def test_against_brute_force(spark, blocks):
         assert decontaminate.items_digest(items) == hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def test_stage_drops_contaminated_rows_only(spark):
+def plain_stage(rows, items):
+    """The rows that are not contaminated, their texts without the words of all windows."""
+    out = []
+    for i, t in rows:
+        n, hit, _ = brute(t, items)
+        if hit and 20 * len(hit) >= n:
+            continue
+        if hit:
+            places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))]
+            keep, runs = "", sorted(hit)
+            at = 0
+            for k in runs:
+                if k - 1 not in hit:
+                    keep += t[at : places[k][0]]
+                if k + 1 not in hit:
+                    at = places[k][1]
+            t = keep + t[at:]
+        out.append((i, t))
+    return out
+
+
+def test_stage_drops_contaminated_rows_and_cuts_the_rest(spark):
     bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
-    docs = frame(spark)
+    rows = DOCS + [(50, prose(61, 300) + "\n" + SHARED + " " + prose(62, 900)), (51, " ".join(SHARED.split()[12:30]) + "! " + prose(63, 700) + " " + " ".join(SHARED.split()[20:38]))]
+    docs = frame(spark, rows)
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns
-    bad = {(i, t) for i, t in DOCS if (b := brute(t, ITEMS[:1]))[1] and 20 * len(b[1]) >= b[0]}
-    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in DOCS if (i, t) not in bad), key=str)
-    assert bad
+    got = kept.collect()
+    want = plain_stage(rows, ITEMS[:1])
+    assert sorted(((r[0], r[1]) for r in got), key=str) == sorted(want, key=str)
+    assert len(want) < len(rows) and len({*want} - {*rows}) == 2
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
 
 
 def test_empty_tables(spark):
