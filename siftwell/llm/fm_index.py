@@ -114,18 +114,25 @@ class FMIndex:
         self.wavelet = WaveletMatrix(last.astype(np.int64), top)
         self.less = np.zeros(top + 2, np.int64)
         np.cumsum(np.bincount(symbols, minlength=top + 1), out=self.less[1:])
-        if keep_order:
-            self.order = order
-        else:  # the first place of each run must be kept: there the walk back would leave the run
-            kept = (order % sample == 0) | (last == 0)
-            packed = np.zeros((self.n // 64 + 1) * 8, np.uint8)
-            raw = np.packbits(kept, bitorder="little")
-            packed[: len(raw)] = raw
-            self.marks = packed.view(np.uint64)
-            self.mark_counts = np.zeros(len(self.marks) + 1, np.int64)
-            np.cumsum(np.bitwise_count(self.marks), out=self.mark_counts[1:])
-            self.samples = order[kept].astype(np.int32 if self.n < 2**31 else np.int64)
-            self.ranks = None
+        self.order = order
+        if not keep_order:
+            self.compress(last, sample)
+        else:
+            self._last = last
+
+    def compress(self, last: np.ndarray | None = None, sample: int = 8) -> None:
+        """Keeps sampled suffix positions in place of the whole suffix order and the ranks. The first place of each run
+        is kept: there the walk back would leave the run."""
+        last = self._last if last is None else last
+        kept = (self.order % sample == 0) | (last == 0)
+        packed = np.zeros((self.n // 64 + 1) * 8, np.uint8)
+        raw = np.packbits(kept, bitorder="little")
+        packed[: len(raw)] = raw
+        self.marks = packed.view(np.uint64)
+        self.mark_counts = np.zeros(len(self.marks) + 1, np.int64)
+        np.cumsum(np.bitwise_count(self.marks), out=self.mark_counts[1:])
+        self.samples = self.order[kept].astype(np.int32 if self.n < 2**31 else np.int64)
+        self.order = self.ranks = self._last = None
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: from the rows that begin with P to those that begin with symbol + P."""
