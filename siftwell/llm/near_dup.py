@@ -34,7 +34,7 @@ DF_BUCKETS, SMOOTH, LEVELS = 1 << 17, 0.05, 64
 _TABLE, _SEED = 1 << 14, 20100101
 _BLOCK = 1 << 20
 _FILTER_BITS = 1 << 26
-_CELL_BYTES = 2 << 20
+_CELL_BYTES = 1 << 19
 _LAST = (1 << 63) - 1
 
 
