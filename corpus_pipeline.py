@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import decontaminate, near_dup, packing, quality_rules, substring_dedup
-from siftwell.llm.frames import ensure_checkpoint_dir, table
+from siftwell.llm.frames import delete_folder, ensure_checkpoint_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark windows."""
+    """Documents of which less than a twentieth lies in benchmark windows, without what does."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -52,12 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, with each stage's result written to the shared checkpoint folder."""
+    """All stages over documents. Each stage's result is written to the shared checkpoint folder and goes when the next
+    one's is whole; the last one's stays, as the returned DataFrame reads it."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
