@@ -214,3 +214,10 @@ def review_priority(path: Column, focus: str = "") -> Column:
         if len(term) >= 3:
             score = score + part(lower.contains(term), 3)
     return score
+
+
+def below(path: Column, root: str) -> Column:
+    """The path relative to root, with . and .. taken out; null for what lies outside, and for root itself."""
+    top, rel = root.replace("\\", "/").rstrip("/"), F.replace(path, F.lit("\\"), F.lit("/"))
+    whole = F.concat(F.lit("/"), resolve(F.lit(""), rel))
+    return F.when(whole.startswith(f"{top}/"), F.nullif(F.substr(whole, F.lit(len(top) + 2)), F.lit("")))

@@ -170,3 +170,66 @@ def duration_label(seconds: Column) -> Column:
 
 def rate_label(rate: Column) -> Column:
     return F.when(rate >= 10, F.format_string("%d/s", F.round(rate).cast("long"))).otherwise(F.format_string("%.1f/s", rate))
+
+
+def file_progress_label(kind: Column, done: Column, total: Column) -> Column:
+    """Files done so far, as each kind of work shows them."""
+    n, of = done.cast("string"), total.cast("string")
+    full = F.concat(F.lit("Files "), n, F.lit("/"), F.coalesce(of, F.lit("?")))
+    changed, deleted = F.concat(F.lit("Changed files "), n), F.concat(F.lit("Deleted files "), n)
+    backfill = F.concat(F.lit("Files "), F.coalesce(of, n))
+    return F.when(kind == "fullRepoIndex", full).when(kind == "changedFilesIndex", changed).when(kind == "deletedFileCleanup", deleted).when(kind == "embeddingBackfill", backfill).otherwise(F.concat(F.lit("Files "), n))
+
+
+def table_cell(value: Column) -> Column:
+    """For a cell of a markdown table."""
+    return F.replace(F.replace(value, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def one_of(value: Column, allowed: tuple[str, ...], fallback: str | None = None) -> Column:
+    """The trimmed, lower-case value if it is allowed, else the fallback."""
+    word = F.lower(trim(value))
+    return F.when(word.isin(*allowed), word).otherwise(F.lit(fallback))
+
+
+def counts_label(counts: Column) -> Column:
+    """Entries (n, kind) as kind=n, largest first."""
+    order = F.array_sort(F.transform(counts, lambda c: F.struct((-c["n"]).alias("n"), c["kind"].alias("kind"))))
+    joined = F.array_join(F.transform(order, lambda c: F.concat(c["kind"], F.lit("="), (-c["n"]).cast("string"))), ", ")
+    return F.when(F.size(counts) > 0, joined).otherwise("(none)")
+
+
+def wrap(value: Column, width: int) -> Column:
+    """Lines of at most `width` characters, as many words in each as fit; longer words are cut. One empty line for blank
+    text."""
+    words = F.filter(F.split(trim(value), r"\s+"), lambda w: w != "")
+    line = "struct<lines:array<string>,line:string>"
+
+    def put(state, word):
+        joined = F.when(state["line"] == "", word).otherwise(F.concat(state["line"], F.lit(" "), word))
+        done = F.when(state["line"] == "", state["lines"]).otherwise(F.concat(state["lines"], F.array(state["line"])))
+        cuts = F.greatest(F.floor((F.length(word) - 1) / width).cast("int"), F.lit(0))
+        whole = F.transform(F.sequence(F.lit(1), F.greatest(cuts, F.lit(1))), lambda k: F.substr(word, (k - 1) * width + 1, F.lit(width)))
+        broken = F.struct(F.concat(done, F.when(cuts > 0, whole).otherwise(F.array().cast("array<string>"))).alias("lines"), F.substr(word, cuts * width + 1).alias("line"))
+        return F.when(F.length(joined) <= width, F.struct(state["lines"].alias("lines"), joined.alias("line"))).otherwise(broken).cast(line)
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line")).cast(line)
+    return F.aggregate(words, start, put, lambda s: F.when((s["line"] != "") | (F.size(s["lines"]) == 0), F.concat(s["lines"], F.array(s["line"]))).otherwise(s["lines"]))
+
+
+def clamped(value: Column, low: float, high: float, fallback: float, whole: bool = True) -> Column:
+    """A finite number brought into the range, and cut to a whole one if asked; anything else gives the fallback."""
+    number = value.cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("double") if whole else number
+    return F.when(finite, F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), cut))).otherwise(F.lit(float(fallback)))
+
+
+# Tools that an agent started by another one does not inherit.
+RESERVED_TOOLS = ("subagent_run", "subagent_resume", "subagent_dispose", "subagent_list")
+
+
+def allowed_tools(parent: Column, asked: Column, reserved: tuple[str, ...] = RESERVED_TOOLS) -> Column:
+    """The tools asked for, each once, if there is a list; else those of the parent but for the reserved ones."""
+    inherited = F.array_except(clean_list(F.coalesce(parent, F.array().cast("array<string>"))), F.array(*map(F.lit, reserved)))
+    return F.when(asked.isNotNull(), clean_list(asked)).otherwise(inherited)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ordering
 
 
 def _capped(values: Column, most: int) -> Column:
@@ -75,9 +74,7 @@ def closure(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None)
     frontier only, until none is new; reached files are kept in the shared checkpoint folder. More than most_rounds
     rounds, where given, are an error."""
     spark = seeds.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/siftwell-checkpoints-{uuid.uuid4().hex}")
+    ordering.ensure_checkpoint_dir(spark)
     frontier = seeds.select("path").distinct().withColumn("depth", F.lit(0)).checkpoint()
     reached, depth = frontier, 0
     while True:
@@ -128,7 +125,7 @@ def paths_by_query(entities: DataFrame, tokens: list[str], most: int) -> DataFra
 
 
 def batches(files: DataFrame, size: int = 20, passes: tuple[str, ...] = ("correctness", "tests", "design")) -> DataFrame:
-    """Review units: files in batches of `size` by path, times each pass. files: a review's changed files."""
-    n = F.floor((F.row_number().over(Window.orderBy("path")) - 1) / size).cast("int")
-    units = files.select("path").distinct().withColumn("batch", n).groupBy("batch").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    """Review units: files in batches of `size` by path, times each pass."""
+    placed = ordering.numbered(files.select("path").distinct(), ["path"], "__n").withColumn("batch", F.floor(F.col("__n") / size).cast("int"))
+    units = placed.groupBy("batch").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     return units.withColumn("pass", F.explode(F.array(*map(F.lit, passes))))

@@ -143,3 +143,14 @@ def recent(values: DataFrame, key: str, value: str, seq: str, most: int = 5) ->
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("s"), value))
     top = last.withColumn("n", n).filter(F.col("n") <= most)
     return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", value))), lambda x: x[value]).alias("recent"))
+
+
+def reset(tables: dict[str, DataFrame], *names: str, **key) -> dict[str, DataFrame]:
+    """The tables, of which the named ones lose all rows of a key (repo_key and the like), others stay."""
+    out = dict(tables)
+    for name in names:
+        gone = F.lit(True)
+        for column, value in key.items():
+            gone = gone & F.col(column).eqNullSafe(F.lit(value))
+        out[name] = tables[name].filter(~gone)
+    return out

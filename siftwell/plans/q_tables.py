@@ -168,7 +168,10 @@ def turn_pairs(spark, sf):
     return changes.turns(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
-@query("SELECT event_id FROM events QUALIFY ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) >= INTERVAL 86400 SECONDS OR lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) IS NULL")
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS k FROM (SELECT user_id, event_type, epoch_us(ts) AS t, min(event_id) AS event_id FROM events GROUP BY ALL)),
+s AS (SELECT *, t AS lt, true AS shown FROM e WHERE k = 1
+ UNION ALL SELECT e.user_id, e.event_type, e.t, e.event_id, e.k, CASE WHEN e.t - lt >= 86400 * 1000000::BIGINT THEN e.t ELSE lt END, e.t - lt >= 86400 * 1000000::BIGINT FROM s JOIN e ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.k = s.k + 1)
+SELECT event_id FROM s WHERE shown""")
 def emission_dedupe(spark, sf):
     return changes.unrepeated(table(spark, sf, "events"), "ts", 86400, "user_id", "event_type").select("event_id")
 

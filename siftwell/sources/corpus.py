@@ -94,11 +94,14 @@ def scanned(classified: DataFrame, config: ScanConfig) -> DataFrame:
 
 def scan_directory(spark: SparkSession, root: str, config: ScanConfig = ScanConfig(), repo: str | None = None) -> DataFrame:
     """All files below root by Spark's binary reader, with path relative to it and skip_reason. Pass the result to
-    scanned() and stats.scan_counters()."""
+    scanned() and stats.scan_counters(). Files over the size limit come without content, which is not read."""
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    # The reader leaves files out by their length, so the content of large ones is never read.
+    small = source.filter(F.col("length") <= config.max_file_bytes).select("path", "length", "content")
+    large = source.filter(F.col("length") > config.max_file_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
     tail = F.substring_index("path", base.rsplit("/", 1)[-1] + "/", -1) if "/" not in base else F.regexp_replace("path", "^.*?" + _quoted(base.split("://", 1)[-1].lstrip("/")) + "/", "")
-    return classify(found.select(F.lit(repo or base).alias("repo_key"), tail.alias("path"), F.col("length").alias("size_bytes"), "content"), config)
+    return classify(small.unionByName(large).select(F.lit(repo or base).alias("repo_key"), tail.alias("path"), F.col("length").alias("size_bytes"), "content"), config)
 
 
 def _quoted(value: str) -> str:

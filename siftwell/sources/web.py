@@ -137,3 +137,15 @@ def between_marks(text: Column, start: str, end: str) -> Column:
 def fenced_json(text: Column, schema: str) -> Column:
     """The first {...} of a reply, without code fences, read by a schema; null if it is none."""
     return F.from_json(F.nullif(F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(?s)(\{.*\})", 1), F.lit("")), schema)
+
+
+# What is asked for, by the wanted form.
+ACCEPT = {
+    "markdown": "text/markdown;q=1.0, text/x-markdown;q=0.9, text/plain;q=0.8, text/html;q=0.7, */*;q=0.1",
+    "text": "text/plain;q=1.0, text/markdown;q=0.9, text/html;q=0.8, */*;q=0.1",
+    "html": "text/html;q=1.0, application/xhtml+xml;q=0.9, text/plain;q=0.8, text/markdown;q=0.7, */*;q=0.1",
+}
+
+
+def accept_header(form: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in ACCEPT.items() for x in pair)), form)

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import jobs, ordering
+
 
 def sessions(events: DataFrame, at: str, seconds: float, *keys: str) -> DataFrame:
     """events with session: consecutive numbers of runs in which each event follows the one before within `seconds`,
@@ -51,23 +53,27 @@ def turns(messages: DataFrame, key: str, seq: str, role: str = "role") -> DataFr
 
 def active_turns(events: DataFrame, key: str, at: str, action: str = "action") -> DataFrame:
     """events with active: how many keys are started and not finished after each event (a second start of a key counts
-    once). Keys are tracked by themselves first; the running count is over all events and meant for one session's log."""
+    once). Keys are tracked by themselves; the count over all of them goes by parts of the ordered log."""
     w = Window.partitionBy(key).orderBy(at)
     state = F.when(F.col(action) == "start", 1).otherwise(0)
     delta = state - F.coalesce(F.lag(state).over(w), F.lit(0))
-    return events.withColumn("__d", delta).withColumn("active", F.sum("__d").over(Window.orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0))).drop("__d")
+    return ordering.running_sum(events.withColumn("__d", delta), [at, key], "__d", "active").drop("__d")
 
 
 def unrepeated(events: DataFrame, at: str, seconds: float, *keys: str) -> DataFrame:
-    """Events whose key had none in the last `seconds` (by the event before, shown or not)."""
-    w = Window.partitionBy(*keys).orderBy(at, *(c for c in ("event_id",) if c in events.columns))
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    gap = micros - F.lag(micros).over(w)
-    return events.withColumn("__gap", gap).filter(f"__gap IS NULL OR __gap >= {int(seconds * 1_000_000)}").drop("__gap")
+    """Events whose key was not shown in the last `seconds`: the first of each key, then each that comes so long after
+    the last one shown. Of events of a key at one time the first by event_id, where there is one, stands for all."""
+    key, micros, n = "__key", "__micros", "__n"
+    keyed = events.withColumn(key, F.struct(*keys)).withColumn(micros, F.unix_micros(F.col(at).cast("timestamp")))
+    order = [c for c in ("event_id",) if c in events.columns] or [micros]
+    first = keyed.withColumn(n, F.row_number().over(Window.partitionBy(key, micros).orderBy(*order))).filter(F.col(n) == 1)
+    shown = jobs.throttled(keyed, key, at, seconds).select(key, F.unix_micros(at).alias(micros))
+    return first.join(shown, [key, micros], "left_semi").select(*events.columns)
 
 
 def unrepeated_stream(events: DataFrame, at: str, seconds: float, *keys: str) -> DataFrame:
-    """The streaming form: the first event of a key within the watermark."""
+    """The streaming form, with the same result where events come in order: a key's state lasts `seconds` from the event
+    that was shown."""
     return events.withWatermark(at, f"{seconds} seconds").dropDuplicatesWithinWatermark(list(keys))
 
 
