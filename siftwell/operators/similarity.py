@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, text, vectors
+from ..functions import paths, text
 
 LEAST, PER_SOURCE, PER_PAIR, MOST = 0.72, 5, 3, 2000
+#: Rows of a block that a task compares with as many others, on average.
+CELL = 1000
 
 
 def comparable(a: str, b: str) -> Column:
@@ -34,14 +38,55 @@ def boost_score(names: Column) -> Column:
     return F.aggregate(names, F.lit(0.0), lambda total, n: total + F.element_at(table, n))
 
 
+def _compared(items: DataFrame, blocks: list[str], least: float, per_source: int | None) -> DataFrame:
+    """source, target and similarity (rounded to 12 digits) of rows (id, embedding, blocks) that share the value of a
+    block column and have a cosine of at least `least`; each ordered pair once.
+
+    A block value's rows are dealt over cells of at most CELL rows a side on average; a task multiplies two matrices,
+    and keeps pairs, or the best per_source of a row, only. Of several shared blocks a pair belongs to the first."""
+    held = items.select("id", F.col("embedding").cast("array<double>").alias("v"), F.array(*(F.nullif(F.col(b).cast("string"), F.lit("")) for b in blocks)).alias("values"))
+    rows = held.select("id", "v", "values", F.posexplode("values").alias("block", "value")).filter("value IS NOT NULL")
+    cells = rows.groupBy("block", "value").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")).filter("cells > 0")
+    dealt = rows.join(cells, ["block", "value"]).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("cells") - 1)
+    side = lambda p, q: dealt.select("block", "value", p, q, "id", "v", "values").toDF("block", "value", "p", "q", "id", "v", "values")  # noqa: E731  (columns of its own)
+    left, right = side(F.col("slot").alias("p"), F.explode(every).alias("q")), side(F.explode(every).alias("p"), F.col("slot").alias("q"))
+
+    def unit(vectors: pd.Series, width: int) -> np.ndarray:
+        out = np.zeros((len(vectors), width))
+        for row, v in zip(out, vectors, strict=True):
+            if v is not None:
+                row[: len(v)] = np.nan_to_num(np.asarray(v, float))
+        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+    def compare(key, some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        block = int(key[0])
+        some, others = some.sort_values("id", kind="stable"), others.sort_values("id", kind="stable")
+        width = max((len(v) for s in (some["v"], others["v"]) for v in s if v is not None), default=0)
+        near = np.round(unit(some["v"], width) @ unit(others["v"], width).T, 12)
+        ok = (near >= least) & (some["id"].to_numpy()[:, None] != others["id"].to_numpy()[None, :])
+        for k in range(block):  # pairs that share an earlier block are that one's
+            a, b = ([x[k] for x in frame["values"]] for frame in (some, others))
+            number = {x: n for n, x in enumerate(sorted({x for x in (*a, *b) if x is not None}))}
+            one, two = np.array([number.get(x, -1) for x in a]), np.array([number.get(x, -2) for x in b])
+            ok &= one[:, None] != two[None, :]
+        if per_source is not None:
+            rank = np.argsort(np.argsort(np.where(ok, -near, np.inf), axis=1, kind="stable"), axis=1)
+            ok &= rank < per_source
+        i, j = np.nonzero(ok)
+        return pd.DataFrame({"source": some["id"].to_numpy()[i], "target": others["id"].to_numpy()[j], "similarity": near[i, j]})
+
+    kind = items.schema["id"].dataType.simpleString()
+    grouped = lambda df: df.groupBy("block", "value", "p", "q")
+    return grouped(left).cogroup(grouped(right)).applyInPandas(compare, f"source {kind}, target {kind}, similarity double")
+
+
 def similar_pairs(items: DataFrame, block: str, least: float = LEAST, per_source: int | None = PER_SOURCE) -> DataFrame:
     """source, target, similarity of rows (id, block, embedding) with one block value and a cosine of at least
-    `least`; the best per_source of each (None: all). The join is on the block and on a salt of the target side, so a large block
-    is compared by many tasks; each pair is made once for each direction."""
-    salts = 8
-    left = items.select(F.col("id").alias("source"), block, F.col("embedding").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = items.select(F.col("id").alias("target"), block, F.col("embedding").alias("b"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    scored = left.join(right, [block, "salt"]).filter("source != target").select("source", "target", vectors.cosine(F.col("a"), F.col("b")).alias("similarity")).filter(F.col("similarity") >= least)
+    `least`; the best per_source of each (None: all), ties by target. Every pair of a block is compared, in cells, so
+    the work is the square of a block's rows, and what comes out is the links only."""
+    scored = _compared(items, [block], least, per_source)
     if per_source is None:
         return scored
     best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("similarity"), "target"))
@@ -50,15 +95,12 @@ def similar_pairs(items: DataFrame, block: str, least: float = LEAST, per_source
 
 def similar_edges(chunks: DataFrame, least: float = LEAST, per_source: int | None = PER_SOURCE, per_pair: int | None = PER_PAIR, most: int | None = MOST) -> DataFrame:
     """similar_to edges between chunks (chunk_id, path, chunk_kind, symbol_kind, symbol_name, package_key, embedding)
-    of different files. Four equality joins, one for each way to be comparable, take the place of comparing all.
+    of different files. Only rows that share a chunk kind, symbol kind, package or directory are compared, in cells.
     Kept are the best per_source edges of a source, of these per_pair for a pair of names, and `most` edges in all; None
     for any of them sets no bound."""
-    keyed = chunks.select("*", paths.dirname(F.col("path")).alias("directory"))
-    halves = []
-    for block in ("chunk_kind", "symbol_kind", "package_key", "directory"):
-        some = keyed.filter(F.col(block).isNotNull() & (F.col(block) != "")).select(F.col("chunk_id").alias("id"), block, "embedding")
-        halves.append(similar_pairs(some, block, least, None))
-    pairs = halves[0].unionByName(halves[1]).unionByName(halves[2]).unionByName(halves[3]).groupBy("source", "target").agg(F.max("similarity").alias("similarity"))
+    blocks = ["chunk_kind", "symbol_kind", "package_key", "directory"]
+    keyed = chunks.select(F.col("chunk_id").alias("id"), "embedding", *blocks[:3], paths.dirname(F.col("path")).alias("directory"))
+    pairs = _compared(keyed, blocks, least, None)
     side = lambda name, key: chunks.drop("embedding").select(F.struct(*[F.col(c) for c in chunks.columns if c != "embedding"]).alias(name), F.col("chunk_id").alias(key))
     full = pairs.join(side("s", "source"), "source").join(side("t", "target"), "target").filter("s.path != t.path")
     scored = full.withColumn("boosts", boosts("s", "t")).withColumn("score", F.col("similarity") + boost_score(F.col("boosts")))
