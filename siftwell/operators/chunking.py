@@ -85,16 +85,15 @@ def brace_depths(lines: list[str]) -> list[int]:
     return out
 
 
-def _comment_start(lines: list[str], at: int) -> int:
+def _line_marks(lines: list[str]) -> str:
+    """A letter for each line: c for comments, b for blank ones, x for others."""
+    return "".join("c" if line.startswith(("//", "*", "/*")) or line.endswith("*/") else "x" if line else "b" for line in map(str.strip, lines))
+
+
+def _comment_start(marks: str, at: int) -> int:
     """First line (from 0) of the comment above line `at`; blank lines may part them, but not comments."""
-    start = at
-    for k in range(at - 1, -1, -1):
-        line = lines[k].strip()
-        if line.startswith(("//", "*", "/*")) or line.endswith("*/"):
-            start = k
-        elif line or start != at:
-            break
-    return start
+    above = re.search("c+b*$", marks[:at])
+    return above.start() if above else at
 
 
 def declaration_chunks(lines: list[str], window: int = WINDOW_LINES, overlap: int = OVERLAP_LINES) -> list[tuple]:
@@ -113,19 +112,16 @@ def declaration_chunks(lines: list[str], window: int = WINDOW_LINES, overlap: in
         else:
             if default:
                 found.append((k, "module", "default export", "export"))
-    out = []
+    out, marks = [], _line_marks(lines)
     ends = [*(f[0] for f in found[1:]), len(lines)][: len(found)]
     for (at, kind, name, symbol), after in zip(found, ends, strict=True):
-        start, end = _comment_start(lines, at), max(at + 1, after)
-        if end - start <= window * 1.5:
+        start, end = _comment_start(marks, at), max(at + 1, after)
+        size, step = end - start, max(1, window - overlap)
+        if size <= window * 1.5:
             out.append((kind, name, symbol, start + 1, end))
-            continue
-        while True:
-            stop = min(end, start + window)
-            out.append((kind, name, symbol, start + 1, stop))
-            if stop >= end:
-                break
-            start = max(stop - overlap, start + 1)
+        else:
+            more = -(-(size - window) // step)
+            out += [(kind, name, symbol, start + k * step + 1, min(end, start + k * step + window)) for k in range(more + 1)]
     return out
 
 

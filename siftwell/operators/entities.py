@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,18 +63,13 @@ def _function_kind(name: str, lines: list[str], at: int) -> str:
     return "function"
 
 
-def _end_line(lines: list[str], at: int) -> int:
-    """Where the braces of the declaration close; without braces, the line before the next blank one."""
-    depth, opened = 0, False
+def _end_line(lines: list[str], depths: list[int], at: int) -> int:
+    """Where the depth is back at that of the declaration, from its first brace on; without one, the line before the
+    next blank one. depths: see brace_depths, with one for the end."""
     for k in range(at, len(lines)):
-        for c in _QUOTED.sub("", lines[k]):
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth = max(0, depth - 1)
-        if opened and not depth:
-            return k + 1
-        if not opened and k > at and not lines[k].strip():
+        if "{" in _QUOTED.sub("", lines[k]):
+            return next((j + 1 for j in range(k, len(lines)) if depths[j + 1] <= depths[at]), at + 1)
+        if k > at and not lines[k].strip():
             return k
     return at + 1
 
@@ -99,15 +95,15 @@ def entities_of(path: str, content: str, language: str | None = None) -> list[di
     lines, ext = split(content), (re.search(r"[^/](\.[^./]*)$", path) or ["", ""])[1].lower()
     whole = {"name": path, "qualified_name": path, "kind": "module", "symbol_kind": "module", "exported": False, "default_export": False, "start_line": 1, "end_line": max(1, len(lines)), "signature": None}
     if (language or "").startswith(("typescript", "javascript")) or ext in CODE_EXTENSIONS:
-        out, seen = [whole], {(path, "module", 1)}
-        for k, (line, depth) in enumerate(zip(lines, brace_depths(lines), strict=True)):
+        out, seen, depths = [whole], {(path, "module", 1)}, brace_depths([*lines, ""])
+        for k, (line, depth) in enumerate(zip(lines, depths, strict=False)):
             line = line.strip()
             if depth and not re.match(r"export\s+default\s+|(describe|it|test)\s*\(", line):
                 continue
             if (made := _declaration(line, lines, k)) is None or (*made[:2], k + 1) in seen:
                 continue
             seen.add((*made[:2], k + 1))
-            out.append({"name": made[0], "qualified_name": f"{path}#{made[0]}", "kind": made[1], "symbol_kind": made[2], "exported": bool(re.match(r"export\b", line)), "default_export": bool(re.match(r"export\s+default\b", line)), "start_line": k + 1, "end_line": _end_line(lines, k), "signature": line[:500]})
+            out.append({"name": made[0], "qualified_name": f"{path}#{made[0]}", "kind": made[1], "symbol_kind": made[2], "exported": bool(re.match(r"export\b", line)), "default_export": bool(re.match(r"export\s+default\b", line)), "start_line": k + 1, "end_line": _end_line(lines, depths, k), "signature": line[:500]})
         script = language in ("javascript", "javascriptreact") or (not (language or "").startswith("typescript") and ext in JAVASCRIPT_EXTENSIONS)
         return [e for e in out if not (script and e["symbol_kind"] in ("interface", "type", "enum"))]
     if language == "markdown" or path.endswith((".md", ".mdx")):
@@ -133,9 +129,15 @@ def _by_file(files: DataFrame, schema: pa.Schema, ddl: str, make) -> DataFrame:
     return files.select("repo_key", "path", "content", language).mapInArrow(run, ddl)
 
 
-def extract_entities(files: DataFrame) -> DataFrame:
-    """files: repo_key, path, content (language). One row an entity, with a stable entity_id."""
-    out = _by_file(files, _ENTITY, "repo_key string, path string, name string, qualified_name string, kind string, symbol_kind string, exported boolean, default_export boolean, start_line int, end_line int, signature string", entities_of)
+def extract_entities(files: DataFrame, extractors: dict[str, Callable[[str, str, str | None], list[dict]]] | None = None) -> DataFrame:
+    """files: repo_key, path, content (language). One row an entity, with a stable entity_id. extractors: for languages,
+    functions of (path, content, language) that stand in for entities_of."""
+    own = dict(extractors or {})
+
+    def make(path, content, language):
+        return own.get(language, entities_of)(path, content, language)
+
+    out = _by_file(files, _ENTITY, "repo_key string, path string, name string, qualified_name string, kind string, symbol_kind string, exported boolean, default_export boolean, start_line int, end_line int, signature string", make)
     return out.withColumn("entity_id", F.xxhash64("repo_key", "path", "name", "kind", "start_line"))
 
 

@@ -5,6 +5,8 @@ Updates return new snapshots and the events they cause; nothing is changed in pl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,21 +105,8 @@ def title_of(body: Column) -> Column:
 
 def extract_learning(message: Column) -> Column:
     """A struct (title, summary, rule_type, applies_when, avoid, prefer, path_globs, confidence, priority, status) of a
-    note: the first of seven wordings that fits, else the note itself. Null for blank text."""
-    body = text.compact(message)
-    null = F.lit(None).cast("string")
-    no_globs = F.lit(None).cast("array<string>")
-    soft = body.rlike(_SOFT)
-
-    def made(title, summary, kind, when, avoid=null, prefer=null, globs=no_globs, confidence=None, priority=50, status=None):
-        return F.struct(title.alias("title"), summary.alias("summary"), kind.alias("rule_type"), when.alias("applies_when"), avoid.alias("avoid"), prefer.alias("prefer"), globs.alias("path_globs"), (F.lit(1.0) if confidence is None else confidence).cast("double").alias("confidence"), F.lit(priority).alias("priority"), (F.lit("active") if status is None else status).alias("status"))
-
-    def grab(pattern: str, group: int) -> Column:
-        return _term(F.regexp_extract(body, "(?i)" + pattern, group))
-
-    def fits(pattern: str) -> Column:
-        return body.rlike("(?i)" + pattern)
-
+    note: the first of seven wordings that fits, else the note itself. Null for blank text. All that is cut out of the
+    note is found first, once, and the forms are made of these pieces."""
     # The wordings.
     never_use = r"(?:do not|don't|dont|never)\s+use\s+"
     use_comma, use_stop, use_only = never_use + r"(.+?)\s*[,;]\s*(?:use|prefer)\s+(.+)$", never_use + r"(.+?)(?:\s+here)?\.\s*(?:we\s+use|use|prefer)\s+(.+)$", never_use + r"(.+)$"
@@ -127,9 +116,27 @@ def extract_learning(message: Column) -> Column:
     tests_for = r"(?:write|writing|add|adding|include|including)\s+tests\s+for\s+(?:anything|any|all|new|every|changes?|changed)"
     under = r"always\s+add\s+tests\s+under\s+([^.;]+)$"
     bracket = rf"\((always\s+{_ACTS}\b[^)]*)\)"
+    wordings = {"use_comma": (use_comma, 2), "use_stop": (use_stop, 2), "use_only": (use_only, 1), "instead": (instead, 2), "over": (over, 2), "edit": (edit, 1), "tests_for": (tests_for, 0), "under": (under, 1), "bracket": (bracket, 1)}
+    whole = text.compact(message)
+    found = [whole.alias("body")]
+    for name, (pattern, groups) in wordings.items():
+        found.append(whole.rlike("(?i)" + pattern).alias(f"{name}_fits"))
+        found += [_term(F.regexp_extract(whole, "(?i)" + pattern, k)).alias(f"{name}_{k}") for k in range(1, groups + 1)]
+    return F.get(F.transform(F.array(F.struct(*found)), _learning_of), F.lit(0))
+
+
+def _learning_of(p: Column) -> Column:
+    """The learning that a note's pieces give."""
+    body = p["body"]
+    null = F.lit(None).cast("string")
+    no_globs = F.lit(None).cast("array<string>")
+    soft = body.rlike(_SOFT)
+
+    def made(title, summary, kind, when, avoid=null, prefer=null, globs=no_globs, confidence=None, priority=50, status=None):
+        return F.struct(title.alias("title"), summary.alias("summary"), kind.alias("rule_type"), when.alias("applies_when"), avoid.alias("avoid"), prefer.alias("prefer"), globs.alias("path_globs"), (F.lit(1.0) if confidence is None else confidence).cast("double").alias("confidence"), F.lit(priority).alias("priority"), (F.lit("active") if status is None else status).alias("status"))
 
-    avoid = F.when(fits(use_comma), grab(use_comma, 1)).when(fits(use_stop), grab(use_stop, 1)).otherwise(grab(use_only, 1))
-    prefer = F.when(fits(use_comma), grab(use_comma, 2)).when(fits(use_stop), grab(use_stop, 2)).otherwise(F.lit(""))
+    avoid = F.when(p["use_comma_fits"], p["use_comma_1"]).when(p["use_stop_fits"], p["use_stop_1"]).otherwise(p["use_only_1"])
+    prefer = F.when(p["use_comma_fits"], p["use_comma_2"]).when(p["use_stop_fits"], p["use_stop_2"]).otherwise(F.lit(""))
     has = prefer != ""
     case_avoid = made(
         F.when(has, F.concat(F.lit("Use "), prefer, F.lit(" instead of "), avoid)).otherwise(F.concat(F.lit("Avoid "), avoid)),
@@ -139,25 +146,25 @@ def extract_learning(message: Column) -> Column:
         avoid, F.nullif(prefer, F.lit("")), priority=80,
     )
 
-    def preferred(pattern, priority, confidence=None, status=None):
-        better, worse = grab(pattern, 1), grab(pattern, 2)
+    def preferred(name, priority, confidence=None, status=None):
+        better, worse = p[f"{name}_1"], p[f"{name}_2"]
         named = F.concat(F.lit("Prefer "), better, F.lit(" over "), worse)
         return made(named, F.concat(named, F.lit(".")), F.lit("prefer_pattern"), F.concat(F.lit("When choosing between "), better, F.lit(" and "), worse, F.lit(" in this repo.")), worse, better, priority=priority, confidence=confidence, status=status)
 
-    path = grab(edit, 1)
+    path = p["edit_1"]
     case_edit = made(F.concat(F.lit("Do not edit "), path), F.concat(F.lit("Do not edit "), path, F.lit(".")), F.lit("generated_code"), F.concat(F.lit("When changes would touch "), path, F.lit(".")), F.concat(F.lit("editing "), path), null, _globs(path), priority=90)
     gentle = soft & ~body.rlike(r"(?i)\balways\b")
     case_tests = made(F.lit("Add tests for new changes"), F.lit("Write tests for anything added or changed when behavior is introduced or modified."), F.lit("testing_convention"), F.lit("When adding or changing behavior in this repo."), null, F.lit("tests for new or changed behavior"), confidence=F.when(gentle, 0.75).otherwise(1.0), priority=75, status=F.when(gentle, "draft").otherwise("active"))
-    place = grab(under, 1)
+    place = p["under_1"]
     case_under = made(F.concat(F.lit("Add tests under "), place), F.concat(F.lit("Always add tests under "), place, F.lit(" when relevant changes are made.")), F.lit("testing_convention"), F.lit("When implementing or changing behavior that needs test coverage."), null, F.concat(F.lit("tests under "), place), _globs(place), priority=70)
-    advice = grab(bracket, 1)
+    advice = p["bracket_1"]
     scope = _term(F.regexp_extract(advice, r"(?i)\bfor\s+([\w\s/-]+?)(?:\s+work|\s+changes|\s+tasks)?(?:[).]|$)", 1))
     case_bracket = made(title_of(advice), F.concat(F.upper(F.substring(advice, 1, 1)), F.regexp_replace(F.substr(advice, F.lit(2)), "[.。]?$", "."), F.lit("")), rule_type_of(advice), F.when(scope != "", F.concat(F.lit("When doing "), scope, F.lit(" work in this repo."))).otherwise("When working in this repo and this guidance is relevant."), null, advice, priority=75)
     plain = made(title_of(body), body, rule_type_of(body), F.lit("When working in this repo and this guidance is relevant."))
     return (
-        F.when(body == "", None).when(fits(use_only), case_avoid)
-        .when(fits(instead), preferred(instead, 70, F.when(soft, 0.75).otherwise(1.0), F.when(soft, "draft").otherwise("active")))
-        .when(fits(over), preferred(over, 75)).when(fits(edit), case_edit).when(fits(tests_for), case_tests).when(fits(under), case_under).when(fits(bracket), case_bracket).otherwise(plain)
+        F.when(body == "", None).when(p["use_only_fits"], case_avoid)
+        .when(p["instead_fits"], preferred("instead", 70, F.when(soft, 0.75).otherwise(1.0), F.when(soft, "draft").otherwise("active")))
+        .when(p["over_fits"], preferred("over", 75)).when(p["edit_fits"], case_edit).when(p["tests_for_fits"], case_tests).when(p["under_fits"], case_under).when(p["bracket_fits"], case_bracket).otherwise(plain)
     )
 
 
@@ -169,10 +176,15 @@ def scope_globs(message: Column, globs: Column) -> Column:
     return F.when(wide | (F.size(mentioned) == 0) | (F.coalesce(F.size(globs), F.lit(0)) > 0), globs).otherwise(places)
 
 
-def capture(messages: DataFrame, message: str = "text") -> DataFrame:
+def capture(messages: DataFrame, message: str = "text", rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
     """Learning candidates of user messages: corrections only, with the lesser of the two confidences, the status that
-    follows from it, and scoped globs. Candidates that only repeat the message are left out."""
+    follows from it, and scoped globs. Candidates that only repeat the message are left out. rewrite: makes a struct
+    with fields of extract_learning of a message; what it leaves null comes from the wordings."""
     hit = messages.filter(is_correction(F.col(message))).withColumn("l", extract_learning(F.col(message)))
+    if rewrite is not None:
+        hit = hit.withColumn("w", rewrite(F.col(message)))
+        given = hit.schema["w"].dataType.names
+        hit = hit.withColumn("l", F.struct(*(F.coalesce(F.col(f"w.{n}"), F.col(f"l.{n}")).alias(n) if n in given else F.col(f"l.{n}").alias(n) for n in hit.schema["l"].dataType.names))).drop("w")
     sure = F.least(F.col("l.confidence"), correction_confidence(F.col(message)))
     generic = (F.col("l.summary") == text.compact(F.col(message))) & F.col("l.avoid").isNull() & F.col("l.prefer").isNull() & F.col("l.path_globs").isNull()
     out = hit.filter(~generic).withColumn("c", sure).withColumn("g", scope_globs(F.col(message), F.col("l.path_globs")))

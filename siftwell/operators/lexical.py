@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -28,31 +28,74 @@ def corpus_size(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def _idf(n: Column, df: Column) -> Column:
+    idf = F.ln((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, 1e-6).otherwise(idf)
+
+
+def _part(idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """key and rank (lower is better, never above 0) of documents with any of the terms. Only postings of the query's
-    terms are made; an inverse document frequency at or below 0 counts as 1e-6."""
+    """key and rank (lower is better, never above 0) of documents with any of the terms; key names a document. Only
+    counts of the query's terms are made; an inverse document frequency at or below 0 counts as 1e-6.
+
+    One pass over the texts: documents with a term come out by their key, all others as one row of sums, and both the
+    statistics and the ranks read that small table."""
     wanted = sorted(set(terms))
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("rank")).limit(0)
-    split = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    size = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = [F.aggregate("t", F.lit(0), _counter(w)) for w in wanted]
-    counted = split.select(key, "dl", *(c.alias(f"tf{k}") for k, c in enumerate(tf)))
-    matched = counted.filter(F.greatest(*(F.col(f"tf{k}") for k in range(len(wanted))), F.lit(0)) > 0)
-    dfs = counted.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))))
-    stats = size.join(F.broadcast(dfs), how="cross")  # one row each
+    split = docs.select(F.col(key).alias("k"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    names = [f"tf{k}" for k in range(len(wanted))]
+    counted = split.select("k", "dl", *((F.col("dl") - F.size(F.array_remove("t", w))).alias(n) for n, w in zip(names, wanted, strict=True)))
+    any_hit = F.greatest(*names, F.lit(0)) > 0
+    small = counted.groupBy(F.when(any_hit, F.col("k")).alias("k"), any_hit.alias("hit")).agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), *(F.max(c).alias(c) for c in names))
+    stats = small.agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"), F.count("k").alias("hits"), F.count_if("hit").alias("hit"), *(F.count_if(F.col(c) > 0).alias(f"df{c}") for c in names))
+    found = small.filter("hit AND n > 0").select("k", F.col("n").alias("own"), "dl", *names).join(F.broadcast(stats.drop("hit")), how="cross")  # one row
     rank = F.lit(0.0)
-    for k in range(len(wanted)):
-        df, n = F.col(f"df{k}"), F.col("n")
-        idf = F.ln((n - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        t = F.col(f"tf{k}")
-        rank = rank - idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return matched.join(F.broadcast(stats), how="cross").select(key, rank.alias("rank"))
+    for c in names:
+        rank = rank - _part(_idf(F.col("n"), F.col(f"df{c}")), F.col(c), F.col("dl") / F.col("own"), F.col("avgdl"), k1, b)
+    return found.select(F.col("k").alias(key), rank.alias("rank"))
+
+
+def bm25_each(docs: DataFrame, key: str, text: str, queries: DataFrame, most: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query, key and rank of the `most` best documents of each row of queries (query, terms): as bm25, for any number
+    of queries in one pass. Only postings of the queries' terms are made; ties go by key."""
+    asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
+    split = docs.select(F.col(key).alias("k"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    posted = split.select("k", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("k", "dl", "term").agg(F.count("*").alias("tf"))
+    dfs = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus_size(docs, text)), how="cross")  # one row
+    weighed = asked.join(dfs, "term").select("query", "term", _idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    part = _part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    ranked = posted.join(weighed, "term").groupBy("query", "k").agg((-F.sum(part)).alias("rank"))
+    n = F.row_number().over(Window.partitionBy("query").orderBy("rank", "k"))
+    return ranked.withColumn("n", n).filter(F.col("n") <= most).select("query", F.col("k").alias(key), "rank")
 
 
-def _counter(word: str):
-    return lambda total, token: total + (token == word).cast("int")
+POSTING_BUCKETS = 64
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def stored_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Postings with the bucket of their term, to be written partitioned by it: a search then reads its terms' buckets."""
+    return postings(docs, key, text).withColumn("bucket", bucket_of(F.col("term")))
+
+
+def bm25_stored(posted: DataFrame, size: DataFrame, key: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """As bm25, from stored postings and the corpus's size (one row: n and avgdl); no text is read."""
+    wanted = sorted(set(terms))
+    if not wanted:
+        return posted.select(key, F.lit(0.0).alias("rank")).limit(0)
+    spark = posted.sparkSession
+    buckets = sorted({r[0] for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(bucket_of(F.col("term"))).collect()})
+    hits = posted.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(size), how="cross")  # a row a query term; one row
+    return scored.groupBy(key).agg((-F.sum(_part(_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))).alias("rank"))
 
 
 def top_k(ranked: DataFrame, k: int, *tie: str) -> DataFrame:
@@ -160,7 +203,6 @@ def bm25_stemmed(docs: DataFrame, key: str, text: str, terms: list[str], k1: flo
     stems = stem_vocabulary(posted).filter(F.col("stem").isin(*wanted))
     hits = posted.join(stems, "term").groupBy(key, "dl", "stem").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("stem").agg(F.count("*").alias("df"))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = hits.join(F.broadcast(df), "stem").join(F.broadcast(corpus_size(docs, text)), how="cross")  # a row a query term; one row
-    part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = _part(_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return scored.groupBy(key).agg((-F.sum(part)).alias("rank"))

@@ -26,11 +26,16 @@ def is_code_query(query: str) -> bool:
     return not re.search(_DOC_QUERY, lower) and bool(re.search(_CODE_QUERY, lower))
 
 
-def ranking_adjustment(query: str, path: Column, chunk_kind: Column, symbol_kind: Column) -> Column:
+def ranking_adjustment(query: str | Column, path: Column, chunk_kind: Column, symbol_kind: Column) -> Column:
     """Added to a chunk's score for queries that ask for code: less for documentation and tests, more for sources and
-    symbols."""
-    if not is_code_query(query):
-        return F.lit(0.0)
+    symbols. query: one text, or a column of them."""
+    if isinstance(query, Column):
+        asks = ~F.lower(query).rlike(_DOC_QUERY) & F.lower(query).rlike(_CODE_QUERY)
+        return F.when(asks, _adjustment(path, chunk_kind, symbol_kind)).otherwise(0.0)
+    return _adjustment(path, chunk_kind, symbol_kind) if is_code_query(query) else F.lit(0.0)
+
+
+def _adjustment(path: Column, chunk_kind: Column, symbol_kind: Column) -> Column:
     lower = F.lower(path)
     part = lambda test, value: F.when(test, value).otherwise(0.0)
     symbol = symbol_kind.isNotNull() & (symbol_kind != "") & (symbol_kind != "heading")
@@ -133,11 +138,79 @@ def fuse(lexical: DataFrame, vector: DataFrame, key: str, limit: int) -> DataFra
     return both.select(key, score.alias("score"), reasons.alias("reasons"), place.alias("__p")).orderBy(F.desc("score"), "__p", key).limit(limit).drop("__p")
 
 
+def fuse_each(found: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """query, chunk_id, score, reasons and place of the best `limit` rows of each query. found: query, chunk_id, base,
+    reason (fts_match or semantic_match) and order (less is nearer); queries: query, text; chunks: chunk_id, path, and
+    chunk_kind and symbol_kind where there are any."""
+    none = F.lit(None).cast("string")
+    kind = lambda c: F.col(c) if c in chunks.columns else none
+    about = chunks.select("chunk_id", "path", kind("chunk_kind").alias("chunk_kind"), kind("symbol_kind").alias("symbol_kind"))
+    placed = found.join(about, "chunk_id").join(queries.select("query", "text"), "query")
+    score = F.col("base") + ranking_adjustment(F.col("text"), F.col("path"), F.col("chunk_kind"), F.col("symbol_kind"))
+    is_lex = F.col("reason") == "fts_match"
+    pick = lambda test, value: F.max(F.when(test, value))
+    both = placed.groupBy("query", "chunk_id").agg(pick(is_lex, score).alias("ls"), pick(~is_lex, score).alias("vs"), pick(is_lex, F.col("order")).alias("lo"), pick(~is_lex, F.col("order")).alias("vo"))
+    whole = F.coalesce(F.col("ls") * LEXICAL_SHARE, F.lit(0.0)) + F.coalesce(F.col("vs") * VECTOR_SHARE, F.lit(0.0))
+    reasons = F.array_compact(F.array(F.when(F.col("ls").isNotNull(), "fts_match"), F.when(F.col("vs").isNotNull(), "semantic_match")))
+    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("lo").asc_nulls_last(), F.col("vo").asc_nulls_last(), "chunk_id"))
+    return both.select("query", "chunk_id", whole.alias("score"), reasons.alias("reasons"), "lo", "vo").withColumn("place", n).filter(F.col("place") <= limit).drop("lo", "vo")
+
+
 def merge_queries(found: DataFrame, key: str) -> DataFrame:
     """Rows of several queries by key: the best score, and all reasons in order of their names."""
     return found.groupBy(key).agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
 
 
+# Terms that a search proposes to look up literally.
+EXACT_TERMS = ("refetchInterval", "staleTime", "invalidateQueries", "queryKey", "queryKeys", "useQuery", "AppState", "setInterval", "poll", "refresh")
+
+
+def exact_terms(found_text: Column, candidates: tuple[str, ...] = EXACT_TERMS, most: int = 6) -> Column:
+    """The first candidates that a text holds."""
+    return F.slice(F.filter(F.array(*map(F.lit, candidates)), lambda c: F.contains(found_text, c)), 1, most)
+
+
+def is_useful_symbol(symbol: Column) -> Column:
+    """Names worth proposing: of three characters at least, no test blocks, no constants in capitals."""
+    good = ~symbol.isin("default export", "describe", "test") & ~symbol.rlike("^[A-Z0-9_]+$") & (F.length(symbol) > 2)
+    return F.coalesce(good, F.lit(False))
+
+
+def seed_paths(found: DataFrame, sources: dict[str, list[str]], most: int = 8) -> DataFrame:
+    """path and place of the files that a graph summary starts from: the request's current, changed and visible ones,
+    then those of the best `most` chunks; each once, trimmed. found: path, score, chunk_id."""
+    spark = found.sparkSession
+    named = [p for kind in ("current_file", "changed_file", "visible_file") for p in sources.get(kind, [])]
+    given = spark.createDataFrame(list(enumerate(named)), "place long, path string")
+    top = found.orderBy(F.desc("score"), "chunk_id").limit(most)
+    order = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) + len(named)  # over `most` rows
+    both = given.unionByName(top.select(order.cast("long").alias("place"), "path")).withColumn("path", text.trim(F.col("path"))).filter("path != ''")
+    first = both.groupBy("path").agg(F.min("place").alias("place"))
+    return first.withColumn("place", F.row_number().over(Window.orderBy("place")))  # the request's few paths
+
+
+def is_low_value_chunk(reasons: Column, chunk_kind: Column, symbol_kind: Column, symbol_name: Column) -> Column:
+    """Types, constants and names in capitals that only the working set brought in."""
+    brought = F.forall(reasons, lambda r: r.isin("current_file", "visible_file", "changed_file"))
+    some = lambda test: F.coalesce(test, F.lit(False))
+    return some(brought) & (some(chunk_kind.isin("type", "interface")) | some(symbol_kind.isin("type", "interface", "constant")) | some(symbol_name.rlike("^[A-Z0-9_]+$")))
+
+
+def representative(found: DataFrame, limit: int, per_file: int) -> DataFrame:
+    """Of a result list (chunk_id, path, score, reasons, chunk_kind, symbol_kind, symbol_name), in its order, `limit`
+    chunks: per_file of each file, then more of these files; chunks of low value only where fewer than six others are
+    there (one at least, if there is room)."""
+    low = is_low_value_chunk(F.col("reasons"), F.col("chunk_kind"), F.col("symbol_kind"), F.col("symbol_name"))
+    order = (F.desc("score"), "chunk_id")
+    marked = found.withColumn("__low", low)
+    n = F.row_number().over(Window.partitionBy("path", "__low").orderBy(*order))
+    marked = marked.withColumn("__tier", F.when(F.col("__low"), 2).when(n <= per_file, 0).otherwise(1))
+    place = F.row_number().over(Window.orderBy("__tier", *order))  # a result list
+    good = F.count_if(F.col("__tier") < 2).over(Window.partitionBy())
+    room = F.least(F.lit(limit), F.greatest(good + F.when(good < limit, 1).otherwise(0), F.least(F.lit(min(limit, 6)), F.lit(limit))))
+    return marked.withColumn("__place", place).withColumn("__room", room).filter("__place <= __room").withColumn("place", F.col("__place")).drop("__low", "__tier", "__place", "__room")
+
+
 def balanced(found: DataFrame, limit: int, per_file: int = 2, low_share: int = 6) -> DataFrame:
     """A choice that spreads over files: up to two chunks of each file that is worth it, then the rest of those, then
     up to six of low-value files, within the limit. found: chunk_id, path, score."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,12 @@ def diff_files(diffs: DataFrame) -> DataFrame:
     return parts.groupBy("diff_id", "file_no").agg(new.alias("path"), old.alias("old_path"))
 
 
+def changed_files(diffs: DataFrame, untracked: DataFrame) -> DataFrame:
+    """diff_id and path of all files that a diff names or that are new beside it (diff_id, path), each once, trimmed."""
+    both = diff_files(diffs).select("diff_id", "path").unionByName(untracked.select("diff_id", "path"))
+    return both.withColumn("path", text.trim(F.col("path"))).filter("path != ''").distinct()
+
+
 def changed_ranges(diffs: DataFrame) -> DataFrame:
     """diff_id, path, start_line, end_line, added_lines of each hunk with new lines; deleted files are left out."""
     lines = diffs.select("diff_id", F.posexplode(F.split("diff", "\n")).alias("line_no", "line"))
@@ -126,65 +133,95 @@ def forbidden_dependencies(found: DataFrame, rules: DataFrame) -> DataFrame:
     return forbidden_imports(as_imports, rules.filter("rule_kind = 'forbidden_dependency'").withColumn("rule_kind", F.lit("forbidden_import"))).withColumn("rule_kind", F.lit("forbidden_dependency"))
 
 
-def pattern_hits(files: DataFrame, patterns: list[str], block: int = 500) -> DataFrame:
-    """files with pattern, a row for each glob that fits the path. The globs' regular expressions are an array of the
-    plan, some at a time; files are read once for each block of them."""
-    out = files.withColumn("pattern", F.lit("")).limit(0)
-    for k in range(0, len(patterns), block):
-        some = [(p, *paths.regexes(p)) for p in patterns[k : k + block]]
-        table = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(b).alias("b")) for p, w, b in some if w))
-        rel, base = paths.normalized(F.col("path")), paths.basename(paths.normalized(F.col("path")))
-        hit = _fitting(table, rel, base)
-        out = out.unionByName(files.withColumn("pattern", F.explode(F.transform(hit, lambda g: g["p"]))))
-    return out
+_SALTS = 64
+
+
+def _glob_key(glob: str) -> str:
+    """What a path must have for the glob to fit it: a directory or file that it lies at or below (d:), a name of one
+    of its segments (s:), the ending of one (e:), or nothing that could be looked up (any)."""
+    parts = re.sub(r"^\./", "", glob.strip().replace("\\", "/")).split("/")
+    plain = [not re.search(r"[*?{\[]", p) for p in parts]
+    if len(parts) > 1 and plain[0]:
+        first_wild = plain.index(False) if False in plain else len(parts)
+        return "d:" + "/".join(parts[:first_wild])
+    if True in plain:
+        return "s:" + parts[plain.index(True)]
+    ending = re.search(r"[^\]}]*(\.[\w-]+)$", parts[-1])
+    return "e:" + ending[1] if ending else "any"
+
+
+def _glob_table(patterns: DataFrame) -> DataFrame:
+    """pattern with its regular expressions for paths (w) and base names (b) and its key, for each distinct pattern;
+    those without a key stand in every salt. Blank globs fit nothing."""
+
+    @F.pandas_udf("w string, b string, key string")
+    def parse(globs: pd.Series) -> pd.DataFrame:
+        made = [(*paths.regexes(g or ""), _glob_key(g or "")) for g in globs]
+        return pd.DataFrame(made, columns=["w", "b", "key"])
 
+    made = patterns.select("pattern").filter("pattern IS NOT NULL").distinct().withColumn("g", parse("pattern")).select("pattern", "g.*").filter("w != ''")
+    salts = F.transform(F.sequence(F.lit(0), F.lit(_SALTS - 1)), lambda k: F.concat(F.lit("any:"), k.cast("string")))
+    return made.withColumn("key", F.explode(F.when(F.col("key") == "any", salts).otherwise(F.array("key"))))
 
-def _fitting(table: Column, rel: Column, base: Column) -> Column:
-    return F.filter(table, lambda g: F.call_function("rlike", rel, g["w"]) | F.call_function("rlike", base, g["b"]))
+
+def _path_keys(rel: Column) -> Column:
+    parts = F.split(rel, "/")
+    whole = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    names = F.transform(parts, lambda p: F.concat(F.lit("s:"), p))
+    endings = F.transform(parts, lambda p: F.concat(F.lit("e:"), F.regexp_extract(p, r"(\.[^.]*)$", 1)))
+    return F.array_distinct(F.concat(whole, names, endings, F.array(F.concat(F.lit("any:"), F.pmod(F.xxhash64(rel), F.lit(_SALTS)).cast("string")))))
+
+
+def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """files (path and others) with pattern, a row for each distinct glob of patterns that fits the path. Globs and paths
+    meet by a literal part of the glob, so that only likely pairs are made, and the expressions decide; globs
+    without any literal part are compared with all paths."""
+    rel = paths.normalized(F.col("path"))
+    rows = files.withColumn("__rel", rel).withColumn("key", F.explode(_path_keys(F.col("__rel"))))
+    met = rows.join(_glob_table(patterns), "key")
+    fits = F.call_function("rlike", F.col("__rel"), F.col("w")) | F.call_function("rlike", paths.basename(F.col("__rel")), F.col("b"))
+    return met.filter(fits).select(*files.columns, "pattern").distinct()
 
 
 def forbidden_edits(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules of any number against edited files, by their distinct globs."""
+    """Rules of any number against edited files, by their globs (path_globs, else the pattern)."""
     own = rules.filter("status = 'active' AND rule_kind = 'forbidden_path_edit'")
     globs = own.select("rule_id", "rule_kind", "severity", "message", F.col("pattern").alias("shown"), F.explode(F.when(F.size("path_globs") > 0, F.col("path_globs")).otherwise(F.array("pattern"))).alias("pattern"))
-    known = [r[0] for r in globs.select("pattern").distinct().orderBy("pattern").collect()]
-    hit = pattern_hits(files.select("diff_id", "path"), known).join(globs, "pattern")
+    hit = pattern_hits(files.select("diff_id", "path"), globs).join(globs, "pattern")
     return hit.select("diff_id", "rule_id", "rule_kind", "severity", "message", "path", F.col("shown").alias("pattern"), F.lit("file edited").alias("evidence")).distinct()
 
 
 def missing_tests(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Required-test rules (without source globs of their own) whose place no file of a diff with a source change is in."""
+    """Required-test rules whose place no file of a diff is in, for diffs that change a source file; where a rule has
+    globs of sources (those that name no test place), one that they fit. As every such rule wants a warning for every
+    other diff, the result, and nothing else, grows with both."""
     own = rules.filter((F.col("status") == "active") & (F.col("rule_kind") == "required_test_path") & paths.is_test_requirement(F.col("pattern")))
-    known = [r[0] for r in own.select("pattern").distinct().orderBy("pattern").collect()]
-    changed = files.filter(~paths.is_test_path(F.col("path"))).select("diff_id").distinct()
-    there = pattern_hits(files.select("diff_id", "path"), known).select("diff_id", "pattern").distinct()
-    wanted = changed.withColumn("pattern", F.explode(F.array(*map(F.lit, known)).cast("array<string>")))
-    lost = wanted.join(there, ["diff_id", "pattern"], "left_anti")
-    hit = lost.join(own.select("rule_id", "rule_kind", "severity", "message", "pattern"), "pattern")
+    own = own.withColumn("sources", F.filter(F.coalesce("path_globs", F.array().cast("array<string>")), lambda g: ~paths.is_test_requirement(g)))
+    source_files = files.filter(~paths.is_test_path(F.col("path"))).select("diff_id", "path")
+    narrow = own.filter(F.size("sources") > 0).select("rule_id", F.explode("sources").alias("pattern"))
+    named = pattern_hits(source_files, narrow).join(narrow, "pattern").select("diff_id", "rule_id")
+    wide_rules = own.filter(F.size("sources") == 0).agg(F.collect_list("rule_id").alias("ids"))
+    wide = source_files.select("diff_id").distinct().join(wide_rules, how="cross").select("diff_id", F.explode("ids").alias("rule_id"))  # one row
+    there = pattern_hits(files.select("diff_id", "path"), own).join(own.select("rule_id", "pattern"), "pattern").select("diff_id", "rule_id")
+    lost = named.unionByName(wide).distinct().join(there, ["diff_id", "rule_id"], "left_anti")
+    hit = lost.join(own.select("rule_id", "rule_kind", "severity", "message", "pattern"), "rule_id")
     return hit.select("diff_id", "rule_id", "rule_kind", "severity", "message", F.lit(None).cast("string").alias("path"), "pattern", F.concat(F.lit("no changed file matched "), "pattern").alias("evidence"))
 
 
-def glob_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """Edits of forbidden paths. rules: rule_id, severity, message, pattern and path_globs; their globs become
-    regular expressions of the plan, so that each file is read once."""
-    checks = [F.when(paths.matches_any(F.col("path"), list(r.get("path_globs") or [r["pattern"]])), F.struct(*(F.lit(r[c]).alias(c) for c in ("rule_id", "severity", "message", "pattern")))) for r in rules]
-    if not checks:
-        return files.limit(0).select("diff_id", "path", *(F.lit("").alias(c) for c in ("rule_id", "severity", "message", "pattern")), F.lit("file edited").alias("evidence"))
-    return files.select("diff_id", "path", F.explode(F.array_compact(F.array(*checks))).alias("r")).select("diff_id", "path", "r.*", F.lit("file edited").alias("evidence"))
-
+def scoped_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
+    """Rules (rule_id, scope and others) without a scope, and those with a glob in it that fits a file (path)."""
+    scoped = rules.filter(F.coalesce(F.size("scope"), F.lit(0)) > 0).select("rule_id", F.explode("scope").alias("pattern"))
+    hit = pattern_hits(files.select("path").distinct(), scoped).join(scoped, "pattern").select("rule_id").distinct()
+    return rules.filter(F.coalesce(F.size("scope"), F.lit(0)) <= 0).unionByName(rules.join(hit, "rule_id", "left_semi").select(*rules.columns))
 
-def required_tests(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """For each diff, the rules with a source change and without a changed test in the required place."""
-    out = []
-    for r in rules:
-        sources = [g for g in r.get("path_globs") or [] if not _is_requirement(g)]
-        is_source = ~paths.is_test_path(F.col("path")) & (paths.matches_any(F.col("path"), sources) if sources else F.lit(True))
-        out.append(F.when(F.bool_or(is_source) & ~F.bool_or(paths.matches_any(F.col("path"), [r["pattern"]])), F.struct(*(F.lit(r[c]).alias(c) for c in ("rule_id", "severity", "message", "pattern")), F.lit(f"no changed file matched {r['pattern']}").alias("evidence"))))
-    return files.groupBy("diff_id").agg(F.array_compact(F.array(*out)).alias("hits")).select("diff_id", F.explode("hits").alias("h")).select("diff_id", "h.*")
 
-
-def _is_requirement(glob: str) -> bool:
-    return bool(re.search(paths.TEST_REQUIREMENT, glob))
+def review_messages(warnings: DataFrame, shown: DataFrame) -> DataFrame:
+    """diff_id, message_key and warnings (their number) of the diffs that a message after an edit is due for: errors and
+    warnings only, and none whose key (all rules, paths and evidence, sorted) was shown before. shown: message_key."""
+    grave = warnings.filter("severity IN ('error', 'warning')")
+    one = F.concat_ws(":", "rule_id", F.coalesce("path", F.lit("")), F.coalesce("evidence", F.lit("")))
+    made = grave.groupBy("diff_id").agg(F.array_join(F.array_sort(F.collect_list(one)), "\n").alias("message_key"), F.count("*").alias("warnings"))
+    return made.join(shown.select("message_key").distinct(), "message_key", "left_anti").select("diff_id", "message_key", "warnings")
 
 
 def duplicate_lines(lines: DataFrame, group: str, path: str, line: str, place: str) -> DataFrame:
@@ -202,22 +239,29 @@ def added_blocks(lines: DataFrame) -> DataFrame:
     """Runs of added lines of each file, joined: diff_id, path, block, text. Only blocks worth a search are kept."""
     w = Window.partitionBy("diff_id", "file_no").orderBy("line_no")
     run = F.sum(F.when(F.col("kind") != "added", 1).otherwise(0)).over(w)
-    blocks = lines.withColumn("block", run).filter("kind = 'added'").groupBy("diff_id", "file_no", "path", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    blocks = lines.withColumn("block", F.concat_ws(":", F.col("file_no").cast("string"), run.cast("string"))).filter("kind = 'added'").groupBy("diff_id", "file_no", "path", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     body = text.trim(F.col("text"))
     worth = (F.length(body) >= 80) & ~body.rlike(r"^import\s|^export\s+\{") & body.rlike(_DRY_WORDS)
     return blocks.withColumn("text", body).filter(worth)
 
 
+def first_blocks(blocks: DataFrame, most: int) -> DataFrame:
+    """The first blocks of each diff, in the order of its files."""
+    place = F.transform(F.split("block", ":"), lambda x: x.cast("long"))
+    n = F.row_number().over(Window.partitionBy("diff_id").orderBy(place))
+    return blocks.withColumn("n", n).filter(F.col("n") <= most).drop("n")
+
+
 def dry_match(query: Column, content: Column, score: Column, semantic: Column) -> Column:
     """Enough shared terms, or a near vector and some."""
     share = text.overlap(text.code_terms(query), text.code_terms(content))
     return (share >= 0.55) | (semantic & (score >= 0.7) & (share >= 0.25))
 
 
-def dry_warnings(candidates: DataFrame, matches: DataFrame) -> DataFrame:
+def dry_warnings(candidates: DataFrame, matches: DataFrame, files: DataFrame) -> DataFrame:
     """candidates: diff_id, path, block, text; matches: diff_id, block, match_path, start_line, end_line, content, score,
-    reasons, place. The first match outside the diff's own files that resembles a candidate."""
-    changed = candidates.select("diff_id", F.col("path").alias("match_path")).distinct()
+    reasons, place; files: diff_id, path of all changed files. The first match outside them that resembles a candidate."""
+    changed = files.select("diff_id", F.col("path").alias("match_path")).distinct()
     both = candidates.join(matches, ["diff_id", "block"]).join(changed, ["diff_id", "match_path"], "left_anti")
     hit = both.filter(dry_match(F.col("text"), F.col("content"), F.col("score"), F.array_contains("reasons", "semantic_match")))
     first = F.row_number().over(Window.partitionBy("diff_id", "block", "path").orderBy("place"))

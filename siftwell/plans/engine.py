@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import chunking, entities, graph, knowledge, lexical, lifecycle, retrieval, rules
+from ..sources.store import Store
+
+#: Makes vectors: of a table, a key column and a text column, the key and an `embedding` for each row.
+Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
 @dataclass
 class Index:
-    """Derived tables of one corpus. chunks: chunk_id, path, content, ...; embeddings: chunk_id, embedding."""
+    """Derived tables of one corpus. chunks: chunk_id, path, content, ...; embeddings: chunk_id, embedding, made by
+    embed, which also makes the vectors of queries; postings and sizes: of chunks, where the index is stored."""
 
     files: DataFrame
     chunks: DataFrame
@@ -22,6 +28,9 @@ class Index:
     file_edges: DataFrame
     code_edges: DataFrame
     embeddings: DataFrame | None = None
+    postings: DataFrame | None = None
+    sizes: DataFrame | None = None
+    embed: Embedder = vectors.hash_embedding
 
 
 @dataclass
@@ -38,12 +47,33 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["repo_key", "path", "content_hash"]).withColumn("chunk_id", F.xxhash64("repo_key", "path", "content_hash"))
 
 
-def build_index(files: DataFrame, dimensions: int = 64, embed: bool = True) -> Index:
-    """files: repo_key, path, content, language. All steps are lazy plans over files."""
+def build_index(files: DataFrame, embed: Embedder | None = vectors.hash_embedding, extractors: dict[str, Callable] | None = None) -> Index:
+    """files: repo_key, path, content, language. All steps are lazy plans over files. embed: None for no vectors;
+    extractors: see entities.extract_entities."""
     chunks = with_ids(chunking.chunk_files(files))
-    found, imports = entities.extract_entities(files), entities.extract_imports(files)
-    vectors_ = vectors.hash_embedding(chunks, "chunk_id", "content", dimensions) if embed else None
-    return Index(files, chunks, found, imports, entities.file_edges(files, imports), entities.code_edges(files, found, imports), vectors_)
+    found, imports = entities.extract_entities(files, extractors), entities.extract_imports(files)
+    made = embed(chunks, "chunk_id", "content") if embed else None
+    return Index(files, chunks, found, imports, entities.file_edges(files, imports), entities.code_edges(files, found, imports), made, embed=embed or vectors.hash_embedding)
+
+
+_TABLES = [f.name for f in fields(Index) if f.name != "embed"]
+
+
+def store_index(store: Store, index: Index) -> Index:
+    """Writes all tables of an index, with the postings of its chunks by bucket of their term, and gives it as read from
+    there: searches then read the postings of their terms, and nothing is made twice."""
+    for name in _TABLES:
+        if name not in ("postings", "sizes") and getattr(index, name) is not None:
+            store.write(name, getattr(index, name))
+    chunks = store.read("chunks")
+    store.write("postings", lexical.stored_postings(chunks, "chunk_id", "content").repartition("bucket"), "bucket")
+    store.write("sizes", lexical.corpus_size(chunks, "content"))
+    return load_index(store, index.embed)
+
+
+def load_index(store: Store, embed: Embedder = vectors.hash_embedding) -> Index:
+    """The stored tables; embed has to be the one that made the stored vectors."""
+    return Index(**{name: store.read(name) if store.exists(name) else None for name in _TABLES}, embed=embed)
 
 
 def update_index(index: Index, changed: DataFrame, deleted: DataFrame) -> Index:
@@ -51,14 +81,18 @@ def update_index(index: Index, changed: DataFrame, deleted: DataFrame) -> Index:
     but edges, which other files' imports can reach, are resolved against all files."""
     gone = changed.select("path").union(deleted.select("path")).distinct()
     files = index.files.join(gone, "path", "left_anti").unionByName(changed.select(*index.files.columns))
-    new = build_index(changed.select(*index.files.columns), embed=index.embeddings is not None)
+    new = build_index(changed.select(*index.files.columns), index.embed if index.embeddings is not None else None)
     found = lifecycle.replace_for(index.entities, gone, new.entities)
     imports = lifecycle.replace_for(index.imports, gone, new.imports)
     chunks = lifecycle.replace_for(index.chunks, gone, new.chunks)
     vectors_ = None
     if index.embeddings is not None:
         vectors_ = index.embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_semi").join(new.embeddings.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.embeddings)
-    return Index(files, chunks, found, imports, entities.file_edges(files, imports), entities.code_edges(files, found, imports), vectors_)
+    return Index(files, chunks, found, imports, entities.file_edges(files, imports), entities.code_edges(files, found, imports), vectors_, embed=index.embed)
+
+
+def query_vector(index_embed: Embedder, spark, query: str) -> list[float]:
+    return index_embed(spark.createDataFrame([(0, query)], "k int, t string"), "k", "t").first()["embedding"]
 
 
 def query_terms(spark, query: str) -> list[str]:
@@ -74,7 +108,9 @@ def search(index: Index, request: Request) -> DataFrame:
     if request.mode != "semantic":
         if request.sources:
             parts.append(retrieval.score_chunks(retrieval.working_set(chunks, request.sources), request.query, request.sources, request.package_key))
-        ranked = lexical.top_k(lexical.bm25(chunks, "chunk_id", "content", query_terms(spark, request.query)), most, "chunk_id")
+        terms = query_terms(spark, request.query)
+        every = lexical.bm25(chunks, "chunk_id", "content", terms) if index.postings is None else lexical.bm25_stored(index.postings, index.sizes, "chunk_id", terms)
+        ranked = lexical.top_k(every, most, "chunk_id")
         numbered = ranked.withColumn("base", retrieval.lexical_score(F.col("rank"))).withColumn("reasons", F.array(F.lit("fts_match"))).withColumn("ordinal", (F.lit(1 << 39) - F.rint(F.col("rank") * -1_000_000)).cast("long"))
         parts.append(retrieval.score_chunks(chunks.join(F.broadcast(numbered), "chunk_id"), request.query, request.sources, request.package_key))  # at most 50 rows
     columns = ["chunk_id", "score", "reasons", "ordinal"]
@@ -84,8 +120,7 @@ def search(index: Index, request: Request) -> DataFrame:
         lex = lex.unionByName(part.select(*columns))
     vec = empty
     if index.embeddings is not None and request.mode != "lexical":
-        embedded = vectors.hash_embedding(spark.createDataFrame([(0, request.query)], "k int, t string"), "k", "t").first()["embedding"]
-        near = retrieval.vector_top_k(index.embeddings, embedded, most, "chunk_id").withColumn("base", F.col("similarity")).withColumn("reasons", F.array(F.lit("semantic_match"))).withColumn("ordinal", F.rint((1 - F.col("similarity")) * 1_000_000).cast("long"))
+        near = retrieval.vector_top_k(index.embeddings, query_vector(index.embed, spark, request.query), most, "chunk_id").withColumn("base", F.col("similarity")).withColumn("reasons", F.array(F.lit("semantic_match"))).withColumn("ordinal", F.rint((1 - F.col("similarity")) * 1_000_000).cast("long"))
         vec = retrieval.score_chunks(chunks.join(F.broadcast(near), "chunk_id"), request.query, request.sources, request.package_key).select(*columns)  # at most 50 rows
     best = retrieval.fuse(lex, vec, "chunk_id", most)
     return best.join(chunks, "chunk_id").orderBy(F.desc("score"), "chunk_id")
@@ -109,9 +144,25 @@ def analyze_changes(index: Index, diffs: DataFrame) -> DataFrame:
     return spans.join(names, "path", "left").join(graph.missing_tests(changed, made), "path", "left")
 
 
-def review(index: Index, diffs: DataFrame, learnings: DataFrame) -> DataFrame:
-    """All warnings of diffs: rules of the knowledge base and repeated added lines."""
+def similar_code(index: Index, queries: DataFrame, most: int = 5) -> DataFrame:
+    """query, chunk_id, score, reasons and place (from 1) of the `most` best chunks of each row of queries (query,
+    text): search() for a table of queries, without working sets, in one plan."""
+    asked = queries.withColumn("terms", lexical.tokens(F.array_join(text.search_terms(F.col("text")), " ")))
+    lex = lexical.bm25_each(index.chunks, "chunk_id", "content", asked.select("query", "terms"), most)
+    found = lex.select("query", "chunk_id", retrieval.lexical_score(F.col("rank")).alias("base"), F.lit("fts_match").alias("reason"), F.col("rank").alias("order"))
+    if index.embeddings is not None:
+        probes = index.embed(queries, "query", "text")
+        near = retrieval.vector_top_k_each(index.embeddings, probes, most, "chunk_id")
+        found = found.unionByName(near.select("query", "chunk_id", F.col("similarity").alias("base"), F.lit("semantic_match").alias("reason"), (1 - F.col("similarity")).alias("order")))
+    return retrieval.fuse_each(found, queries, index.chunks, most)
+
+
+def review(index: Index, diffs: DataFrame, learnings: DataFrame, candidates: int = 8, rules_extra: DataFrame | None = None) -> DataFrame:
+    """All warnings of diffs: rules of the knowledge base (and rules_extra, of rules' columns), repeated added lines,
+    and added blocks (the first `candidates` of a diff) that resemble code of the index."""
     drafted = rules.make_rules(learnings)
+    if rules_extra is not None:
+        drafted = drafted.unionByName(rules_extra, allowMissingColumns=True)
     lines, files = rules.diff_lines(diffs), rules.diff_files(diffs)
     columns = ["diff_id", "rule_id", "rule_kind", "severity", "message", "path", "pattern", "evidence"]
     found = [
@@ -123,12 +174,29 @@ def review(index: Index, diffs: DataFrame, learnings: DataFrame) -> DataFrame:
     repeated = rules.duplicate_lines(lines.filter("kind = 'added'"), "diff_id", "path", "text", "line_no").withColumns({"rule_id": F.lit("intrinsic:duplicate_added_text"), "severity": F.lit("warning"), "message": F.lit("Added text repeats; consider sharing it.")})
     repeated = repeated.withColumns({"rule_kind": F.lit("duplicate_added_text"), "path": F.lit(None).cast("string")})
     found.append(repeated.select(*columns))
+    if index.chunks is not None:
+        found.append(_dry_rows(index, diffs, candidates).select(*columns))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return rules.dedupe_warnings(out)
 
 
+def _dry_rows(index: Index, diffs: DataFrame, candidates: int) -> DataFrame:
+    return dry_warnings(index, diffs, candidates).withColumns({"rule_id": F.lit("intrinsic:codebase_dry_similarity"), "rule_kind": F.lit("duplicate_added_text"), "severity": F.lit("warning"), "message": F.lit("Added code resembles indexed code; see whether that can be used instead.")})
+
+
+def dry_warnings(index: Index, diffs: DataFrame, candidates: int = 8) -> DataFrame:
+    """diff_id, path, pattern and evidence of added blocks that resemble chunks of files outside the diff."""
+    lines = rules.diff_lines(diffs)
+    blocks = rules.first_blocks(rules.added_blocks(lines), candidates)
+    key = F.concat_ws("|", F.col("diff_id").cast("string"), "block")
+    near = similar_code(index, blocks.select(key.alias("query"), "text"))
+    chunks = index.chunks.select("chunk_id", F.col("path").alias("match_path"), "start_line", "end_line", "content")
+    matches = blocks.select("diff_id", "block", key.alias("query")).join(near, "query").join(chunks, "chunk_id")
+    return rules.dry_warnings(blocks, matches, rules.diff_files(diffs))
+
+
 def record_learning(learnings: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(snapshot, created): candidates that repeat a learning make it surer, the others are to be added."""
     twice = knowledge.find_duplicates(candidates, learnings)
@@ -142,10 +210,9 @@ def record_feedback(learnings: DataFrame, feedback: DataFrame) -> tuple[DataFram
     return record_learning(learnings, made.join(F.broadcast(repo), how="cross"))  # one row
 
 
-def search_learnings(learnings: DataFrame, query: str, package_key: str | None = None, limit: int = 8) -> DataFrame:
-    """The best learnings for a query, lexical and by hash vectors of their embedding texts."""
+def search_learnings(learnings: DataFrame, query: str, package_key: str | None = None, limit: int = 8, embed: Embedder = vectors.hash_embedding) -> DataFrame:
+    """The best learnings for a query, lexical and by vectors of their embedding texts."""
     spark = learnings.sparkSession
-    probe = vectors.hash_embedding(spark.createDataFrame([(0, query)], "k int, t string"), "k", "t").first()["embedding"]
     bodies = knowledge.usable(learnings, package_key).withColumn("__body", knowledge.embedding_text())
-    near = retrieval.vector_top_k(vectors.hash_embedding(bodies, "learning_id", "__body"), probe, limit, "learning_id")
+    near = retrieval.vector_top_k(embed(bodies, "learning_id", "__body"), query_vector(embed, spark, query), limit, "learning_id")
     return knowledge.search(learnings, query_terms(spark, query), near, package_key, limit)

@@ -254,16 +254,20 @@ def rule_eval_forbidden(spark, sf):
     return hit.select("diff_id", F.substring_index("rule_id", ":", 1).alias("learning_id"), "path", "pattern")
 
 
+def _rule_rows(spark, kind, rows):
+    return spark.createDataFrame([(i, kind, pattern, "m", globs, "error", "active") for i, pattern, globs in rows], "rule_id string, rule_kind string, pattern string, message string, path_globs array<string>, severity string, status string")
+
+
 @query(f"SELECT doc_id AS diff_id, path, 'r1' AS rule_id FROM {_MADE} WHERE contains(path, '/gen/') UNION ALL SELECT doc_id, path, 'r2' FROM {_MADE} WHERE ends_with(path, '.PNG')")
 def rule_eval_paths(spark, sf):
-    found = [{"rule_id": "r1", "severity": "error", "message": "m", "pattern": "gen", "path_globs": None}, {"rule_id": "r2", "severity": "error", "message": "m", "pattern": "x", "path_globs": ["*.PNG"]}]
-    return rules.glob_rules(rules.diff_files(_diffs(spark, sf)), found).select("diff_id", "path", "rule_id")
+    found = _rule_rows(spark, "forbidden_path_edit", [("r1", "gen", None), ("r2", "x", ["*.PNG"])])
+    return rules.forbidden_edits(rules.diff_files(_diffs(spark, sf)), found).select("diff_id", "path", "rule_id")
 
 
 @query(f"SELECT doc_id AS diff_id, 'r1' AS rule_id FROM documents WHERE doc_id % 6 <> 1 UNION ALL SELECT doc_id, 'r2' FROM documents WHERE doc_id % 6 = 0")
 def rule_eval_required(spark, sf):
-    found = [{"rule_id": "r1", "severity": "warning", "message": "m", "pattern": "test/**", "path_globs": ["test/**"]}, {"rule_id": "r2", "severity": "warning", "message": "m", "pattern": "tests/**", "path_globs": ["src/**", "tests/**"]}]
-    return rules.required_tests(rules.diff_files(_diffs(spark, sf)), found).select("diff_id", "rule_id")
+    found = _rule_rows(spark, "required_test_path", [("r1", "test/**", ["test/**"]), ("r2", "tests/**", ["src/**", "tests/**"])])
+    return rules.missing_tests(rules.diff_files(_diffs(spark, sf)), found).select("diff_id", "rule_id")
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_P} AS path FROM documents), r AS (SELECT path, 1 + doc_id % 9 AS a, 4 + doc_id % 9 AS b FROM d), e AS (SELECT doc_id, path, unnest(['fn_' || doc_id, 'C_' || doc_id]) AS name, unnest([4, 8]) AS line FROM d)
@@ -274,15 +278,15 @@ def declared_range_join(spark, sf):
     return graph.in_ranges(found.filter("kind != 'module'").select("path", "name", "start_line"), ranges)
 
 
-@query()
+@query(f"""WITH r AS ({_RULES}), m AS {_MADE}, i AS (SELECT doc_id AS diff_id, count(*) AS n FROM m JOIN r ON rule_kind = 'forbidden_import' AND pattern IN ('pkg' || doc_id % 7, 'tool' || doc_id % 5) GROUP BY doc_id),
+e AS (SELECT doc_id AS diff_id, count(*) AS n FROM m JOIN r ON rule_kind = 'forbidden_path_edit' AND starts_with(path, replace(pattern, '**', '')) GROUP BY doc_id),
+t AS (SELECT doc_id AS diff_id, count(*) AS n FROM m JOIN r ON rule_kind = 'required_test_path' AND NOT starts_with(path, replace(pattern, '**', '')) GROUP BY doc_id)
+SELECT diff_id, coalesce(i.n, 0) + coalesce(e.n, 0) AS errors, coalesce(t.n, 0) AS others FROM t FULL JOIN i USING (diff_id) FULL JOIN e USING (diff_id)""")
 def change_review(spark, sf):
     """All warnings of all diffs against all learnings."""
     from . import engine
 
-    file, code, found = _edges(spark, sf)
-    files, _, imports = _index(spark, sf)
-    index = engine.Index(files, files, found, imports, file, code)
-    return rules.warning_counts(engine.review(index, _diffs(spark, sf), _learnings(spark, sf)))
+    return rules.warning_counts(engine.review(engine.build_index(_code_files(spark, sf)), _diffs(spark, sf), _learnings(spark, sf)))
 
 
 @query(f"""SELECT path, CAST(CASE WHEN regexp_matches(path, '\\b(src|app|packages|lib)/') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(path, '\\.test\\.ts$') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(path, '\\.(ts|tsx|js)$') THEN 2 ELSE 0 END + CASE WHEN contains(path, 'view') OR contains(path, 'View') THEN 3 ELSE 0 END AS INTEGER) AS priority
