@@ -172,8 +172,8 @@ def test_added_blocks_and_dry_matches(spark):
     blocks = rules.added_blocks(rules.diff_lines(diffs))
     assert blocks.count() == 1
     matches = blocks.select("diff_id", "block", F.lit("lib/money.ts").alias("match_path"), F.lit(1).alias("start_line"), F.lit(4).alias("end_line"), F.lit("function parseAmount(value) { const normalized = value.replace(); return Number.parseFloat(normalized) }").alias("content"), F.lit(0.4).alias("score"), F.array(F.lit("fts_match")).alias("reasons"), F.lit(1).alias("place"))
-    assert [r["evidence"] for r in rules.dry_warnings(blocks, matches).collect()] == ["similar to lib/money.ts:1-4 (fts_match)"]
-    assert rules.dry_warnings(blocks, matches.withColumn("match_path", F.lit("a.ts"))).count() == 0
+    assert [r["evidence"] for r in rules.dry_warnings(blocks, matches, blocks).collect()] == ["similar to lib/money.ts:1-4 (fts_match)"]
+    assert rules.dry_warnings(blocks, matches.withColumn("match_path", F.lit("a.ts")), blocks).count() == 0
 
 
 def test_closure_ends_on_cycles(spark):
