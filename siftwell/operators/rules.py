@@ -227,7 +227,8 @@ def review_messages(warnings: DataFrame, shown: DataFrame) -> DataFrame:
 def duplicate_lines(lines: DataFrame, group: str, path: str, line: str, place: str) -> DataFrame:
     """Long lines that a group has more than once: pattern, count, and the first four places as evidence. Only four
     places of a line are ever held."""
-    form = lines.select(group, path, F.col(place).alias("place"), text.trim(F.col(line)).alias("shown"), text.duplicate_form(F.col(line)).alias("pattern")).filter("pattern IS NOT NULL")
+    long = lines.filter(F.length(line) >= 80)  # the form is never longer
+    form = long.select(group, path, F.col(place).alias("place"), text.trim(F.col(line)).alias("shown"), text.duplicate_form(F.col(line)).alias("pattern")).filter("pattern IS NOT NULL")
     w = Window.partitionBy(group, "pattern")
     counts = form.groupBy(group, "pattern").agg(F.count("*").alias("n")).filter("n > 1")
     first = form.join(counts, [group, "pattern"], "left_semi").withColumn("k", F.row_number().over(w.orderBy(path, "place"))).filter("k <= 4")

@@ -84,6 +84,56 @@ def edge_kind_stats(spark, sf):
     return stats.by_kind(entities.code_edges(*_index(spark, sf)))
 
 
+_FORMS = """import React from "react"
+import { z } from 'zod'
+
+export function useThing_N(x) {
+  return useOther_N(x)
+}
+
+export function Home_NScreen() {
+  return <Panel title="x" />
+}
+
+export const Card_N = () => <Panel.Box />
+const LIMIT_N = 5
+export const user_NSchema = z.object({})
+export interface Shape_N {
+  a: number
+}
+type Kind_N = 'a' | 'b'
+enum Color_N { Red }
+
+export default class Main_N extends Base {
+  go() { return 1 }
+}
+
+describe('suite_N', () => {
+  it("works_N", () => { useThing_N(1) })
+})"""
+
+
+def _form_files(spark, sf):
+    """A module with a declaration of each form for each document."""
+    n = F.col("doc_id").cast("string")
+    return table(spark, sf, "documents").select("doc_id", F.lit("r").alias("repo_key"), F.concat(F.lit("ui/m"), n, F.lit(".tsx")).alias("path"), F.replace(F.lit(_FORMS), F.lit("_N"), F.concat(F.lit("_"), n)).alias("content"), F.lit("typescriptreact").alias("language"))
+
+
+@query("""SELECT 'ui/m' || doc_id || '.tsx' AS path, CASE WHEN kind = 'module' THEN 'ui/m' || doc_id || '.tsx' ELSE replace(name, '_N', '_' || doc_id) END AS name, kind, symbol_kind, exported, default_export, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line
+FROM documents, (VALUES ('', 'module', 'module', false, false, 1, 27), ('useThing_N', 'hook', 'function', true, false, 4, 6), ('Home_NScreen', 'screen', 'function', true, false, 8, 10), ('Card_N', 'component', 'function', true, false, 12, 14), ('LIMIT_N', 'constant', 'constant', false, false, 13, 14), ('user_NSchema', 'schema', 'constant', true, false, 14, 14),
+ ('Shape_N', 'interface', 'interface', true, false, 15, 17), ('Kind_N', 'type', 'type', false, false, 18, 19), ('Color_N', 'type', 'enum', false, false, 19, 19), ('Main_N', 'class', 'class', true, true, 21, 23), ('suite_N', 'test_suite', 'describe', false, false, 25, 27), ('works_N', 'test_case', 'it', false, false, 26, 26)) AS v(name, kind, symbol_kind, exported, default_export, a, b)""")
+def code_entity_forms(spark, sf):
+    return entities.extract_entities(_form_files(spark, sf)).select("path", "name", "kind", "symbol_kind", "exported", "default_export", "start_line", "end_line")
+
+
+@query("SELECT 'ui/m' || doc_id || '.tsx' AS path, kind, CAST(n AS BIGINT) AS n, CAST(found AS BIGINT) AS found FROM documents, (VALUES ('uses_hook', 3, 2), ('renders', 2, 0), ('calls', 7, 0)) AS v(kind, n, found)")
+def code_edge_forms(spark, sf):
+    """Hooks, elements and calls of each form; found: those whose target is a declaration."""
+    files = _form_files(spark, sf)
+    edges = entities.code_edges(files, entities.extract_entities(files), entities.extract_imports(files))
+    return edges.groupBy(F.col("source_path").alias("path"), "kind").agg(F.count("*").alias("n"), F.count("target_path").alias("found"))
+
+
 def _edges(spark, sf):
     files, found, imports = _index(spark, sf)
     return entities.file_edges(files, imports), entities.code_edges(files, found, imports), found

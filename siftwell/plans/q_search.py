@@ -229,3 +229,23 @@ def flagship(spark, sf):
 @query()
 def hybrid_search(spark, sf):
     return flagship(spark, sf)
+
+
+_ASKED = "nicht thereou les tion"
+_HASHED = """SELECT id, place, sum(s) AS v FROM (SELECT id, CAST(('0x' || sha256(w)[1:8]) AS BIGINT) % 64 AS place, CASE WHEN CAST(('0x' || sha256(w)[9:10]) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS w FROM ({rows}))) GROUP BY ALL"""
+
+
+@query(f"""WITH {_bm25_sql("['nicht', 'thereou', 'les', 'tion']")}, l AS (SELECT doc_id, (1::BIGINT << 39) - CAST(round_even(rank * -1000000, 0) AS BIGINT) AS o FROM r ORDER BY rank, doc_id LIMIT 12),
+e AS ({_HASHED.format(rows="SELECT doc_id AS id, text AS t FROM documents")}), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM e GROUP BY id),
+q AS ({_HASHED.format(rows=f"SELECT 0 AS id, '{_ASKED}' AS t")}), m AS (SELECT sqrt(sum(v * v)) AS m FROM q),
+c AS (SELECT e.id AS doc_id, sum(e.v * q.v) / any_value(n * m) AS c FROM e JOIN q USING (place) JOIN n ON n.id = e.id, m GROUP BY e.id),
+v AS (SELECT doc_id, c FROM c WHERE c > 0 ORDER BY c DESC, doc_id LIMIT 12),
+b AS (SELECT coalesce(l.doc_id, v.doc_id) AS doc_id, 0.45 * (l.doc_id IS NOT NULL)::INT + 0.55 * coalesce(c, 0) AS score, CASE WHEN l.doc_id IS NULL THEN 'semantic_match' WHEN v.doc_id IS NULL THEN 'fts_match' ELSE 'fts_match,semantic_match' END AS reasons,
+ coalesce(l.o, CAST(round_even((1 - c) * 1000000, 0) AS BIGINT) + (1::BIGINT << 40)) AS place FROM l FULL JOIN v ON l.doc_id = v.doc_id)
+SELECT doc_id, round(score, 6) AS score, reasons FROM b ORDER BY b.score DESC, place, doc_id LIMIT 12""")
+def hybrid_documents(spark, sf):
+    """The whole search, with each document as one chunk: terms, lexical and vector halves, and their fusion."""
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit("/d"), "doc_id").alias("path"), F.col("text").alias("content"))
+    index = engine.Index(chunks, chunks, *[None] * 4, embeddings=vectors.hash_embedding(chunks, "chunk_id", "content"))
+    found = engine.search(index, engine.Request(_ASKED, limit=12))
+    return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
