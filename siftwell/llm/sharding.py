@@ -40,7 +40,8 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> DataFrame:
     """Rows of docs with shard, grown_shard (with one shard more), size (UTF-8 bytes of text, 0 for null, plus 1) and
-    text_crc32 (null: of no bytes). Only the key and the number of shards decide; a null key counts as a key of its own."""
+    text_crc32 (null: of no bytes). Earlier columns of these names are replaced, others pass through. Only the key and
+    the number of shards decide, for repeated rows as for any; a null key counts as a key of its own."""
     hashed = F.coalesce(F.xxhash64(F.col(key).cast("string")), F.lit(0).cast("long"))
     sized = docs.withColumns({"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long"), own("key"): hashed})
     return sized.withColumns({"shard": shard_of(F.col(own("key")), shards), "grown_shard": shard_of(F.col(own("key")), shards + 1)}).drop(own("key"))
