@@ -219,9 +219,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, shares, threshold: float) -> D
 
 
 def _dealt_anew(sums: DataFrame, key: str) -> DataFrame:
-    """Sums by key, with the key under another name that the planner takes for a new value. So the join on it gets an
-    exchange of its own on both sides, and the adaptive planner can split a node with very many links over tasks."""
-    return sums.withColumn(own(key), F.concat(key, F.lit(bytearray()))).drop(key)
+    """Sums by key (binary or long), with the key under another name that the planner takes for a new value. So the
+    join on it gets an exchange of its own on both sides, and the adaptive planner can split a key with very many rows
+    over tasks."""
+    anew = F.concat(key, F.lit(bytearray())) if dict(sums.dtypes)[key] == "binary" else F.col(key).bitwiseXOR(F.lit(0))
+    return sums.withColumn(own(key), anew).drop(key)
+
+
+def _with_sums(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """The rows of which the key has sums, with these; a key may hold any share of the rows."""
+    return rows.join(_dealt_anew(sums, key), F.col(key) == F.col(own(key))).drop(own(key))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,10 +279,10 @@ def _met(banded: DataFrame) -> DataFrame:
     """Texts that share a bucket: band, key, n (texts of the bucket) and mid and side, the two that its others are
     compared with. mid is the text that meets most others over all its bands, so that it stands in the middle of a
     family and links most of it at once; side has the least key but for mid's. banded: key, band."""
-    shared = settle(banded.join(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"))
+    shared = settle(_with_sums(banded, banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"))
     weighed = shared.join(shared.groupBy("key").agg(F.sum("n").alias("c")), "key")
     ends = weighed.groupBy("band").agg(F.max(F.struct("c", "key"))["key"].alias("mid"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-    return settle(shared.join(ends, "band").select("band", "key", "n", "mid", F.when(F.col("lo") != F.col("mid"), F.col("lo")).otherwise(F.col("hi")).alias("side")))
+    return settle(_with_sums(shared, ends, "band").select("band", "key", "n", "mid", F.when(F.col("lo") != F.col("mid"), F.col("lo")).otherwise(F.col("hi")).alias("side")))
 
 
 def _in_cells(met: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, shares, threshold: float, cell: int = 0) -> DataFrame:
@@ -287,13 +294,13 @@ def _in_cells(met: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFr
     rooted = settle(inner.join(joined.hint("merge"), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root")))
     counts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n")).filter("m.n < n").select("band", F.col("m.root").alias("main"))
-    many = settle(rooted.join(main, "band").join(sizes, "key"))
+    many = settle(_with_sums(rooted, main, "band").join(sizes, "key"))
     cells = lambda c: F.ceil(c / (cell or _CELL_BYTES)).cast("int")
     cut = many.groupBy("band").agg(cells(F.sum(F.when(F.col("root") != F.col("main"), F.col("size")))).alias("ps"), cells(F.sum("size")).alias("qs"))
     slot = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     places = lambda n, p, q, first: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct(F.lit(first).alias("first"), (slot("ps") if p else k).alias("p"), (k if p else slot("qs")).alias("q")))
     firsts = F.when(F.col("root") != F.col("main"), places("qs", True, False, True)).otherwise(F.array().cast("array<struct<first:boolean,p:int,q:int>>"))
-    held = many.join(cut, "band").join(texts, "key").select("band", "key", "root", "main", "text", F.explode(F.concat(firsts, places("ps", False, True, False))).alias("at"))
+    held = _with_sums(many, cut, "band").join(texts, "key").select("band", "key", "root", "main", "text", F.explode(F.concat(firsts, places("ps", False, True, False))).alias("at"))
     dealt = held.select("band", "at.p", "at.q", "at.first", "key", "root", "main", "text")
 
     def compare(table: pa.Table) -> pa.Table:
