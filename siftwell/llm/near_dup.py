@@ -227,8 +227,9 @@ def _dealt_anew(sums: DataFrame, key: str) -> DataFrame:
 
 
 def _with_sums(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
-    """The rows of which the key has sums, with these; a key may hold any share of the rows."""
-    return rows.join(_dealt_anew(sums, key), F.col(key) == F.col(own(key))).drop(own(key))
+    """The rows of which the key has sums, with these; a key may hold any share of the rows. A merge join, as a
+    broadcast fills the driver."""
+    return rows.join(_dealt_anew(sums, key).hint("merge"), F.col(key) == F.col(own(key))).drop(own(key))
 
 
 def components(links: DataFrame) -> DataFrame:
