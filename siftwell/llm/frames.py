@@ -6,6 +6,7 @@ import gc
 import math
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,3 +77,16 @@ def gapless(df: DataFrame, group: str, order: list[str], out: str, rows: int) ->
     counts = counts.select(group, bucket, F.coalesce(F.sum(size).over(ahead), F.lit(0)).alias(before))
     numbered = dealt.withColumn(within, F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order)) - 1)
     return numbered.join(counts, [group, bucket]).withColumn(out, (F.col(before) + F.col(within)).cast("long")).drop(bucket, before, within)
+
+
+@contextmanager
+def written(df: DataFrame, name: str):
+    """df as a Parquet table in the shared folder, read again. The table goes when the block ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.parquet(path)
+    finally:
+        delete_folder(spark, path)

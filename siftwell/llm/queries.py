@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dup, packing, pu_classifier, quality_rules, sharding, substring_dedup, url_filter, warc
+from . import decontaminate, language_id, line_dedup, near_dup, packing, pu_classifier, quality_rules, sharding, substring_dedup, url_filter, vector_codes, warc, whitening
 from .frames import table
 
 
@@ -77,6 +77,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "of"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
@@ -88,6 +104,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _WORDS2 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -141,4 +160,14 @@ SELECT 'v' || v.page_id AS record_id, v.canon AS canonical_url, 'r' || rid AS re
        CASE WHEN rid IS NULL THEN 'missing' WHEN r.tag = v.tag THEN 'resolved' ELSE 'changed' END AS outcome,
        '"' || v.tag || '"' AS etag, CASE WHEN r.tag = v.tag THEN r.size ELSE '0' END AS size, v.page_id || '+1' AS "date"
 FROM c v JOIN m USING (page_id) LEFT JOIN c r ON r.page_id = m.rid""",
+    "op12_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, j, translate(trim(l[j], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT *, unnest(range(1, len(l) + 1)) AS j FROM d)),
+f AS (SELECT k, max(doc_id) AS keeper FROM x WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT r, list(j) AS gone FROM x JOIN f USING (k) WHERE doc_id <> keeper GROUP BY r)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(l, chr(10))
+              ELSE coalesce(array_to_string(list_filter(l, lambda s, i: NOT list_contains(gone, i)), chr(10)), '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (r)""",
 }

@@ -1,4 +1,4 @@
-"""Sums of long vectors over all rows of a corpus, in bounded memory on every executor and on the driver."""
+"""Columns of vectors, and sums of long vectors over all rows in bounded memory on every executor and on the driver."""
 
 from __future__ import annotations
 
@@ -6,13 +6,41 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .words import rows_of
 
 _SLICES = 32
 
 
+def whole(vector: str, below: float) -> Column:
+    """Whether a vector is there and holds finite numbers only, all of them less than `below` from 0."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) >= below))
+
+
+def common_length(df: DataFrame, vector: str) -> int:
+    """The length that most rows' vectors have, the larger of two; 0 without rows."""
+    found = df.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return found["size"] if found else 0
+
+
+def matrix(lists, length: int) -> np.ndarray:
+    """An Arrow column of lists of one length as rows of int64."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(lists), length)
+
+
+def int_sum(values: np.ndarray, most: int) -> list[int]:
+    """Exact sums over axis 0. most: a bound of the absolute values."""
+    if most * max(1, len(values)) < 2**62:
+        return [int(x) for x in values.sum(axis=0)]
+    return [int(x) for x in values.astype(object).sum(axis=0)] if len(values) else [0] * values.shape[1]
+
+
+def magnitude(*values: np.ndarray) -> int:
+    return max((max(int(v.max()), -int(v.min())) for v in values if v.size), default=0)
+
+
 def summed(df: DataFrame, totals: Callable[[Iterable[pa.RecordBatch]], np.ndarray], length: int) -> np.ndarray:
     """The sum over all partitions of totals(batches), a float64 vector of the given length.
 
