@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import globs
+
 # File name extensions with their languages, and extensions of binary files.
 LANGUAGES = {
     ".ts": "typescript", ".tsx": "typescriptreact", ".js": "javascript", ".jsx": "javascriptreact", ".mjs": "javascript",
@@ -61,14 +63,14 @@ def is_binary_content(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 4096)).rlike("^(..)*?00")
 
 
-def generated_reason(path: Column, content: Column, globs: Iterable[str] = ()) -> Column:
+def generated_reason(path: Column, content: Column, configured: Iterable[str] = ()) -> Column:
     """Why a file counts as generated: configured globs, a directory, a lock file, or a mark in its first 4096
     characters, in this order; null if it does not."""
     rel = normalized(path)
     head = F.lower(F.substring(content, 1, 4096))
     marks = [F.when(F.contains(head, F.lit(m)), F.lit(f"header marker: {m}")) for m in GENERATED_MARKERS]
     return F.coalesce(
-        F.when(matches_any(path, list(globs)), "configured generatedPaths match"),
+        F.when(matches_any(path, list(configured)), "configured generatedPaths match"),
         F.when(F.arrays_overlap(F.split(F.lower(rel), "/"), F.array(*map(F.lit, GENERATED_DIRECTORIES))), "generated directory path"),
         F.when(F.lower(basename(rel)).isin(*GENERATED_NAMES), "lockfile/generated artifact"),
         *marks,
@@ -96,66 +98,26 @@ def feature_root(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"^((?:(?!features/)[^/]*/)*?features/[^/]+)(?:/|$)", 1), F.lit(""))
 
 
-def _segment(glob: str) -> str:
-    out, k = "", 0
-    while k < len(glob):
-        c = glob[k]
-        if c == "*":
-            out += "[^/]*"
-        elif c == "?":
-            out += "[^/]"
-        elif c == "{" and (end := glob.find("}", k)) > 0:
-            out += "(?:" + "|".join(_segment(part) for part in glob[k + 1 : end].split(",")) + ")"
-            k = end
-        elif c == "[" and (end := glob.find("]", k + 2)) > 0:
-            body = glob[k + 1 : end]
-            out += "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]"
-            k = end
-        else:
-            out += re.escape(c)
-        k += 1
-    return out
-
-
-def glob_regex(glob: str) -> str:
-    """The regular expression of a glob, to match whole paths: * and ? stay in a segment, ** spans segments, names
-    that begin with a dot count like others, case matters."""
-    parts, out = glob.split("/"), ""
-    for k, part in enumerate(parts):
-        last = k == len(parts) - 1
-        if part == "**":
-            out += ".*" if last else "(?:[^/]+/)*"
-        else:
-            one = _segment(part)
-            out += (f"(?=[^/]){one}" if part.startswith(("*", "?")) else one) + ("" if last else "/")
-    return out
-
-
-def _regexes(pattern: str) -> tuple[list[str], list[str]]:
-    """Regular expressions for the path and for the base name."""
-    pattern = re.sub(r"^\./", "", pattern.strip().replace("\\", "/"))
-    if not pattern:
-        return [], []
-    whole = [pattern, f"{pattern}/**"]
-    if "/" not in pattern:
-        whole += [f"**/{pattern}", f"**/{pattern}/**"]
-    return [glob_regex(p) for p in whole], [glob_regex(pattern)]
+def single_slashes(path: Column) -> Column:
+    """A normalized path without empty segments, for globs."""
+    return F.regexp_replace(normalized(path), "//+", "/")
 
 
 def regexes(pattern: str) -> tuple[str, str]:
-    """What a glob means for a path and for its base name, each one expression; empty for a blank glob."""
-    whole, base = _regexes(pattern)
-    return ("^(?:" + "|".join(whole) + ")$", "^(?:" + "|".join(base) + ")$") if whole else ("", "")
+    """What a glob means for a path and for its base name, each one expression; empty for what fits nothing."""
+    found, base = globs.of_pattern(pattern)
+    return globs.whole(found), globs.whole(base)
 
 
 def matches_any(path: Column, patterns: list[str]) -> Column:
     """A glob fits the path, its base name, or a directory above it; one without a slash may stand at any depth."""
-    both = [_regexes(p) for p in patterns]
-    whole, base = [r for w, _ in both for r in w], [r for _, b in both for r in b]
-    if not whole:
+    both = [globs.of_pattern(p) for p in patterns]
+    found, base = (list(dict.fromkeys(r for pair in both for r in pair[k])) for k in (0, 1))
+    if not found:
         return F.lit(False)
-    rel = normalized(path)
-    return rel.rlike("^(?:" + "|".join(whole) + ")$") | basename(rel).rlike("^(?:" + "|".join(base) + ")$")
+    rel = single_slashes(path)
+    fits = rel.rlike(globs.whole(found))
+    return fits | basename(rel).rlike(globs.whole(base)) if base else fits
 
 
 def longest_prefix(path: Column, packages: dict[str, str]) -> Column:

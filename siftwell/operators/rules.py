@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from ..functions import globs, paths, text
 
 # Patterns of diffs and manifests.
 _FILE = r"^diff --git a/(.+?) b/(.+)$"
@@ -136,32 +136,18 @@ def forbidden_dependencies(found: DataFrame, rules: DataFrame) -> DataFrame:
 _SALTS = 64
 
 
-def _glob_key(glob: str) -> str:
-    """What a path must have for the glob to fit it: a directory or file that it lies at or below (d:), a name of one
-    of its segments (s:), the ending of one (e:), or nothing that could be looked up (any)."""
-    parts = re.sub(r"^\./", "", glob.strip().replace("\\", "/")).split("/")
-    plain = [not re.search(r"[*?{\[]", p) for p in parts]
-    if len(parts) > 1 and plain[0]:
-        first_wild = plain.index(False) if False in plain else len(parts)
-        return "d:" + "/".join(parts[:first_wild])
-    if True in plain:
-        return "s:" + parts[plain.index(True)]
-    ending = re.search(r"[^\]}]*(\.[\w-]+)$", parts[-1])
-    return "e:" + ending[1] if ending else "any"
-
-
 def _glob_table(patterns: DataFrame) -> DataFrame:
-    """pattern with its regular expressions for paths (w) and base names (b) and its key, for each distinct pattern;
-    those without a key stand in every salt. Blank globs fit nothing."""
+    """pattern with its regular expressions for paths (w) and base names (b) and a row for each of its keys, for each
+    distinct pattern; those without a key stand in every salt. Blank globs fit nothing."""
 
-    @F.pandas_udf("w string, b string, key string")
-    def parse(globs: pd.Series) -> pd.DataFrame:
-        made = [(*paths.regexes(g or ""), _glob_key(g or "")) for g in globs]
-        return pd.DataFrame(made, columns=["w", "b", "key"])
+    @F.pandas_udf("w string, b string, keys array<string>")
+    def parse(patterns: pd.Series) -> pd.DataFrame:
+        made = [(*paths.regexes(g or ""), globs.keys(g or "")) for g in patterns]
+        return pd.DataFrame(made, columns=["w", "b", "keys"])
 
     made = patterns.select("pattern").filter("pattern IS NOT NULL").distinct().withColumn("g", parse("pattern")).select("pattern", "g.*").filter("w != ''")
     salts = F.transform(F.sequence(F.lit(0), F.lit(_SALTS - 1)), lambda k: F.concat(F.lit("any:"), k.cast("string")))
-    return made.withColumn("key", F.explode(F.when(F.col("key") == "any", salts).otherwise(F.array("key"))))
+    return made.withColumn("key", F.explode(F.when(F.array_contains("keys", "any"), salts).otherwise(F.col("keys")))).drop("keys")
 
 
 def _path_keys(rel: Column) -> Column:
@@ -176,10 +162,10 @@ def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """files (path and others) with pattern, a row for each distinct glob of patterns that fits the path. Globs and paths
     meet by a literal part of the glob, so that only likely pairs are made, and the expressions decide; globs
     without any literal part are compared with all paths."""
-    rel = paths.normalized(F.col("path"))
+    rel = paths.single_slashes(F.col("path"))
     rows = files.withColumn("__rel", rel).withColumn("key", F.explode(_path_keys(F.col("__rel"))))
     met = rows.join(_glob_table(patterns), "key")
-    fits = F.call_function("rlike", F.col("__rel"), F.col("w")) | F.call_function("rlike", paths.basename(F.col("__rel")), F.col("b"))
+    fits = F.call_function("rlike", F.col("__rel"), F.col("w")) | ((F.col("b") != "") & F.call_function("rlike", paths.basename(F.col("__rel")), F.col("b")))
     return met.filter(fits).select(*files.columns, "pattern").distinct()
 
 

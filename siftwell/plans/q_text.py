@@ -49,12 +49,34 @@ def path_classes(spark, sf):
     return _made(spark, sf).select("doc_id", paths.normalized(p).alias("rel"), paths.is_test_path(p).alias("is_test"), paths.is_doc_path(p).alias("is_doc"), paths.is_binary_path(p).alias("is_binary"), paths.generated_reason(p, F.lit("")).alias("generated"), paths.feature_root(p).alias("feature"), paths.longest_prefix(p, packages).alias("package"))
 
 
-@query(f"""SELECT doc_id, regexp_matches(path, '(^|/)src(/|$)') AS any_src, regexp_matches(path, '^packages/[^/]+/docs/.*\\.md$') AS docs,
-  regexp_matches(path, '^src/features/[^/]*/View[^/]*\\.tsx(/.*)?$') AS views, regexp_matches(path, '\\.(ts|tsx)$') AS typed
-FROM (SELECT doc_id, {MADE_PATH} AS path FROM documents)""")
+#: A name, a glob of every form, and the expression that DuckDB checks it with.
+_GLOBS = {
+    "any_src": ("src", r"(^|/)src(/|$)"),
+    "docs": ("packages/*/docs/**/*.md", r"^packages/[^/]+/docs/.*\.md$"),
+    "views": ("src/features/*/View*.tsx", r"^src/features/[^/]*/View[^/]*\.tsx$"),
+    "typed": ("*.{ts,tsx}", r"\.(ts|tsx)$"),
+    "brace_dirs": ("{src/features/src1,packages/{fr,de}/docs}/**", r"^(src/features/src1|packages/(fr|de)/docs)/."),
+    "brace_range": ("**/m{1..99}.{test.ts,js}", r"(^|/)m[1-9][0-9]?\.(test\.ts|js)$"),
+    "brace_padded": ("readme_{08..110..6}.md", r"readme_(008|014|020|026|032|038|044|050|056|062|068|074|080|086|092|098|104|110)\.md$"),
+    "one_or_more": ("View+([0-4]|7).tsx", r"(^|/)View[0-47]+\.tsx$"),
+    "any_number": ("m*(1|23).test.ts", r"(^|/)m(1|23)*\.test\.ts$"),
+    "perhaps": ("{m,readme_}?(1)[0-9].@(js|md)", r"(^|/)(m|readme_)1?[0-9]\.(js|md)$"),
+    "all_but": ("packages/!(en|fr)/!(src)/**", r"^packages/(es|de)/(docs|core)/."),
+    "posix": ("[[:upper:]]iew[[:digit:]][[:digit:]].[^[:space:]j]*", r"(^|/)View[0-9][0-9]\.tsx$"),
+    "turned": ("!packages/**/*.{js,json}", None),
+    "comment": ("#src/**", None),
+    "parent": ("src/../test//*/m*", r"^test/[^/]+/m[^/]*$"),
+}
+
+
+def _glob_sql(name):
+    # A glob that is turned round fits by one of its forms: the path, the base name, or what lies below.
+    return "true" if name == "turned" else "false" if name == "comment" else f"regexp_matches(rel, '{_GLOBS[name][1]}')"
+
+
+@query(f"SELECT doc_id, {', '.join(f'{_glob_sql(n)} AS {n}' for n in _GLOBS)} FROM (SELECT doc_id, regexp_replace({MADE_PATH}, '^\\./', '') AS rel FROM documents)")
 def glob_match(spark, sf):
-    p = F.col("path")
-    return _made(spark, sf).select("doc_id", paths.matches_any(p, ["src"]).alias("any_src"), paths.matches_any(p, ["packages/*/docs/**/*.md"]).alias("docs"), paths.matches_any(p, ["src/features/*/View*.tsx"]).alias("views"), paths.matches_any(p, ["*.{ts,tsx}"]).alias("typed"))
+    return _made(spark, sf).select("doc_id", *(paths.matches_any(F.col("path"), [glob]).alias(name) for name, (glob, _) in _GLOBS.items()))
 
 
 @query(f"""SELECT count(*) FILTER (WHERE r IS NULL) AS files, count(r) AS skipped, count(*) FILTER (WHERE r = 'ignored') AS skipped_ignored,

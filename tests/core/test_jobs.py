@@ -11,8 +11,8 @@ from siftwell.sources.store import Store
 
 from .test_operators import MODULE, files
 
-GLOBS = ["src/**", "./src/gen", "gen", "*.PNG", "**/*.test.ts", "packages/*/src/**", "readme_?.md", "**/gen/*.json", "{a,b}/**", "[ab]*", "**", "*", "", "  ", "src/a.ts", "docs/", "**/.hidden", "*.d.ts"]
-PATHS = ["src/a.ts", "./src/gen/x.json", "src\\gen\\y.json", "gen/z.ts", "x/gen", "img/a.PNG", "dir.PNG/f", "a.test.ts", "deep/er/b.test.ts", "packages/en/src/m.js", "packages/en/lib/m.js", "readme_1.md", "docs/readme_22.md", "a/q", "b", "c/.hidden", "t.d.ts", "x/y.d.ts"]
+GLOBS = ["src/**", "./src/gen", "gen", "*.PNG", "**/*.test.ts", "packages/*/src/**", "readme_?.md", "**/gen/*.json", "{a,b}/**", "[ab]*", "**", "*", "", "  ", "src/a.ts", "docs/", "**/.hidden", "*.d.ts", "{src/gen,packages/*/lib}/**", "!src/**", "+(a|b).ts", "**/[[:lower:]].!(js|ts)", "#x", "{a,readme_{1..3}}.{md,test.ts}", "[id].ts", "x/{gen,y.d.ts}"]
+PATHS = ["src/a.ts", "./src/gen/x.json", "src\\gen\\y.json", "gen/z.ts", "x/gen", "img/a.PNG", "dir.PNG/f", "a.test.ts", "deep/er/b.test.ts", "packages/en/src/m.js", "packages/en/lib/m.js", "readme_1.md", "docs/readme_22.md", "a/q", "b", "c/.hidden", "t.d.ts", "x/y.d.ts", "app/[id].ts", "d/#x", "b.ts"]
 
 
 def test_globs_by_keys_are_globs_one_by_one(spark):
