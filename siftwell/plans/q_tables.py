@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle, stats
+from ..functions import paths
+from ..operators import lifecycle, ordering, stats
+from ..sources import tree
 from ..streaming import changes
 from .registry import query, table
 
@@ -202,3 +206,19 @@ def throughput(spark, sf):
     grouped = e.groupBy("user_id").agg(F.count("*").alias("done"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("secs"))
     rate, eta = stats.throughput(F.col("done"), F.lit(1000), F.col("secs"))
     return grouped.select("user_id", "done", "secs", rate.alias("rate"), eta.alias("eta"))
+
+
+@query("""WITH d AS (SELECT 'source=' || source || '/lang=' || lang AS dir, source, lang, strlen(coalesce(text, '')) + 1 AS bytes, len(string_split(coalesce(text, ''), chr(10))) AS lines FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+SELECT 'source=' || source AS dir, 'ignored' AS skip_reason, CAST(NULL AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS lines FROM d WHERE source IN ('src1', 'src2', 'src3') GROUP BY source
+UNION ALL SELECT dir, 'ignored', NULL, NULL FROM d WHERE source NOT IN ('src1', 'src2', 'src3') AND lang = 'fr' GROUP BY dir
+UNION ALL SELECT dir, NULL, CAST(sum(bytes) AS BIGINT), CAST(sum(lines) AS BIGINT) FROM d WHERE source NOT IN ('src1', 'src2', 'src3') AND lang <> 'fr' GROUP BY dir""")
+def tree_scan(spark, sf):
+    """Documents written as text files by source and language, and read again without some of the directories."""
+    ordering.ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/tree-{uuid.uuid4().hex}"
+    named = table(spark, sf, "documents").filter("source IS NOT NULL AND lang IS NOT NULL").select("text", "source", "lang")
+    named.write.partitionBy("source", "lang").text(root)
+    found = tree.read_tree(spark, root, exclude=("source=src{1..3}", "source=*/lang=fr", ".*", "_*"))
+    shown = found.filter("kind = 'directory' OR skip_reason IS NULL").withColumn("dir", F.when(F.col("kind") == "directory", F.col("path")).otherwise(paths.dirname(F.col("path"))))
+    lines = F.octet_length("content") - F.octet_length(F.replace(F.decode("content", "UTF-8"), F.lit("\n"), F.lit("")))
+    return shown.groupBy("dir", "skip_reason").agg(F.sum("size_bytes").alias("bytes"), F.sum(lines).alias("lines"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import tree
 
 MAX_FILE_BYTES = 300_000
 
@@ -92,9 +93,17 @@ def scanned(classified: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
-def scan_directory(spark: SparkSession, root: str, config: ScanConfig = ScanConfig(), repo: str | None = None) -> DataFrame:
-    """All files below root by Spark's binary reader, with path relative to it and skip_reason. Pass the result to
-    scanned() and stats.scan_counters(). Files over the size limit come without content, which is not read."""
+def scan_directory(spark: SparkSession, root: str, config: ScanConfig = ScanConfig(), repo: str | None = None, partitions: int = 64) -> DataFrame:
+    """Files below root: repo_key, path relative to it, size_bytes, content and skip_reason, see tree.TreeSource. Pass the
+    result to scanned() and stats.scan_counters(). Directories that an exclude glob fits are one row each, ignored and
+    without size, and nothing in them is listed; files that are skipped by name or size are never opened."""
+    found = tree.read_tree(spark, root, config.include, config.exclude, config.max_file_bytes, partitions)
+    return found.select(F.lit(repo or root.rstrip("/")).alias("repo_key"), "path", "size_bytes", "content", "skip_reason")
+
+
+def scan_store(spark: SparkSession, root: str, config: ScanConfig = ScanConfig(), repo: str | None = None) -> DataFrame:
+    """As scan_directory, by Spark's binary reader, for stores that only Spark's file systems reach. It lists all, and
+    reads ignored files too; files over the size limit come without content, which is not read."""
     base = root.rstrip("/")
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     # The reader leaves files out by their length, so the content of large ones is never read.

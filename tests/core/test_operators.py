@@ -190,7 +190,9 @@ def test_file_lifecycle(spark, tmp_path):
     config = corpus.load_config(corpus.ScanConfig(max_file_bytes=40), "# c\n!keep\n/build/\n", '{"packages": [{"path": "src", "key": "s"}], "maxFileBytes": 20}', "not json")
     assert "build/**" in config.exclude and config.max_file_bytes == 20
     first = corpus.scan_directory(spark, str(root), config, "r")
-    assert {r["path"]: r["skip_reason"] for r in first.collect()} == {"a.ts": None, "b.md": None, "logo.png": "binary", "bin.dat": "binary", "node_modules/m.js": "ignored", "big.txt": "too_large"}
+    assert {r["path"]: r["skip_reason"] for r in first.collect()} == {"a.ts": None, "b.md": None, "logo.png": "binary", "bin.dat": "binary", "node_modules": "ignored", "big.txt": "too_large"}
+    whole = {r["path"]: r["skip_reason"] for r in corpus.scan_store(spark, str(root), config, "r").collect()}
+    assert whole == {"a.ts": None, "b.md": None, "logo.png": "binary", "bin.dat": "binary", "node_modules/m.js": "ignored", "big.txt": "too_large"}
     kept = corpus.scanned(first, config)
     tables = store.Store(spark, str(tmp_path / "tables"))
     at = lambda df, day: df.withColumns({"last_indexed_at": F.lit(day).cast("timestamp"), "updated_at": F.lit(day).cast("timestamp"), "deleted_at": F.lit(None).cast("timestamp")})
