@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -173,25 +173,52 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("repo_key", "source_path", "target_path", F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
 
 
-def file_edges(files: DataFrame, imports: DataFrame, test_globs: tuple[str, ...] = (), same_feature: int = 10) -> DataFrame:
+def edge_candidates(files: DataFrame, imports: DataFrame, test_globs: tuple[str, ...] = ()) -> DataFrame:
+    """Which paths a file's edges look for: repo_key, target_path and source_path (path of the files). Where such a path
+    comes or goes, the edges of source_path can change."""
+    base = paths.resolve(paths.dirname(F.col("path")), F.col("source"))
+    wanted = imports.filter(F.col("source").startswith(".")).select("repo_key", F.explode(paths.import_candidates(base)).alias("target_path"), F.col("path").alias("source_path"))
+    tests = files.select("repo_key", F.explode(paths.test_counterparts(F.col("path"), test_globs)).alias("target_path"), F.col("path").alias("source_path"))
+    return wanted.unionByName(tests).distinct()
+
+
+def file_edges(files: DataFrame, imports: DataFrame, test_globs: tuple[str, ...] = (), same_feature: int = 10, owners: DataFrame | None = None) -> DataFrame:
     """imports, test_counterpart (0.8), route_screen (0.8) and same_feature (0.5) edges between active files. Of a
-    feature's files the first `same_feature` by path are linked to each file of it, so pairs grow with the files."""
+    feature's files the first `same_feature` by path are linked to each file of it, so pairs grow with the files. owners
+    (repo_key, path): edges from these files only; imports then need only be theirs."""
     known = files.select("repo_key", "path").distinct()
+    asked = known if owners is None else known.join(owners.select("repo_key", "path"), ["repo_key", "path"], "left_semi")
     edges = import_edges(imports, known)
     edge = lambda df, kind, value: df.select("repo_key", "source_path", "target_path", F.lit(kind).alias("kind"), F.lit(value).alias("confidence"))
-    tests = known.select("repo_key", F.col("path").alias("source_path"), F.explode(paths.test_counterparts(F.col("path"), test_globs)).alias("target_path"))
+    tests = asked.select("repo_key", F.col("path").alias("source_path"), F.explode(paths.test_counterparts(F.col("path"), test_globs)).alias("target_path"))
     tests = tests.join(known.withColumnRenamed("path", "target_path"), ["repo_key", "target_path"], "left_semi")
     routes = edges.filter(F.col("source_path").rlike(r"(^|/)(app|pages)/") & F.col("target_path").rlike("Screen|screens/|features/"))
-    featured = known.withColumn("root", paths.feature_root(F.col("path"))).filter("root IS NOT NULL AND path != root")
-    first = featured.groupBy("repo_key", "root").agg(F.slice(F.array_sort(F.collect_set("path")), 1, same_feature + 1).alias("first"))
-    mates = featured.join(first, ["repo_key", "root"]).select("repo_key", F.col("path").alias("source_path"), F.explode(F.slice(F.array_remove("first", F.col("path")), 1, same_feature)).alias("target_path"))
+    rooted = lambda df: df.withColumn("root", paths.feature_root(F.col("path"))).filter("root IS NOT NULL AND path != root")
+    mine, featured = rooted(asked), rooted(known)
+    if owners is not None:
+        featured = featured.join(mine.select("repo_key", "root").distinct(), ["repo_key", "root"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("repo_key", "root").orderBy("path"))  # cut within each task first
+    first = featured.withColumn("place", place).filter(F.col("place") <= same_feature + 1).groupBy("repo_key", "root").agg(F.array_sort(F.collect_list("path")).alias("first"))
+    mates = mine.join(first, ["repo_key", "root"]).select("repo_key", F.col("path").alias("source_path"), F.explode(F.slice(F.array_remove("first", F.col("path")), 1, same_feature)).alias("target_path"))
     return edges.unionByName(edge(tests, "test_counterpart", 0.8)).unionByName(edge(routes, "route_screen", 0.8)).unionByName(edge(mates, "same_feature", 0.5)).distinct()
 
 
-def code_edges(files: DataFrame, entities: DataFrame, imports: DataFrame, most: int = 200) -> DataFrame:
+def exported_names(entities: DataFrame) -> DataFrame:
+    """repo_key, wanted (a name) and other (entity_id and path): the exported declaration that the name means elsewhere."""
+    out = entities.filter("kind != 'module' AND (exported OR default_export)")
+    return out.groupBy("repo_key", F.col("name").alias("wanted")).agg(F.min(F.struct("entity_id", "path")).alias("other"))
+
+
+def wanted_name(target_name: Column) -> Column:
+    """Of a referenced name, the part that is looked up."""
+    return F.substring_index(target_name, ".", 1)
+
+
+def code_edges(files: DataFrame, entities: DataFrame, imports: DataFrame, most: int = 200, exporters: DataFrame | None = None) -> DataFrame:
     """renders, calls, uses_hook and constructs edges of the declarations of each file, `most` a file by line and
     place. A name means the last declaration of it in the file, else the exported one elsewhere with the least id.
-    Confidence: 0.8 found, 0.6 imported by name, 0.4 neither."""
+    Confidence: 0.8 found, 0.6 imported by name, 0.4 neither. exporters: the entities of all files, where entities and
+    imports are those of the given files only."""
     lines = files.select("repo_key", "path", F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n").alias("lines"))
     local = entities.filter("kind != 'module'").select("repo_key", "path", "entity_id", "name", "start_line", "end_line", "exported", "default_export")
     snippets = local.join(lines, ["repo_key", "path"]).withColumn("snippet", F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n"))
@@ -199,9 +226,12 @@ def code_edges(files: DataFrame, entities: DataFrame, imports: DataFrame, most:
     calls = F.filter(refs(CALL, lambda n: F.when(n.rlike("^use[A-Z0-9]"), "uses_hook").otherwise("calls")), lambda r: ~r["raw"].isin(*RESERVED, *BUILTINS) & (r["raw"] != F.col("name")))
     all_refs = F.array_distinct(F.concat(refs(ELEMENT, lambda n: F.lit("renders")), calls, refs(CONSTRUCT, lambda n: F.lit("constructs"))))
     found = snippets.select("repo_key", "path", "entity_id", F.col("name").alias("source_name"), "start_line", F.posexplode(all_refs).alias("place", "r"))
-    found = found.select("repo_key", "path", "entity_id", "source_name", "start_line", "place", "r.kind", "r.raw", F.substring_index("r.raw", ".", 1).alias("wanted"))
+    found = found.select("repo_key", "path", "entity_id", "source_name", "start_line", "place", "r.kind", "r.raw", wanted_name(F.col("r.raw")).alias("wanted"))
     here = local.groupBy("repo_key", "path", F.col("name").alias("wanted")).agg(F.max_by("entity_id", "start_line").alias("local_id"))
-    there = local.filter("exported OR default_export").groupBy("repo_key", F.col("name").alias("wanted")).agg(F.min(F.struct("entity_id", "path")).alias("other"))
+    if exporters is None:
+        there = exported_names(entities)
+    else:
+        there = exported_names(exporters.withColumn("wanted", F.col("name")).join(found.select("repo_key", "wanted").distinct(), ["repo_key", "wanted"], "left_semi"))
     named = imports.select("repo_key", "path", F.explode(F.array_compact(F.concat("specifiers", F.array("default_import", "namespace_import")))).alias("wanted")).distinct().withColumn("imported", F.lit(True))
     joined = found.join(here, ["repo_key", "path", "wanted"], "left").join(there, ["repo_key", "wanted"], "left").join(named, ["repo_key", "path", "wanted"], "left")
     target = F.coalesce("local_id", "other.entity_id")
@@ -210,7 +240,5 @@ def code_edges(files: DataFrame, entities: DataFrame, imports: DataFrame, most:
         F.when(F.col("local_id").isNotNull(), F.col("path")).otherwise(F.col("other.path")).alias("target_path"), "source_name", F.col("raw").alias("target_name"), "kind",
         F.when(target.isNotNull(), 0.8).when(F.col("imported"), 0.6).otherwise(0.4).alias("confidence"), "start_line", "place",
     )
-    from pyspark.sql import Window
-
     order = F.row_number().over(Window.partitionBy("repo_key", "source_path").orderBy("start_line", "source_entity_id", "place"))
     return made.withColumn("n", order).filter(F.col("n") <= most).drop("n", "start_line", "place")

@@ -9,10 +9,6 @@ from ..functions import text
 from . import ordering
 
 
-def _capped(values: Column, most: int) -> Column:
-    return F.slice(F.array_sort(F.collect_set(values)), 1, most)
-
-
 def summaries(paths: DataFrame, file_edges: DataFrame, code_edges: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:
     """For each path: declarations and the neighbours by kind, each list distinct, sorted and capped.
 
@@ -30,7 +26,9 @@ def summaries(paths: DataFrame, file_edges: DataFrame, code_edges: DataFrame, en
     rows = files.unionByName(code_out).unionByName(code_in).unionByName(alike).unionByName(declared).filter("section IS NOT NULL AND value IS NOT NULL")
     wanted = paths.select("path").distinct()
     names = ["declarations", "imports", "imported_by", "tests", "route_screens", "same_feature", "calls", "called_by", "renders", "hooks", "similar"]
-    made = rows.join(wanted, "path", "left_semi").groupBy("path").agg(*(_capped(F.when(F.col("section") == n, F.col("value")), most).alias(n) for n in names))
+    place = F.row_number().over(Window.partitionBy("path", "section").orderBy("value"))
+    first = rows.join(wanted, "path", "left_semi").distinct().withColumn("__place", place).filter(F.col("__place") <= most)  # a task keeps `most` of a hub's rows
+    made = first.groupBy("path").agg(*(F.array_sort(F.collect_list(F.when(F.col("section") == n, F.col("value")))).alias(n) for n in names))
     empty = F.array().cast("array<string>")
     return wanted.join(made, "path", "left").select("path", *(F.coalesce(n, empty).alias(n) for n in names), F.coalesce("tests", empty).alias("counterparts"))
 

@@ -74,25 +74,33 @@ def bm25_each(docs: DataFrame, key: str, text: str, queries: DataFrame, most: in
 
 
 POSTING_BUCKETS = 64
+#: Postings that a bucket of a stored index is made for.
+BUCKET_ROWS = 5_000_000
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int = POSTING_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def stored_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+def stored_postings(docs: DataFrame, key: str, text: str, buckets: int = POSTING_BUCKETS) -> DataFrame:
     """Postings with the bucket of their term, to be written partitioned by it: a search then reads its terms' buckets."""
-    return postings(docs, key, text).withColumn("bucket", bucket_of(F.col("term")))
+    return postings(docs, key, text).withColumn("bucket", bucket_of(F.col("term"), buckets))
 
 
-def bm25_stored(posted: DataFrame, size: DataFrame, key: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """As bm25, from stored postings and the corpus's size (one row: n and avgdl); no text is read."""
+def corpus_totals(docs: DataFrame, text: str) -> DataFrame:
+    """One row: n (all documents) and tokens (of all), which can be added and taken off."""
+    return docs.select(F.size(tokens(F.col(text))).cast("long").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens"))
+
+
+def bm25_stored(posted: DataFrame, size: DataFrame, key: str, terms: list[str], k1: float = K1, b: float = B, buckets: int = POSTING_BUCKETS) -> DataFrame:
+    """As bm25, from stored postings and the corpus's size (one row: n and avgdl); no text is read. buckets: as the
+    postings were stored with."""
     wanted = sorted(set(terms))
     if not wanted:
         return posted.select(key, F.lit(0.0).alias("rank")).limit(0)
     spark = posted.sparkSession
-    buckets = sorted({r[0] for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(bucket_of(F.col("term"))).collect()})
-    hits = posted.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
+    found = sorted({r[0] for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(bucket_of(F.col("term"), buckets)).collect()})
+    hits = posted.filter(F.col("bucket").isin(*found) & F.col("term").isin(*wanted))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "term").join(F.broadcast(size), how="cross")  # a row a query term; one row
     return scored.groupBy(key).agg((-F.sum(_part(_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))).alias("rank"))

@@ -20,6 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or f"/tmp/siftwell-checkpoints-{uuid.uuid4().hex}")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Computes df now and cuts its lineage, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """df with the sum of value over all rows up to each, by the order columns, which should be total. The table is cut
     into ordered parts and written down once, so that parts stay what they are; a part's rows then start from the sum of

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
-from ..operators import chunking, entities, graph, knowledge, lexical, lifecycle, retrieval, rules
-from ..sources.store import Store
+from ..functions import paths, text, vectors
+from ..operators import chunking, entities, graph, knowledge, lexical, ordering, retrieval, rules
 
 #: Makes vectors: of a table, a key column and a text column, the key and an `embedding` for each row.
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
+#: Makes entities of one file: a function of (path, content, language), see entities.extract_entities.
+Extractor = Callable[[str, str, str | None], list[dict]]
+
+
 @dataclass
 class Index:
     """Derived tables of one corpus. chunks: chunk_id, path, content, ...; embeddings: chunk_id, embedding, made by
-    embed, which also makes the vectors of queries; postings and sizes: of chunks, where the index is stored."""
+    embed, which also makes the vectors of queries; candidates: the paths that files' edges look for; postings and totals
+    (n and tokens): of chunks, where the index is stored, in so many buckets of terms."""
 
     files: DataFrame
     chunks: DataFrame
@@ -28,9 +32,17 @@ class Index:
     file_edges: DataFrame
     code_edges: DataFrame
     embeddings: DataFrame | None = None
+    candidates: DataFrame | None = None
     postings: DataFrame | None = None
-    sizes: DataFrame | None = None
+    totals: DataFrame | None = None
     embed: Embedder = vectors.hash_embedding
+    extractors: dict[str, Extractor] | None = None
+    buckets: int = lexical.POSTING_BUCKETS
+
+    @property
+    def sizes(self) -> DataFrame:
+        """One row: n and avgdl."""
+        return self.totals.select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
 
 
 @dataclass
@@ -47,48 +59,98 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["repo_key", "path", "content_hash"]).withColumn("chunk_id", F.xxhash64("repo_key", "path", "content_hash"))
 
 
-def build_index(files: DataFrame, embed: Embedder | None = vectors.hash_embedding, extractors: dict[str, Callable] | None = None) -> Index:
-    """files: repo_key, path, content, language. All steps are lazy plans over files. embed: None for no vectors;
-    extractors: see entities.extract_entities."""
+def build_index(files: DataFrame, embed: Embedder | None = vectors.hash_embedding, extractors: dict[str, Extractor] | None = None) -> Index:
+    """files: repo_key, path, content, language. All steps are lazy plans over files. embed: None for no vectors."""
     chunks = with_ids(chunking.chunk_files(files))
     found, imports = entities.extract_entities(files, extractors), entities.extract_imports(files)
     made = embed(chunks, "chunk_id", "content") if embed else None
-    return Index(files, chunks, found, imports, entities.file_edges(files, imports), entities.code_edges(files, found, imports), made, embed=embed or vectors.hash_embedding)
+    return Index(files, chunks, found, imports, entities.file_edges(files, imports), entities.code_edges(files, found, imports), made, entities.edge_candidates(files, imports), embed=embed or vectors.hash_embedding, extractors=extractors)
 
 
-_TABLES = [f.name for f in fields(Index) if f.name != "embed"]
+_FILE = ("repo_key", "path")
+_SOURCE = ("repo_key", "source_path")
+#: For each table of an index the columns that a change replaces its rows by, and where it is told which of these go.
+KEYS = {
+    "files": ("files", _FILE), "chunks": ("files", _FILE), "entities": ("files", _FILE), "imports": ("files", _FILE), "candidates": ("files", _SOURCE),
+    "file_edges": ("file_edges", _SOURCE), "code_edges": ("code_edges", _SOURCE), "embeddings": ("chunks", ("chunk_id",)), "postings": ("chunks", ("chunk_id",)),
+}
 
 
-def store_index(store: Store, index: Index) -> Index:
-    """Writes all tables of an index, with the postings of its chunks by bucket of their term, and gives it as read from
-    there: searches then read the postings of their terms, and nothing is made twice."""
-    for name in _TABLES:
-        if name not in ("postings", "sizes") and getattr(index, name) is not None:
-            store.write(name, getattr(index, name))
-    chunks = store.read("chunks")
-    store.write("postings", lexical.stored_postings(chunks, "chunk_id", "content").repartition("bucket"), "bucket")
-    store.write("sizes", lexical.corpus_size(chunks, "content"))
-    return load_index(store, index.embed)
+@dataclass
+class Change:
+    """What a change of files does to an index: rows to add by table, and what goes by kind of key."""
 
+    added: dict[str, DataFrame]
+    gone: dict[str, DataFrame]
+    totals: DataFrame | None  # to be added to the index's
 
-def load_index(store: Store, embed: Embedder = vectors.hash_embedding) -> Index:
-    """The stored tables; embed has to be the one that made the stored vectors."""
-    return Index(**{name: store.read(name) if store.exists(name) else None for name in _TABLES}, embed=embed)
 
+def _without(table: DataFrame, gone: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return table.join(gone.toDF(*columns), list(columns), "left_anti")
 
-def update_index(index: Index, changed: DataFrame, deleted: DataFrame) -> Index:
-    """The index after files changed (rows as of files) or were deleted (path). Only their derived rows are made anew,
-    but edges, which other files' imports can reach, are resolved against all files."""
-    gone = changed.select("path").union(deleted.select("path")).distinct()
-    files = index.files.join(gone, "path", "left_anti").unionByName(changed.select(*index.files.columns))
-    new = build_index(changed.select(*index.files.columns), index.embed if index.embeddings is not None else None)
-    found = lifecycle.replace_for(index.entities, gone, new.entities)
-    imports = lifecycle.replace_for(index.imports, gone, new.imports)
-    chunks = lifecycle.replace_for(index.chunks, gone, new.chunks)
-    vectors_ = None
+
+def change_of(index: Index, changed: DataFrame, deleted: DataFrame) -> Change:
+    """changed: rows as of files. deleted: path, and repo_key where the index has several repositories.
+
+    Chunks, entities and the like are made of the changed files only. Edges are made anew for the files that own them if
+    they changed, if a path that they look for came or went, or if a name that they use means another declaration than
+    before; which these are is looked up in candidates and code_edges, and nothing else is resolved again."""
+    changed = changed.select(*index.files.columns)
+    on = list(_FILE) if "repo_key" in deleted.columns else ["path"]
+    known = index.files.select(*_FILE).distinct()
+    left = known.join(deleted.select(*on).distinct(), on, "left_semi")
+    touched = ordering.settled(changed.select(*_FILE).distinct().unionByName(left).distinct())
+    new = build_index(changed, index.embed if index.embeddings is not None else None, index.extractors)
+
+    lost = index.chunks.join(touched, list(_FILE), "left_semi").select("chunk_id", "content")
+    added = {"files": changed, "chunks": new.chunks, "entities": new.entities, "imports": new.imports}
+    gone = {"files": touched, "chunks": lost.select("chunk_id")}
     if index.embeddings is not None:
-        vectors_ = index.embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_semi").join(new.embeddings.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.embeddings)
-    return Index(files, chunks, found, imports, entities.file_edges(files, imports), entities.code_edges(files, found, imports), vectors_, embed=index.embed)
+        added["embeddings"] = new.embeddings
+    totals = None
+    if index.postings is not None:
+        added["postings"] = lexical.stored_postings(new.chunks, "chunk_id", "content", index.buckets)
+        plus, minus = lexical.corpus_totals(new.chunks, "content"), lexical.corpus_totals(lost, "content")
+        totals = plus.unionByName(minus.select((-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens"))).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+
+    # Files of which edges look for a path that came or went.
+    came = changed.select(*_FILE).distinct().join(known, list(_FILE), "left_anti")
+    moved = ordering.settled(came.unionByName(left.join(changed.select(*_FILE), list(_FILE), "left_anti")))
+    candidates = index.candidates if index.candidates is not None else entities.edge_candidates(index.files, index.imports)
+    lookers = candidates.join(moved.toDF("repo_key", "target_path"), ["repo_key", "target_path"], "left_semi").select("repo_key", F.col("source_path").alias("path"))
+    now = _without(known, touched, _FILE).unionByName(changed.select(*_FILE).distinct())
+    roots = moved.select("repo_key", paths.feature_root(F.col("path")).alias("root")).filter("root IS NOT NULL").distinct()
+    mates = now.withColumn("root", paths.feature_root(F.col("path"))).join(roots, ["repo_key", "root"], "left_semi").select(*_FILE)
+    owners = ordering.settled(touched.unionByName(lookers).unionByName(mates).distinct())
+    imports = _without(index.imports, touched, _FILE).unionByName(new.imports)
+    added["candidates"] = new.candidates
+    added["file_edges"] = entities.file_edges(now, imports.join(owners, list(_FILE), "left_semi"), owners=owners)
+    gone["file_edges"] = owners
+
+    # Files of which code edges use a name that means another declaration now.
+    all_entities = _without(index.entities, touched, _FILE).unionByName(new.entities)
+    names = index.entities.join(touched, list(_FILE), "left_semi").unionByName(new.entities).filter("exported OR default_export").select("repo_key", "name").distinct()
+    names = ordering.settled(names)
+    before, after = (entities.exported_names(e.join(names, ["repo_key", "name"], "left_semi")) for e in (index.entities, all_entities))
+    both = before.withColumnRenamed("other", "old").join(after, ["repo_key", "wanted"], "full_outer")
+    other = both.filter(~F.col("old").eqNullSafe(F.col("other"))).select("repo_key", "wanted")
+    users = index.code_edges.withColumn("wanted", entities.wanted_name(F.col("target_name"))).join(other, ["repo_key", "wanted"], "left_semi").select("repo_key", F.col("source_path").alias("path"))
+    users = ordering.settled(touched.unionByName(users).distinct())
+    mine = lambda table: table.join(users, list(_FILE), "left_semi")
+    all_files = _without(index.files, touched, _FILE).unionByName(changed)
+    added["code_edges"] = entities.code_edges(mine(all_files), mine(all_entities), mine(imports), exporters=all_entities)
+    gone["code_edges"] = users
+    return Change(added, gone, totals)
+
+
+def update_index(index: Index, changed: DataFrame, deleted: DataFrame) -> Index:
+    """The index after files changed or were deleted, see change_of; as plans over the old one."""
+    change, out = change_of(index, changed, deleted), {}
+    for name, (kind, columns) in KEYS.items():
+        old = getattr(index, name)
+        out[name] = None if old is None else _without(old, change.gone[kind], columns).unionByName(change.added[name])
+    totals = None if index.totals is None else index.totals.unionByName(change.totals).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    return replace(index, **out, totals=totals)
 
 
 def query_vector(index_embed: Embedder, spark, query: str) -> list[float]:
@@ -109,7 +171,7 @@ def search(index: Index, request: Request) -> DataFrame:
         if request.sources:
             parts.append(retrieval.score_chunks(retrieval.working_set(chunks, request.sources), request.query, request.sources, request.package_key))
         terms = query_terms(spark, request.query)
-        every = lexical.bm25(chunks, "chunk_id", "content", terms) if index.postings is None else lexical.bm25_stored(index.postings, index.sizes, "chunk_id", terms)
+        every = lexical.bm25(chunks, "chunk_id", "content", terms) if index.postings is None else lexical.bm25_stored(index.postings, index.sizes, "chunk_id", terms, buckets=index.buckets)
         ranked = lexical.top_k(every, most, "chunk_id")
         numbered = ranked.withColumn("base", retrieval.lexical_score(F.col("rank"))).withColumn("reasons", F.array(F.lit("fts_match"))).withColumn("ordinal", (F.lit(1 << 39) - F.rint(F.col("rank") * -1_000_000)).cast("long"))
         parts.append(retrieval.score_chunks(chunks.join(F.broadcast(numbered), "chunk_id"), request.query, request.sources, request.package_key))  # at most 50 rows

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import jobs, knowledge, lifecycle, lookups, retrieval, rules
+from ..operators import jobs, knowledge, lifecycle, lookups, ordering, retrieval, rules
 from ..sources import store, web
-from . import engine
+from ..sources.store import Store
+from . import engine, stored
 from .q_graph import _LEARN, _MADE, _P, _code_files, _diffs, _learnings
 from .q_text import MADE_PATH
 from .registry import query, table
@@ -324,11 +329,39 @@ def change_analysis(spark, sf):
 
 @query(f"""WITH d AS (SELECT doc_id, {_P} AS path FROM documents WHERE doc_id % 10 <> 1) SELECT path, unnest(CASE WHEN doc_id % 10 = 2 THEN ['extra_' || doc_id] ELSE ['C_' || doc_id, 'fn_' || doc_id] END) AS name FROM d""")
 def incremental_index(spark, sf):
-    """An index after a tenth of the files changed and a tenth was deleted."""
+    """A stored index after a tenth of the files changed and a tenth was deleted."""
+    return _changed_index(spark, sf)[0].entities.filter("kind != 'module'").select("path", "name")
+
+
+_INDEX_TABLES = ("files", "chunks", "entities", "imports", "candidates", "file_edges", "code_edges", "embeddings", "postings")
+
+
+@query(f"SELECT unnest({list(_INDEX_TABLES)}) AS name, 0::BIGINT AS missing, 0::BIGINT AS extra")
+def incremental_rebuild(spark, sf):
+    """How many rows of each table of that index a new index of the same files has more, or fewer."""
+    index, files = _changed_index(spark, sf)
+    new = stored.store_index(_new_store(spark), engine.build_index(files))
+    both = []
+    for name in _INDEX_TABLES:
+        kept = [c for c in getattr(new, name).columns if c != "bucket"]
+        a, b = (getattr(i, name).select(kept) for i in (new, index))
+        one = lambda df, column: df.agg(F.count("*").alias(column))
+        both.append(one(a.exceptAll(b), "missing").join(one(b.exceptAll(a), "extra"), how="cross").select(F.lit(name).alias("name"), "missing", "extra"))  # one row each
+    return reduce(DataFrame.unionByName, both)
+
+
+def _new_store(spark):
+    ordering.ensure_checkpoint_dir(spark)
+    return Store(spark, f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}")
+
+
+def _changed_index(spark, sf):
+    """The index, and the files that it is of now."""
     files = _code_files(spark, sf)
     changed = files.filter("doc_id % 10 = 2").withColumn("content", F.concat(F.lit("export function extra_"), "doc_id", F.lit("() {\n  return 1\n}\n")))
-    index = engine.update_index(engine.build_index(files, embed=None), changed, files.filter("doc_id % 10 = 1").select("path"))
-    return index.entities.filter("kind != 'module'").select("path", "name")
+    deleted, store = files.filter("doc_id % 10 = 1").select("repo_key", "path"), _new_store(spark)
+    stored.store_index(store, engine.build_index(files))
+    return stored.update_index(store, changed, deleted), files.filter("doc_id % 10 NOT IN (1, 2)").unionByName(changed)
 
 
 @query(f"SELECT doc_id, CASE WHEN starts_with(p, 'packages/en/core/') THEN 'core' WHEN starts_with(p, 'packages/en/') THEN 'en' WHEN starts_with(p, 'app/') THEN 'app' END AS package FROM (SELECT doc_id, regexp_replace({MADE_PATH}, '^\\./', '') AS p FROM documents)")

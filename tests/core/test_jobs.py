@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import paths, text, vectors
 from siftwell.operators import entities, jobs, knowledge, lexical, lookups, retrieval, rules
 from siftwell.plans import engine
+from siftwell.plans import stored as stored_index
 from siftwell.sources.store import Store
 
 from .test_operators import MODULE, files
@@ -97,7 +98,8 @@ def letters(df, key, column):
 def test_search_of_a_stored_index_with_an_embedder(spark, tmp_path):
     made = files(spark, src__m_dot_tsx=MODULE, src__q_dot_ts="export function qqqq() {\n  return 'qqqqqqqqqq'\n}\n", lib__x_dot_ts="export function other(x) {\n  return helper(x)\n}\n")
     index = engine.build_index(made, embed=letters)
-    stored = engine.store_index(Store(spark, str(tmp_path)), index)
+    stored = stored_index.store_index(Store(spark, str(tmp_path)), index, bucket_rows=20)
+    assert stored.buckets > 1
     for mode, query in itertools.product(("hybrid", "lexical", "semantic"), ("where is the helper called", "qqqq", "nothing of it")):
         ask = lambda i: [(r["path"], r["start_line"], round(r["score"], 9), r["reasons"]) for r in engine.search(i, engine.Request(query, mode=mode, limit=5)).collect()]  # noqa: E731, B023
         assert ask(index) == ask(stored)
@@ -105,9 +107,9 @@ def test_search_of_a_stored_index_with_an_embedder(spark, tmp_path):
     assert best["path"] == "src/q.ts"
     posted = stored.postings
     assert "bucket" in posted.columns and lexical.bm25_stored(posted, stored.sizes, "chunk_id", []).count() == 0
-    plan = lexical.bm25_stored(posted, stored.sizes, "chunk_id", ["helper"])._jdf.queryExecution().executedPlan().toString()
+    plan = lexical.bm25_stored(posted, stored.sizes, "chunk_id", ["helper"], buckets=stored.buckets)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
-    again = engine.load_index(Store(spark, str(tmp_path)), letters)
+    again = stored_index.load_index(Store(spark, str(tmp_path)), letters)
     assert again.chunks.count() == index.chunks.count()
 
 
