@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Kinds of work.
 FULL, CHANGED, DELETED, BACKFILL = "fullRepoIndex", "changedFilesIndex", "deletedFileCleanup", "embeddingBackfill"
@@ -29,7 +31,8 @@ def throttled(events: DataFrame, key: str, at: str, seconds: float, count: str |
     shown, or whose count is at least `every` more. Of events at one time that with the largest count stands for all.
 
     What is shown depends on what was shown before, but an event `seconds` after the one before it is shown whatever
-    came earlier. So a key's log falls into runs, and only the events of a run are gone through in order."""
+    came earlier. So a key's log falls into runs, which are dealt over tasks and gone through in order: a task holds the
+    last event shown, and no run is gathered."""
     gap = int(seconds * 1_000_000)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     number = F.col(count).cast("long") if count else F.lit(0).cast("long")
@@ -37,17 +40,22 @@ def throttled(events: DataFrame, key: str, at: str, seconds: float, count: str |
     w = Window.partitionBy(key).orderBy("t")
     begins = F.coalesce(F.col("t") - F.lag("t").over(w) >= gap, F.lit(True)).cast("int")
     runs = first.withColumn("b", begins).withColumn("run", F.sum("b").over(w))
-    log = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("log"))
-
-    def step(shown, e):
-        last = F.element_at(shown, -1)
-        due = (F.size(shown) == 0) | (e["t"] - last["t"] >= gap)
-        if count and every:
-            due = due | (e["n"] - last["n"] >= every)
-        return F.when(due, F.concat(shown, F.array(e))).otherwise(shown)
-
-    shown = F.aggregate("log", F.array().cast("array<struct<t:bigint,n:bigint>>"), step)
-    return log.select(key, F.explode(shown).alias("e")).select(key, F.timestamp_micros("e.t").alias(at), *([F.col("e.n").alias(count)] if count else []))
+    ordered = runs.repartition(key, "run").sortWithinPartitions(key, "run", "t").select(key, "t", "n", "b")
+    step = every if count else 0
+
+    def show(batches):
+        last_t = last_n = 0
+        for batch in batches:
+            due = []
+            for t, n, new in zip(*(batch.column(k).to_numpy().tolist() for k in (1, 2, 3)), strict=True):
+                shown = new or t - last_t >= gap or (step and n - last_n >= step)
+                if shown:
+                    last_t, last_n = t, n
+                due.append(bool(shown))
+            yield batch.filter(pa.array(due, pa.bool_())).select([0, 1, 2])
+
+    found = ordered.mapInArrow(show, T.StructType(ordered.schema.fields[:3]))
+    return found.select(key, F.timestamp_micros("t").alias(at), *([F.col("n").alias(count)] if count else []))
 
 
 def recovery(queued: Column, running: Column, worker: Column, completed_at: Column, missing: Column, status: Column, chunks: Column, embedded: Column, since_last: Column | None = None, retry_seconds: float = 8.0) -> Column:
