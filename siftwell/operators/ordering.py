@@ -26,18 +26,24 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """df with the sum of value over all rows up to each, by the order columns, which should be total. The table is cut
-    into ordered parts and written down once, so that parts stay what they are; a part's rows then start from the sum of
-    the parts before, which is a table of a row a part."""
+def running_sums(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """df with sums over all rows up to each, by the order columns, which should be total: for each value column the
+    name of its sum. The table is cut into ordered parts and written down once, so that parts stay what they are; a part's
+    rows then start from the sums of the parts before, which is a table of a row a part."""
     ensure_checkpoint_dir(df.sparkSession)
-    part, before = "__part", "__before"
+    part, before = "__part", {v: f"__before{k}" for k, v in enumerate(values)}
     cut = df.orderBy(*order).checkpoint().withColumn(part, F.spark_partition_id())
-    sums = cut.groupBy(part).agg(F.sum(value).alias(before))
+    sums = cut.groupBy(part).agg(*(F.sum(v).alias(before[v]) for v in values))
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
-    starts = sums.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
-    within = F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn(out, within).join(F.broadcast(starts), part).withColumn(out, F.col(out) + F.col(before)).drop(part, before)
+    starts = sums.select(part, *(F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in before.values()))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ran = cut.withColumns({out: F.sum(v).over(within) for v, out in values.items()}).join(F.broadcast(starts), part)
+    return ran.withColumns({out: F.col(out) + F.col(before[v]) for v, out in values.items()}).drop(part, *before.values())
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of value over all rows up to each, see running_sums."""
+    return running_sums(df, order, {value: out})
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:

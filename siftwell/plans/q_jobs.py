@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import jobs, knowledge, lifecycle, lookups, ordering, retrieval, rules
+from ..operators import jobs, knowledge, lifecycle, lookups, ordering, retrieval, rules, sessions
 from ..sources import store, web
 from ..sources.store import Store
 from . import engine, stored
@@ -442,3 +442,42 @@ def reset_index(spark, sf):
     left = lifecycle.reset({"files": c, "chunks": c}, "chunks", c_nationkey=3)
     count = lambda name: left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     return count("chunks").unionByName(count("files"))
+
+
+#: Events made of conversations: an assistant's text comes as two deltas, and some of its messages stay open.
+_EVENTS = """SELECT conv_id, turn * 10 + 0 AS s, 'thinking_delta' AS type, NULL AS role, NULL AS tool, NULL AS text, NULL AS error, false AS is_error, 0 AS tokens FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn * 10 + 1, 'text_delta', NULL, NULL, substr(text, 1, 20), NULL, false, 0 FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn * 10 + 2, 'text_delta', NULL, NULL, substr(text, 21), NULL, false, 0 FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn * 10 + 3, 'message_end', 'assistant', NULL, CASE WHEN turn % 4 <> 3 THEN text END, CASE WHEN turn % 5 = 3 THEN 'bad  end' END, false, length(text) FROM conversations WHERE role = 'assistant' AND (turn % 4 <> 1 OR conv_id % 3 = 0)
+UNION ALL SELECT conv_id, turn * 10 + 0, 'tool_execution_start', NULL, 'read', NULL, NULL, false, 0 FROM conversations WHERE role = 'user'
+UNION ALL SELECT conv_id, turn * 10 + 1, 'tool_execution_end', NULL, 'read', NULL, NULL, conv_id % 2 = 0, 0 FROM conversations WHERE role = 'user'
+UNION ALL SELECT conv_id, turn * 10 + 2, 'message_end', 'toolResult', 'read', NULL, NULL, false, 0 FROM conversations WHERE role = 'user'
+UNION ALL SELECT conv_id, turn * 10 + 0, 'prompt_end', NULL, NULL, text, NULL, false, 0 FROM conversations WHERE role = 'system'"""
+_CUT = "CASE WHEN length({0}) > 60 THEN left({0}, 57) || '...' ELSE {0} END"
+
+
+def _preview_sql(text):
+    return _CUT.format(f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))")
+
+
+@query(f"""WITH e AS ({_EVENTS}), a AS (SELECT *, type = 'message_end' AND coalesce(role, '') = 'assistant' AS fin FROM e),
+m AS (SELECT *, sum(fin::INT) OVER (PARTITION BY conv_id ORDER BY s) AS message, (fin AND error IS NULL AND coalesce(text, '') <> '') OR type = 'prompt_end' AS whole FROM a),
+l AS (SELECT conv_id, CASE WHEN count(*) FILTER (WHERE fin AND error IS NOT NULL OR type = 'prompt_end') = 0 THEN 'running' ELSE arg_max(CASE WHEN type = 'prompt_end' THEN 'completed' ELSE 'error' END, s) FILTER (WHERE fin AND error IS NOT NULL OR type = 'prompt_end') END AS status,
+  arg_max(type = 'thinking_delta', s) FILTER (WHERE type IN ('thinking_delta', 'text_delta', 'message_end', 'tool_execution_start', 'prompt_end')) AS thinking,
+  arg_max(CASE WHEN type = 'thinking_delta' THEN 'thinking' WHEN type = 'text_delta' THEN 'responding' WHEN fin AND error IS NOT NULL THEN 'assistant error' WHEN fin THEN 'assistant message complete' WHEN type = 'message_end' THEN 'tool read'
+    WHEN type = 'tool_execution_start' THEN 'running read' WHEN type = 'tool_execution_end' THEN CASE WHEN is_error THEN 'failed read' ELSE 'finished read' END ELSE 'completed' END, s) FILTER (WHERE NOT (fin AND error IS NULL AND coalesce(text, '') = '')) AS last_activity,
+  CASE WHEN count(error) > 0 THEN 'bad end' END AS last_error, count(*) FILTER (WHERE fin) AS messages, count(*) FILTER (WHERE type = 'tool_execution_start') AS tools_started, count(*) FILTER (WHERE type = 'tool_execution_end' AND is_error) AS tools_failed, CAST(sum(tokens) AS BIGINT) AS input_tokens,
+  arg_max(whole, s) FILTER (WHERE whole OR type = 'text_delta') AS last_whole, arg_max(message, s) FILTER (WHERE whole OR type = 'text_delta') AS last_message, arg_max(text, s) FILTER (WHERE whole OR type = 'text_delta') AS last_text FROM m GROUP BY conv_id),
+t AS (SELECT m.conv_id, string_agg(text, '' ORDER BY s) AS typed FROM m JOIN l ON m.conv_id = l.conv_id AND message = last_message WHERE type = 'text_delta' GROUP BY m.conv_id)
+SELECT l.conv_id, status, thinking, last_activity, CASE WHEN last_whole THEN {_preview_sql('last_text')} ELSE {_preview_sql('typed')} END AS last_response, last_error, messages, tools_started, tools_failed, input_tokens FROM l LEFT JOIN t USING (conv_id)""")
+def session_fold(spark, sf):
+    """Each conversation's events folded to its state."""
+    c = table(spark, sf, "conversations")
+    event = lambda k, type, role=None, tool=None, text=None, error=None, is_error=None, tokens=None, where=None: F.when(F.lit(True) if where is None else where, F.struct(F.lit(k).alias("k"), F.lit(type).alias("type"), F.lit(role).cast("string").alias("role"), F.lit(tool).cast("string").alias("tool"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if error is None else error).cast("string").alias("error"), (F.lit(False) if is_error is None else is_error).alias("is_error"), (F.lit(0) if tokens is None else tokens).cast("long").alias("input_tokens")))
+    t, n = F.col("text"), F.col("turn")
+    closed = (n % 4 != 1) | (F.col("conv_id") % 3 == 0)
+    spoken = F.array(event(0, "thinking_delta"), event(1, "text_delta", text=F.substring(t, 1, 20)), event(2, "text_delta", text=F.substr(t, F.lit(21))), event(3, "message_end", "assistant", text=F.when(n % 4 != 3, t), error=F.when(n % 5 == 3, "bad  end"), tokens=F.length(t), where=closed))
+    asked = F.array(event(0, "tool_execution_start", tool="read"), event(1, "tool_execution_end", tool="read", is_error=F.col("conv_id") % 2 == 0), event(2, "message_end", "toolResult", "read"))
+    each = F.when(F.col("role") == "assistant", spoken).when(F.col("role") == "user", asked).when(F.col("role") == "system", F.array(event(0, "prompt_end", text=t)))
+    events = c.select("conv_id", "turn", F.explode(F.array_compact(each)).alias("e")).select("conv_id", (n * 10 + F.col("e.k")).alias("seq"), *(F.col(f"e.{f}").alias(f) for f in ("type", "role", "tool", "text", "error", "is_error", "input_tokens")))
+    return sessions.fold_sessions(events, "conv_id", most=60).drop("output_tokens", "last_seq")
