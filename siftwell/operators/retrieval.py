@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, vectors
+from . import ordering
 
 LEXICAL_SHARE, VECTOR_SHARE = 0.45, 0.55
 #: Most queries, and rows, that a task of vector_top_k_each compares at once, on average.
@@ -202,13 +203,14 @@ def representative(found: DataFrame, limit: int, per_file: int) -> DataFrame:
     there (one at least, if there is room)."""
     low = is_low_value_chunk(F.col("reasons"), F.col("chunk_kind"), F.col("symbol_kind"), F.col("symbol_name"))
     order = (F.desc("score"), "chunk_id")
-    marked = found.withColumn("__low", low)
     n = F.row_number().over(Window.partitionBy("path", "__low").orderBy(*order))
-    marked = marked.withColumn("__tier", F.when(F.col("__low"), 2).when(n <= per_file, 0).otherwise(1))
-    place = F.row_number().over(Window.orderBy("__tier", *order))  # a result list
+    ranked = found.withColumn("__low", low).withColumn("__n", n).filter(F.col("__n") <= limit)  # a file has no more places
+    marked = ranked.withColumn("__tier", F.when(F.col("__low"), 2).when(F.col("__n") <= per_file, 0).otherwise(1))
+    first = marked.orderBy("__tier", *order).limit(limit)  # all good ones, if they are fewer
+    place = F.row_number().over(Window.orderBy("__tier", *order))  # at most `limit` rows
     good = F.count_if(F.col("__tier") < 2).over(Window.partitionBy())
     room = F.least(F.lit(limit), F.greatest(good + F.when(good < limit, 1).otherwise(0), F.least(F.lit(min(limit, 6)), F.lit(limit))))
-    return marked.withColumn("__place", place).withColumn("__room", room).filter("__place <= __room").withColumn("place", F.col("__place")).drop("__low", "__tier", "__place", "__room")
+    return first.withColumn("__place", place).withColumn("__room", room).filter("__place <= __room").withColumn("place", F.col("__place")).drop("__low", "__n", "__tier", "__place", "__room")
 
 
 def balanced(found: DataFrame, limit: int, per_file: int = 2, low_share: int = 6) -> DataFrame:
@@ -235,11 +237,12 @@ def reason_histogram(found: DataFrame) -> DataFrame:
 
 
 def assemble(found: DataFrame, per_chunk: int = 6000, total: int = 50_000) -> DataFrame:
-    """The result's chunks with body: content cut to per_chunk characters while the running total fits; rows of one
-    result list, so one window over them is bounded by its limit."""
-    body = text.cut_with_mark(F.col("content"), per_chunk)
-    used = F.sum(F.length("body")).over(Window.orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return found.withColumn("body", body).withColumn("used", used).filter(F.col("used") <= total)
+    """The chunks (chunk_id, score, content) with body: content cut to per_chunk characters while the running total, used,
+    fits. The total runs over ids and sizes in parts of the ordered list, so the list may be of any length."""
+    sized = found.withColumn("body", text.cut_with_mark(F.col("content"), per_chunk))
+    order = {"__none": F.col("score").isNull(), "__down": -F.col("score"), "__size": F.coalesce(F.length("body"), F.lit(0))}
+    ran = ordering.running_sum(sized.withColumns(order).select("chunk_id", *order), ["__none", "__down", "chunk_id"], "__size", "used")
+    return sized.join(ran.filter(F.col("used") <= total).select("chunk_id", "used"), "chunk_id")
 
 
 def freshness(state: DataFrame) -> DataFrame:

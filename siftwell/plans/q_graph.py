@@ -148,10 +148,10 @@ def graph_summaries(spark, sf):
     return made.select("path", join("declarations"), join("imports"), join("imported_by"), F.size("tests").cast("long").alias("tests"))
 
 
-@query(f"SELECT {_P} AS path, 'missing_candidate' AS status, true AS has_graph_context FROM documents WHERE lang = 'fr'")
+@query(f"SELECT {_P} AS path, 'missing_candidate' AS status, true AS has_graph_context FROM documents")
 def coverage_report(spark, sf):
     file, code, found = _edges(spark, sf)
-    changed = _code_files(spark, sf).join(table(spark, sf, "documents").filter("lang = 'fr'").select("doc_id"), "doc_id", "left_semi").select("path")
+    changed = _code_files(spark, sf).select("path")
     made = graph.summaries(changed, file, code, found)
     return graph.missing_tests(changed, made).drop("related").join(graph.coverage(changed, made).select("path", "has_graph_context"), "path")
 
@@ -205,12 +205,10 @@ def paths_by_query(spark, sf):
     return graph.paths_by_query(_index(spark, sf)[1], ["77", "features"], 25)
 
 
-@query(f"""WITH f AS (SELECT DISTINCT {_P} AS path FROM documents WHERE lang = 'es'), n AS (SELECT path, CAST((row_number() OVER (ORDER BY path) - 1) // 20 AS INTEGER) AS batch FROM f)
+@query(f"""WITH f AS (SELECT DISTINCT {_P} AS path FROM documents), n AS (SELECT path, CAST((row_number() OVER (ORDER BY path) - 1) // 20 AS INTEGER) AS batch FROM f)
 SELECT batch, pass, count(*) AS files, min(path) AS first_path FROM n, (VALUES ('correctness'), ('tests'), ('design')) AS v(pass) GROUP BY batch, pass""")
 def review_batches(spark, sf):
-    es = table(spark, sf, "documents").filter("lang = 'es'").select("doc_id")
-    files = _code_files(spark, sf).join(es, "doc_id", "left_semi").select("path")
-    return graph.batches(files).select("batch", "pass", F.size("paths").cast("long").alias("files"), F.col("paths")[0].alias("first_path"))
+    return graph.batches(_code_files(spark, sf).select("path")).select("batch", "pass", F.size("paths").cast("long").alias("files"), F.col("paths")[0].alias("first_path"))
 
 
 def _diffs(spark, sf):

@@ -154,14 +154,14 @@ def seed_paths(spark, sf):
 
 
 _KINDS = "CASE doc_id % 4 WHEN 0 THEN 'type' ELSE 'function' END"
-_FOUND = f"SELECT doc_id AS chunk_id, source AS path, n_chars AS score, {_KINDS} AS chunk_kind, CASE WHEN doc_id % 5 = 0 THEN 'constant' ELSE 'function' END AS symbol_kind, CASE WHEN doc_id % 6 = 0 THEN 'MAX_' || doc_id ELSE 'fn' END AS symbol_name, doc_id % 3 <> 0 AS only_set FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60"
+_FOUND = f"SELECT doc_id AS chunk_id, source AS path, n_chars AS score, {_KINDS} AS chunk_kind, CASE WHEN doc_id % 5 = 0 THEN 'constant' ELSE 'function' END AS symbol_kind, CASE WHEN doc_id % 6 = 0 THEN 'MAX_' || doc_id ELSE 'fn' END AS symbol_name, doc_id % 3 <> 0 AS only_set FROM documents"
 
 
 @query(f"""WITH f AS (SELECT *, only_set AND (chunk_kind = 'type' OR symbol_kind = 'constant' OR symbol_name <> 'fn') AS low FROM ({_FOUND})),
 t AS (SELECT *, CASE WHEN low THEN 2 WHEN row_number() OVER (PARTITION BY path, low ORDER BY score DESC, chunk_id) <= 1 THEN 0 ELSE 1 END AS tier FROM f)
 SELECT chunk_id, low FROM t ORDER BY tier, score DESC, chunk_id LIMIT 30""")
 def representative_chunks(spark, sf):
-    docs = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(60)  # a result list
+    docs = table(spark, sf, "documents")
     reasons = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit("current_file"))).otherwise(F.array(F.lit("current_file"), F.lit("fts_match")))
     found = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), F.col("n_chars").alias("score"), F.expr(_KINDS).alias("chunk_kind"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'constant' ELSE 'function' END").alias("symbol_kind"), F.expr("CASE WHEN doc_id % 6 = 0 THEN concat('MAX_', doc_id) ELSE 'fn' END").alias("symbol_name"), reasons.alias("reasons"))
     low = retrieval.is_low_value_chunk(F.col("reasons"), F.col("chunk_kind"), F.col("symbol_kind"), F.col("symbol_name"))

@@ -203,12 +203,11 @@ def balanced_selection(spark, sf):
     return retrieval.balanced(found, 100).select("chunk_id", "path")
 
 
-@query("""WITH d AS (SELECT doc_id AS chunk_id, text, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40),
+@query("""WITH d AS (SELECT doc_id AS chunk_id, text, n_chars FROM documents),
 b AS (SELECT chunk_id, n_chars, CASE WHEN length(text) > 3000 THEN 3000 + length(chr(10) || '... truncated ...') ELSE length(text) END AS size FROM d),
 u AS (SELECT chunk_id, CAST(size AS INTEGER) AS size, sum(size) OVER (ORDER BY n_chars DESC, chunk_id) AS used FROM b) SELECT chunk_id, size, CAST(used AS BIGINT) AS used FROM u WHERE used <= 50000""")
 def context_budget(spark, sf):
-    docs = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(40)
-    found = docs.select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").alias("score"), F.col("text").alias("content"))
+    found = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").alias("score"), F.col("text").alias("content"))
     return retrieval.assemble(found, 3000, 50_000).select("chunk_id", F.length("body").alias("size"), "used")
 
 
