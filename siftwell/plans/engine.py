@@ -225,7 +225,9 @@ def review(index: Index, diffs: DataFrame, learnings: DataFrame, candidates: int
     drafted = rules.make_rules(learnings)
     if rules_extra is not None:
         drafted = drafted.unionByName(rules_extra, allowMissingColumns=True)
-    lines, files = rules.diff_lines(diffs), rules.diff_files(diffs)
+    # What all branches read is made once: rules, lines and the list of files.
+    drafted, lines = ordering.settled(drafted), ordering.settled(rules.diff_lines(diffs))
+    files = ordering.settled(rules.diff_files(diffs))
     columns = ["diff_id", "rule_id", "rule_kind", "severity", "message", "path", "pattern", "evidence"]
     found = [
         rules.forbidden_imports(rules.added_imports(lines), drafted).select(*columns),
@@ -237,26 +239,29 @@ def review(index: Index, diffs: DataFrame, learnings: DataFrame, candidates: int
     repeated = repeated.withColumns({"rule_kind": F.lit("duplicate_added_text"), "path": F.lit(None).cast("string")})
     found.append(repeated.select(*columns))
     if index.chunks is not None:
-        found.append(_dry_rows(index, diffs, candidates).select(*columns))
+        found.append(_dry_rows(index, lines, files, candidates).select(*columns))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return rules.dedupe_warnings(out)
 
 
-def _dry_rows(index: Index, diffs: DataFrame, candidates: int) -> DataFrame:
-    return dry_warnings(index, diffs, candidates).withColumns({"rule_id": F.lit("intrinsic:codebase_dry_similarity"), "rule_kind": F.lit("duplicate_added_text"), "severity": F.lit("warning"), "message": F.lit("Added code resembles indexed code; see whether that can be used instead.")})
+def _dry_rows(index: Index, lines: DataFrame, files: DataFrame, candidates: int) -> DataFrame:
+    return _resembling(index, lines, files, candidates).withColumns({"rule_id": F.lit("intrinsic:codebase_dry_similarity"), "rule_kind": F.lit("duplicate_added_text"), "severity": F.lit("warning"), "message": F.lit("Added code resembles indexed code; see whether that can be used instead.")})
 
 
 def dry_warnings(index: Index, diffs: DataFrame, candidates: int = 8) -> DataFrame:
     """diff_id, path, pattern and evidence of added blocks that resemble chunks of files outside the diff."""
-    lines = rules.diff_lines(diffs)
-    blocks = rules.first_blocks(rules.added_blocks(lines), candidates)
+    return _resembling(index, rules.diff_lines(diffs), rules.diff_files(diffs), candidates)
+
+
+def _resembling(index: Index, lines: DataFrame, files: DataFrame, candidates: int) -> DataFrame:
+    blocks = ordering.settled(rules.first_blocks(rules.added_blocks(lines), candidates))
     key = F.concat_ws("|", F.col("diff_id").cast("string"), "block")
-    near = similar_code(index, blocks.select(key.alias("query"), "text"))
+    near = ordering.settled(similar_code(index, blocks.select(key.alias("query"), "text")))
     chunks = index.chunks.select("chunk_id", F.col("path").alias("match_path"), "start_line", "end_line", "content")
     matches = blocks.select("diff_id", "block", key.alias("query")).join(near, "query").join(chunks, "chunk_id")
-    return rules.dry_warnings(blocks, matches, rules.diff_files(diffs))
+    return rules.dry_warnings(blocks, matches, files)
 
 
 def record_learning(learnings: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
