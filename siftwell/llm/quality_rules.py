@@ -31,7 +31,7 @@ class Bands:
     knot its limits hold.
 
     The limits come from prose in use, not from the tables that the queries read: licences, manuals, release notes and
-    guides in English (about 250 texts of 1.5 to 600 KB, whole and cut to the knots' lengths). The least document ratios
+    guides in English (503 texts of 1.5 to 600 KB, whole and cut to the knots' lengths). The least document ratios
     lie about a tenth under the lowest of those, legal texts included; the least chunk ratios under what a long text's
     tables and lists of names fall to, so that one such chunk does not reject it. The most ratios lie a fifth above the
     highest and let everything but encoded or random data through.
