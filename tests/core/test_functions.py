@@ -22,7 +22,7 @@ def test_trim_takes_all_white_space(spark):
     [
         ("src/**", "src/a/b.ts", True), ("src/**", "lib/src/a.ts", False), ("*.ts", "a/b/c.ts", True), ("*.ts", "a/b.tsx", False), ("dist", "a/dist/b.js", True),
         ("dist", "distant/b.js", False), ("a/b", "a/b/c/d", True), ("**/gen/*.json", "x/y/gen/a.json", True), ("**/gen/*.json", "gen/a.json", True), ("?.md", "docs/a.md", True),
-        ("{a,b}/*.py", "b/x.py", True), ("[ab].c", "x/a.c", True), ("[!ab].c", "x/a.c", False), (".env*", "app/.env.local", True), ("./src/", "src/x", False), ("*", ".hidden", True), ("A.ts", "a.ts", False), ("  ", "a", False),
+        ("{a,b}/*.py", "b/x.py", True), ("[ab].c", "x/a.c", True), ("[!ab].c", "x/a.c", False), (".env*", "app/.env.local", True), ("./src/", "src/x", True), ("*", ".hidden", True), ("A.ts", "a.ts", False), ("  ", "a", False),
     ],
 )
 def test_globs(spark, glob, path, fits):
