@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from . import ordering, vector_index
 
 LEAST, PER_SOURCE, PER_PAIR, MOST = 0.72, 5, 3, 2000
 #: Rows of a block that a task compares with as many others, on average.
@@ -93,27 +94,69 @@ def similar_pairs(items: DataFrame, block: str, least: float = LEAST, per_source
     return scored.withColumn("n", best).filter(F.col("n") <= per_source).drop("n")
 
 
-def similar_edges(chunks: DataFrame, least: float = LEAST, per_source: int | None = PER_SOURCE, per_pair: int | None = PER_PAIR, most: int | None = MOST) -> DataFrame:
-    """similar_to edges between chunks (chunk_id, path, chunk_kind, symbol_kind, symbol_name, package_key, embedding)
-    of different files. Only rows that share a chunk kind, symbol kind, package or directory are compared, in cells.
-    Kept are the best per_source edges of a source, of these per_pair for a pair of names, and `most` edges in all; None
-    for any of them sets no bound."""
-    blocks = ["chunk_kind", "symbol_kind", "package_key", "directory"]
-    keyed = chunks.select(F.col("chunk_id").alias("id"), "embedding", *blocks[:3], paths.dirname(F.col("path")).alias("directory"))
-    pairs = _compared(keyed, blocks, least, None)
-    side = lambda name, key: chunks.drop("embedding").select(F.struct(*[F.col(c) for c in chunks.columns if c != "embedding"]).alias(name), F.col("chunk_id").alias(key))
-    full = pairs.join(side("s", "source"), "source").join(side("t", "target"), "target").filter("s.path != t.path")
+def _side(chunks: DataFrame, name: str, key: str) -> DataFrame:
+    return chunks.select(F.struct(*[F.col(c) for c in chunks.columns if c != "embedding"]).alias(name), F.col("chunk_id").alias(key))
+
+
+def _scored(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of chunks of different files with what both share, their score and names."""
+    full = pairs.join(_side(chunks, "s", "source"), "source").join(_side(chunks, "t", "target"), "target").filter("s.path != t.path")
     scored = full.withColumn("boosts", boosts("s", "t")).withColumn("score", F.col("similarity") + boost_score(F.col("boosts")))
+    return scored.select("source", "target", F.col("s.path").alias("source_path"), F.col("t.path").alias("target_path"), F.coalesce("s.symbol_name", "s.chunk_kind").alias("source_name"), F.coalesce("t.symbol_name", "t.chunk_kind").alias("target_name"), "similarity", "score", "boosts")
+
+
+def _best_of_source(scored: DataFrame, per_source: int | None) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), F.desc("similarity"), "target"))
-    names = scored.withColumn("source_name", F.coalesce("s.symbol_name", "s.chunk_kind")).withColumn("target_name", F.coalesce("t.symbol_name", "t.chunk_kind"))
-    kept = names
-    if not per_source is per_pair is most is None:
-        kept = kept.withColumn("n", first)
-    if per_source is not None:
-        kept = kept.filter(F.col("n") <= per_source)
+    ranked = scored.withColumn("n", first)
+    return ranked if per_source is None else ranked.filter(F.col("n") <= per_source)
+
+
+def similar_pool(chunks: DataFrame, least: float = LEAST, per_source: int | None = PER_SOURCE) -> DataFrame:
+    """The best per_source scored pairs of each source, with their rank n: what similar_edges are taken from, and what
+    update_pool keeps up. Only rows that share a chunk kind, symbol kind, package or directory are compared, in cells."""
+    blocks = ["chunk_kind", "symbol_kind", "package_key", "directory"]
+    keyed = chunks.select(F.col("chunk_id").alias("id"), "embedding", *blocks[:3], paths.dirname(F.col("path")).alias("directory"))
+    scored = _scored(_compared(keyed, blocks, least, None), chunks)
+    return scored if per_source is None else _best_of_source(scored, per_source)
+
+
+def update_pool(pool: DataFrame, chunks: DataFrame, index: vector_index.VectorIndex, changed: DataFrame, deleted: DataFrame, least: float = LEAST, per_source: int = PER_SOURCE) -> DataFrame:
+    """The pool of `chunks`, made of the pool before a change. changed and deleted: chunk_id; chunks and index: as they
+    are after it, and `least` and `per_source` as the pool was made with.
+
+    Changed rows are compared with all. So are sources that lost a partner of their best, as the one that follows it was
+    not kept. The best of any other source are the best of those it had and of its pairs with changed rows. `least` is
+    above 0."""
+    touched = ordering.settled(changed.select("chunk_id").unionByName(deleted.select("chunk_id")).distinct())
+    lost = pool.join(touched.select(F.col("chunk_id").alias("target")), "target", "left_semi").select(F.col("source").alias("chunk_id"))
+    again = ordering.settled(changed.select("chunk_id").unionByName(lost).distinct())  # a source that is gone is not in chunks
+    asked = chunks.join(again, "chunk_id", "left_semi").select(F.col("chunk_id").alias("query"), "embedding")
+    met = ordering.settled(vector_index.within(index, asked, least).filter("query != key"))
+
+    anew = met.select(F.col("query").alias("source"), F.col("key").alias("target"), "similarity")
+    back = met.join(changed.select(F.col("chunk_id").alias("query")).distinct(), "query", "left_semi").select(F.col("key").alias("source"), F.col("query").alias("target"), "similarity")
+    back = back.join(again.select(F.col("chunk_id").alias("source")), "source", "left_anti")  # the others have theirs in anew
+    pairs = anew.unionByName(back).join(_side(chunks, "s", "source"), "source").join(_side(chunks, "t", "target"), "target").filter(comparable("s", "t")).select("source", "target", "similarity")
+    stays = pool.join(again.unionByName(touched).distinct().select(F.col("chunk_id").alias("source")), "source", "left_anti").drop("n")
+    return _best_of_source(stays.unionByName(_scored(pairs, chunks)), per_source)
+
+
+def pool_edges(pool: DataFrame, per_pair: int | None = PER_PAIR, most: int | None = MOST) -> DataFrame:
+    """similar_to edges of a pool: at most per_pair of a source for a pair of names, and `most` in all."""
+    kept = pool
     if per_pair is not None:
         pair = F.row_number().over(Window.partitionBy("source", "source_name", "target_name").orderBy("n"))
         kept = kept.withColumn("m", pair).filter(F.col("m") <= per_pair)
     if most is not None:
         kept = kept.orderBy("source", "n").limit(most)
-    return kept.select("source", "target", F.col("s.path").alias("source_path"), F.col("t.path").alias("target_path"), "source_name", "target_name", F.lit("similar_to").alias("kind"), F.round(F.least(F.lit(0.99), "score"), 4).alias("confidence"), F.round("similarity", 4).alias("similarity"), "boosts")
+    return kept.select("source", "target", "source_path", "target_path", "source_name", "target_name", F.lit("similar_to").alias("kind"), F.round(F.least(F.lit(0.99), "score"), 4).alias("confidence"), F.round("similarity", 4).alias("similarity"), "boosts")
+
+
+def similar_edges(chunks: DataFrame, least: float = LEAST, per_source: int | None = PER_SOURCE, per_pair: int | None = PER_PAIR, most: int | None = MOST) -> DataFrame:
+    """similar_to edges between chunks (chunk_id, path, chunk_kind, symbol_kind, symbol_name, package_key, embedding)
+    of different files. Kept are the best per_source edges of a source, of these per_pair for a pair of names, and `most`
+    edges in all; None for any of them sets no bound."""
+    pool = similar_pool(chunks, least, per_source)
+    if per_source is None and not per_pair is most is None:
+        pool = _best_of_source(pool, None)
+    return pool_edges(pool, per_pair, most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import lexical, retrieval, similarity
+from ..operators import lexical, retrieval, similarity, vector_index
 from ..sources import corpus
 from . import engine
 from .q_text import MADE_PATH
@@ -54,9 +54,11 @@ def vector_topk(spark, sf):
     return retrieval.vector_top_k(e, probe, 12, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.v, q.v), 12) AS c FROM e, e q WHERE q.vec_id % 20 = 0)
-SELECT query, vec_id, round(c, 6) AS similarity FROM p WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) <= 12""")
+_EACH_SQL = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.v, q.v), 12) AS c FROM e, e q WHERE q.vec_id % 20 = 0)"""
+
+
+@query(f"{_EACH_SQL} SELECT query, vec_id, round(c, 6) AS similarity FROM p WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) <= 12")
 def vector_topk_each(spark, sf):
     """Every row whose id is divisible by 20 as a query, against all rows."""
     e = table(spark, sf, "embeddings")
@@ -64,6 +66,25 @@ def vector_topk_each(spark, sf):
     return retrieval.vector_top_k_each(e, queries, 12, "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
+def _indexed(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vector_index.build(e, "vec_id"), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+@query(f"{_EACH_SQL} SELECT query, vec_id, round(c, 6) AS similarity FROM p WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) <= 12")
+def vector_index_topk_each(spark, sf):
+    """As vector_topk_each, by balls and rings."""
+    index, queries = _indexed(spark, sf)
+    return vector_index.search(index, queries, 12).select("query", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"{_EACH_SQL} SELECT query, vec_id, round(c, 6) AS similarity FROM p WHERE c >= 0.3")
+def vector_index_within(spark, sf):
+    """Every row whose id is divisible by 20 as a query, and all rows with a cosine of 0.3 or more."""
+    index, queries = _indexed(spark, sf)
+    return vector_index.within(index, queries, 0.3).select("query", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: 4 * x * x))), 5) AS size, round(1.0::DOUBLE, 5) AS unit FROM embeddings")
 def vector_normalize(spark, sf):
     twice = F.transform("embedding", lambda x: x * 2)
@@ -87,12 +108,15 @@ def similar_pairs(spark, sf):
     return similarity.similar_pairs(items, "label", 0.3, 5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH e AS (SELECT vec_id AS id, 'k' || label AS kind, 'd' || (vec_id % 40) AS dir, 'p' || (vec_id % 25) AS pkg, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+_EDGES_SQL = """WITH e AS (SELECT vec_id AS id, 'k' || label AS kind, 'd' || (vec_id % 40) AS dir, 'p' || (vec_id % 25) AS pkg, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.id AS source, b.id AS target, list_cosine_similarity(a.v, b.v) AS c, a.kind = b.kind AS k, a.dir = b.dir AS d, a.pkg = b.pkg AS g, a.kind || '->' || b.kind AS pair FROM e a JOIN e b ON a.id <> b.id AND (a.kind = b.kind OR a.dir = b.dir OR a.pkg = b.pkg)),
 s AS (SELECT *, c + 0.05 * k::INT + 0.03 * d::INT + 0.04 * g::INT AS score FROM p WHERE c >= 0.2),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, c DESC, target) AS n FROM s QUALIFY n <= 5),
 m AS (SELECT *, row_number() OVER (PARTITION BY source, pair ORDER BY n) AS m FROM n QUALIFY m <= 3)
-SELECT source, target, round(least(0.99, score), 4) AS confidence, round(c, 4) AS similarity FROM m ORDER BY source, n LIMIT 2000""")
+SELECT source, target, round(least(0.99, score), 4) AS confidence, round(c, 4) AS similarity FROM m ORDER BY source, n LIMIT 2000"""
+
+
+@query(_EDGES_SQL)
 def similar_edges(spark, sf):
     return similarity.similar_edges(_vector_chunks(spark, sf), 0.2).select("source", "target", "confidence", "similarity")
 
@@ -106,6 +130,22 @@ def similar_edges_all(spark, sf):
     return every.select("source", "target", "confidence", "similarity")
 
 
+@query(_EDGES_SQL)
+def similar_edges_updated(spark, sf):
+    """The edges of the table, kept up from an earlier state of it: every eleventh row was not there yet, every
+    thirteenth had its components in the opposite order, and a copy of every seventeenth has gone since."""
+    now = _vector_chunks(spark, sf)
+    of = lambda n: F.col("chunk_id") % n == 0
+    before = now.filter(~of(11)).withColumn("embedding", F.when(of(13), F.reverse("embedding")).otherwise(F.col("embedding")))
+    copies = now.filter(of(17)).withColumn("chunk_id", -F.col("chunk_id") - 1).withColumn("path", F.concat("path", F.lit("_copy")))
+    before = before.unionByName(copies)
+    changed, deleted = now.filter(of(11) | of(13)), copies.select("chunk_id")
+    pool = similarity.similar_pool(before, 0.2)
+    index = vector_index.update(vector_index.build(before, "chunk_id"), changed, deleted, "chunk_id")
+    edges = similarity.pool_edges(similarity.update_pool(pool, now, index, changed, deleted, 0.2))
+    return edges.select("source", "target", "confidence", "similarity")
+
+
 def _vector_chunks(spark, sf):
     e = table(spark, sf, "embeddings")
     v = F.col("vec_id")
