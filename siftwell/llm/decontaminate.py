@@ -33,34 +33,49 @@ _LOCATE_ROWS = 500_000
 
 @dataclass
 class Phrases:
-    """The distinct windows of some items: by length, a matrix of word numbers from 1 and the items of each."""
+    """The distinct windows of some items: numbers from 1 of all words of the items, one after the other, and by length
+    where each window starts among them, where its items start, and the items."""
 
     vocabulary: pa.Array
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # matrix, start of each row's items, items
+    numbers: np.ndarray
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     item_ids: list[str]  # sorted as strings
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """size whole numbers from each begin on."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
 def phrases(rows: list[tuple], window: int) -> Phrases:
     """rows: (item id or None, text or None). Items without a word give nothing; those without an id have windows
-    that count as hits, but are not listed."""
+    that count as hits, but are not listed. Equal windows are found by sorted numbers, a word at a time, so that a row of
+    whole windows is never held."""
     names = sorted({str(i) for i, _ in rows if i is not None})
-    number = {name: k for k, name in enumerate(names)}
+    place = {name: k for k, name in enumerate(names)}
+    owner = np.array([-1 if i is None else place[str(i)] for i, _ in rows], np.int64)
     words = split_words(pa.array([t or "" for _, t in rows], pa.string()), ALNUM, lower=True)
-    found: dict[int, dict[bytes, set[int]]] = {}
-    for k, (item, _) in enumerate(rows):
-        ids = words.ids[words.first[k] : words.first[k + 1]].astype(np.int32) + 1
-        m = min(window, len(ids))
-        for j in range(len(ids) - m + 1 if m else 0):
-            owners = found.setdefault(m, {}).setdefault(ids[j : j + m].tobytes(), set())
-            if item is not None:
-                owners.add(number[str(item)])
-    by_length = {}
-    for m, table in sorted(found.items()):
-        matrix = np.frombuffer(b"".join(table), np.int32).reshape(-1, m).astype(np.int64)
-        starts = np.zeros(len(table) + 1, np.int64)
-        np.cumsum([len(x) for x in table.values()], out=starts[1:])
-        by_length[m] = matrix, starts, np.array([i for x in table.values() for i in sorted(x)], np.int64)
-    return Phrases(words.distinct, by_length, names)
+    numbers, counts = words.ids.astype(np.int32) + 1, np.diff(words.first)
+    lengths, by_length = np.minimum(window, counts), {}
+    for m in sorted({int(m) for m in lengths if m}):
+        some = np.flatnonzero(lengths == m)
+        size = counts[some] - m + 1
+        starts, owners = _ranges(words.first[:-1][some], size), np.repeat(owner[some], size)
+        group = np.zeros(len(starts), np.int64)
+        for j in range(m):
+            _, at, group = np.unique(group * (len(words.distinct) + 1) + numbers[starts + j], return_index=True, return_inverse=True)
+        pairs = np.unique(group * (len(names) + 1) + owners + 1)
+        pairs = pairs[pairs % (len(names) + 1) > 0]
+        item_at = np.searchsorted(pairs // (len(names) + 1), np.arange(len(at) + 1))
+        by_length[m] = starts[at], item_at, pairs % (len(names) + 1) - 1
+    return Phrases(words.distinct, numbers, by_length, names)
+
+
+def _found(index: FMIndex, phrase: Phrases, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row ranges of all windows of a length, so many written out at once."""
+    starts = phrase.by_length[m][0]
+    parts = [index.search(phrase.numbers[starts[k : k + _LOCATE_ROWS, None] + np.arange(m)].astype(np.int64)) for k in range(0, len(starts), _LOCATE_ROWS)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _runs(symbols: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +110,8 @@ def _occurrences(phrase: Phrases, symbols: np.ndarray, first: np.ndarray):
     if not len(text):
         return
     index = FMIndex(text, len(phrase.vocabulary))
-    for m, (matrix, _, _) in phrase.by_length.items():
-        low, high = index.search(matrix)
+    for m in phrase.by_length:
+        low, high = _found(index, phrase, m)
         hit = np.flatnonzero(high > low)
         counts = (high - low)[hit]
         until = np.cumsum(counts)
@@ -128,7 +143,7 @@ def _search_shard(texts, phrase: Phrases, old_spans, old_items) -> tuple[pa.Arra
             both = np.unique(doc[starts] * len(item_at) + numbers)
             docs, numbers = both // len(item_at), both % len(item_at)
             size = np.diff(item_at)[numbers]
-            flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(item_at[:-1][numbers], size)
+            flat = _ranges(item_at[:-1][numbers], size)
             pairs.append(np.unique(np.repeat(docs, size) * n_items + items[flat]))
     if old_spans is not None:
         flat = old_spans.flatten()

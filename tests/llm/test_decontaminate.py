@@ -38,6 +38,25 @@ def test_against_brute_force(spark, blocks):
         assert decontaminate.items_digest(items) == hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("window", [1, 3, 13])
+def test_windows_and_their_items(window):
+    items = [*ITEMS, (8, "one two three one two three one two"), (9, "two three one"), (10, "three")]
+    want = {}
+    for item, body in items:
+        w = words2(body)
+        m = min(window, len(w))
+        for j in range(len(w) - m + 1 if m else 0):
+            want.setdefault(tuple(w[j : j + m]), set()).update([] if item is None else [str(item)])
+    made = decontaminate.phrases(items, window)
+    words, got = [w.decode() for w in made.vocabulary.to_pylist()], {}
+    for m, (starts, item_at, owners) in made.by_length.items():
+        for k, start in enumerate(starts):
+            window_words = tuple(words[n - 1] for n in made.numbers[start : start + m])
+            assert window_words not in got
+            got[window_words] = {made.item_ids[i] for i in owners[item_at[k] : item_at[k + 1]]}
+    assert got == want
+
+
 def plain_stage(rows, items):
     """The rows that are not contaminated, their texts without the words of all windows."""
     out = []
