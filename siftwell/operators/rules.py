@@ -199,7 +199,8 @@ def missing_tests(files: DataFrame, rules: DataFrame) -> DataFrame:
 def scoped_rules(rules: DataFrame, files: DataFrame) -> DataFrame:
     """Rules (rule_id, scope and others) without a scope, and those with a glob in it that fits a file (path)."""
     scoped = rules.filter(F.coalesce(F.size("scope"), F.lit(0)) > 0).select("rule_id", F.explode("scope").alias("pattern"))
-    hit = pattern_hits(files.select("path").distinct(), scoped).join(scoped, "pattern").select("rule_id").distinct()
+    fitting = pattern_hits(files.select("path").distinct(), scoped).select("pattern").distinct()  # files and rules that share a glob are never paired
+    hit = scoped.join(fitting, "pattern", "left_semi").select("rule_id").distinct()
     return rules.filter(F.coalesce(F.size("scope"), F.lit(0)) <= 0).unionByName(rules.join(hit, "rule_id", "left_semi").select(*rules.columns))
 
 
