@@ -6,8 +6,9 @@ Updates return new snapshots and the events they cause; nothing is changed in pl
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -202,11 +203,18 @@ def embedding_text() -> Column:
 def find_duplicates(candidates: DataFrame, learnings: DataFrame) -> DataFrame:
     """candidate_id and learning_id of the first (by id) active or draft learning of the repo with the same avoid term,
     and the same prefer term if the candidate has one; without an equal avoid term, the same title."""
-    live = learnings.filter("status IN ('active', 'draft')").select("repo_key", "learning_id", *(text.plain(F.col(c)).alias(f"o_{c}") for c in ("avoid", "prefer", "title")))
+    live = learnings.filter("status IN ('active', 'draft')").select("repo_key", "learning_id", *(text.plain(F.col(c)).alias(c) for c in ("avoid", "prefer", "title")))
     mine = candidates.select("repo_key", "candidate_id", *(text.plain(F.col(c)).alias(c) for c in ("avoid", "prefer", "title")))
-    by_avoid = mine.filter("avoid != ''").join(live, (mine["repo_key"] == live["repo_key"]) & (F.col("avoid") == F.col("o_avoid"))).filter("prefer = '' OR prefer = o_prefer")
-    by_title = mine.join(live, (mine["repo_key"] == live["repo_key"]) & (F.col("title") == F.col("o_title"))).filter("avoid = '' OR avoid != o_avoid")
-    both = by_avoid.select("candidate_id", "learning_id").unionByName(by_title.select("candidate_id", "learning_id"))
+    # Learnings are drawn together by their terms first, so a candidate meets one row, however many share its terms.
+    first = lambda *keys: live.groupBy("repo_key", *keys).agg(F.min("learning_id").alias("learning_id"))
+    by_both = mine.filter("avoid != '' AND prefer != ''").join(first("avoid", "prefer"), ["repo_key", "avoid", "prefer"])
+    by_avoid = mine.filter("avoid != '' AND prefer = ''").join(first("avoid"), ["repo_key", "avoid"])
+    by_title = mine.filter("avoid = ''").join(first("title"), ["repo_key", "title"])
+    # Of a title, the first learnings of two avoid terms: one of them has another term than the candidate.
+    place = F.row_number().over(Window.partitionBy("repo_key", "title").orderBy(F.col("learning_id").asc_nulls_last(), "avoid"))
+    two = first("title", "avoid").withColumn("__n", place).filter("__n <= 2").select("repo_key", "title", F.col("avoid").alias("o_avoid"), "learning_id")
+    by_other = mine.filter("avoid != ''").join(two, ["repo_key", "title"]).filter("avoid != o_avoid")
+    both = reduce(DataFrame.unionByName, (df.select("candidate_id", "learning_id") for df in (by_both, by_avoid, by_title, by_other)))
     return both.groupBy("candidate_id").agg(F.min("learning_id").alias("learning_id"))
 
 

@@ -34,3 +34,18 @@ def test_scoped_rules_pair_no_files_with_rules(spark):
     found = rules.scoped_rules(made, files)
     assert sorted(r[0] for r in found.select("rule_id").collect()) == list(range(0, 200, 2))
     assert joined_rows(spark, found) <= 1000
+
+
+def test_find_duplicates_meets_one_row_a_term(spark):
+    known = spark.range(300).selectExpr("'r' AS repo_key", "id AS learning_id", "'active' AS status", "'Legacy' AS avoid", "concat('new', id) AS prefer", "'same' AS title")
+    asked = spark.range(300).selectExpr("'r' AS repo_key", "id AS candidate_id", "CASE WHEN id % 3 = 2 THEN NULL ELSE 'legacy' END AS avoid", "CASE WHEN id % 3 = 0 THEN concat('NEW', id) END AS prefer", "'Same' AS title")
+    found = knowledge.find_duplicates(asked, known)
+    assert {r["candidate_id"]: r["learning_id"] for r in found.collect()} == {k: k if k % 3 == 0 else 0 for k in range(300)}
+    assert joined_rows(spark, found) <= 600
+
+
+def test_find_duplicates_by_title_needs_another_term(spark):
+    columns = "repo_key string, learning_id long, status string, avoid string, prefer string, title string"
+    known = spark.createDataFrame([("r", 1, "active", "a", "x", "t"), ("r", 2, "active", "a", "y", "t"), ("r", 3, "draft", "b", "x", "t"), ("r", 0, "ignored", "c", "x", "t"), ("s", 0, "active", "c", "x", "t")], columns)
+    asked = spark.createDataFrame([("r", 10, "a", "z", "t"), ("r", 11, "b", "z", "t"), ("r", 12, "c", "z", "t"), ("r", 13, None, None, "t"), ("r", 14, "b", "x", "u"), ("r", 15, "d", None, "u")], "repo_key string, candidate_id long, avoid string, prefer string, title string")
+    assert {tuple(r) for r in knowledge.find_duplicates(asked, known).collect()} == {(10, 3), (11, 1), (12, 1), (13, 1), (14, 3)}
