@@ -49,3 +49,12 @@ def test_find_duplicates_by_title_needs_another_term(spark):
     known = spark.createDataFrame([("r", 1, "active", "a", "x", "t"), ("r", 2, "active", "a", "y", "t"), ("r", 3, "draft", "b", "x", "t"), ("r", 0, "ignored", "c", "x", "t"), ("s", 0, "active", "c", "x", "t")], columns)
     asked = spark.createDataFrame([("r", 10, "a", "z", "t"), ("r", 11, "b", "z", "t"), ("r", 12, "c", "z", "t"), ("r", 13, None, None, "t"), ("r", 14, "b", "x", "u"), ("r", 15, "d", None, "u")], "repo_key string, candidate_id long, avoid string, prefer string, title string")
     assert {tuple(r) for r in knowledge.find_duplicates(asked, known).collect()} == {(10, 3), (11, 1), (12, 1), (13, 1), (14, 3)}
+
+
+def test_compatible_pairs_compares_distinct_phrases(spark):
+    rows = spark.range(400).selectExpr("'g' AS g", "id", "concat('a long phrase ', id % 20, ' ') AS phrase")
+    found = knowledge.compatible_pairs(rows.withColumn("phrase", F.expr("concat(id % 20, 'zz')")), "g", "id", "phrase")
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in range(400) for b in range(a + 1, 400) if a % 20 == b % 20}
+    assert joined_rows(spark, found) <= 10_000  # 160,000 pairs share the group
+    inside = spark.createDataFrame([("g", 1, "twelve chars"), ("g", 2, "twelve chars more"), ("h", 3, "twelve chars")], "g string, id long, phrase string")
+    assert {tuple(r) for r in knowledge.compatible_pairs(inside, "g", "id", "phrase").collect()} == {(1, 2)}
