@@ -58,3 +58,23 @@ def test_compatible_pairs_compares_distinct_phrases(spark):
     assert joined_rows(spark, found) <= 10_000  # 160,000 pairs share the group
     inside = spark.createDataFrame([("g", 1, "twelve chars"), ("g", 2, "twelve chars more"), ("h", 3, "twelve chars")], "g string, id long, phrase string")
     assert {tuple(r) for r in knowledge.compatible_pairs(inside, "g", "id", "phrase").collect()} == {(1, 2)}
+
+
+_RULE = "rule_id string, rule_kind string, pattern string, message string, path_globs array<string>, severity string, status string"
+
+
+def exchanged(df) -> str:
+    """The part of df's plan that is above the first join."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index("Join")]
+
+
+def test_forbidden_imports_come_out_once_without_a_shuffle(spark):
+    lines = [("d1", "a.ts", s, f"from {s}") for s in ("tool", "tool.js", "tool/x/y", "toolbox", "other.JS", "a//b")] + [("d1", "a.ts", "tool", "from tool"), ("d1", "a.ts", "tool/q", "from tool")]
+    imports = spark.createDataFrame([(*x, n) for n, x in enumerate(lines)], "diff_id string, path string, source string, line string, line_no int")
+    made = spark.createDataFrame([(f"r{k}", "forbidden_import", p, "m", None, "error", "active") for k, p in enumerate(("tool", "tool", "other", "a/", "tool/x", "tool.js"))] + [("r0", "forbidden_import", "tool", "m", None, "error", "active")], _RULE)
+    found = rules.forbidden_imports(imports, made)
+    got = sorted((r["rule_id"], r["evidence"]) for r in found.collect())
+    both = ["from tool", "from tool.js", "from tool/x/y"]
+    assert got == sorted([("r0", e) for e in both] + [("r1", e) for e in both] + [("r2", "from other.JS"), ("r3", "from a//b"), ("r4", "from tool/x/y"), ("r5", "from tool"), ("r5", "from tool.js")])
+    assert "Aggregate" not in exchanged(found)
