@@ -183,29 +183,39 @@ def pattern_hits(files: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def forbidden_edits(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules of any number against edited files, by their globs (path_globs, else the pattern)."""
+    """Rules of any number against edited files, by their globs (path_globs, else the pattern). Only what rules of
+    several globs find is made distinct; rules of one find a file once."""
+    about = ["rule_id", "rule_kind", "severity", "message", "pattern"]
     own = rules.filter("status = 'active' AND rule_kind = 'forbidden_path_edit'")
-    globs = own.select("rule_id", "rule_kind", "severity", "message", F.col("pattern").alias("shown"), F.explode(F.when(F.size("path_globs") > 0, F.col("path_globs")).otherwise(F.array("pattern"))).alias("pattern"))
-    hit = pattern_hits(files.select("diff_id", "path"), globs).join(globs, "pattern")
-    return hit.select("diff_id", "rule_id", "rule_kind", "severity", "message", "path", F.col("shown").alias("pattern"), F.lit("file edited").alias("evidence")).distinct()
+    own = own.select(*about, F.when(F.size("path_globs") > 0, F.col("path_globs")).otherwise(F.array("pattern")).alias("globs"))
+    own = own.groupBy(*about).agg(F.array_distinct(F.flatten(F.collect_set("globs"))).alias("globs")).withColumnRenamed("pattern", "shown")
+    globs = own.select(*(c for c in own.columns if c != "globs"), (F.size("globs") == 1).alias("one"), F.explode("globs").alias("pattern"))
+    met = pattern_hits(files.select("diff_id", "path").distinct(), globs)
+    hit = lambda some: _dealt(met, globs.filter(some), "pattern").select("diff_id", "rule_id", "rule_kind", "severity", "message", "path", F.col("shown").alias("pattern"), F.lit("file edited").alias("evidence"))
+    return hit("one").unionByName(hit("NOT one").distinct())
 
 
 def missing_tests(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Required-test rules whose place no file of a diff is in, for diffs that change a source file; where a rule has
     globs of sources (those that name no test place), one that they fit. As every such rule wants a warning for every
-    other diff, the result, and nothing else, grows with both."""
+    other diff, the result, and nothing else, grows with both: diffs are compared with distinct wants (places and
+    globs), and a want's rules come in at the end."""
     own = rules.filter((F.col("status") == "active") & (F.col("rule_kind") == "required_test_path") & paths.is_test_requirement(F.col("pattern")))
     own = own.withColumn("sources", F.filter(F.coalesce("path_globs", F.array().cast("array<string>")), lambda g: ~paths.is_test_requirement(g)))
+    needs = own.groupBy("rule_id").agg(F.array_sort(F.collect_set("pattern")).alias("places"), F.array_sort(F.collect_set("sources")).alias("sources"))
+    needs = needs.withColumn("want", F.to_json(F.struct("places", "sources")))
+    wants = needs.select("want", "places", "sources").distinct()
     source_files = files.filter(~paths.is_test_path(F.col("path"))).select("diff_id", "path")
-    narrow = own.filter(F.size("sources") > 0).select("rule_id", F.explode("sources").alias("pattern"))
-    named = pattern_hits(source_files, narrow).join(narrow, "pattern").select("diff_id", "rule_id")
-    # Every diff meets every wide rule, in the rule's salt: the pairs are dealt over tasks, and no row holds all rules.
-    wide_rules = own.filter(F.size("sources") == 0).select("rule_id", F.pmod(F.xxhash64("rule_id"), F.lit(_SALTS)).cast("int").alias("salt")).distinct()
+    narrow = wants.select("want", F.explode(F.flatten("sources")).alias("pattern")).distinct()
+    named = pattern_hits(source_files, narrow).join(narrow, "pattern").select("diff_id", "want")
+    # Every diff meets every wide want, in the want's salt: the pairs are dealt over tasks, and no row holds all wants.
+    wide_wants = wants.filter(F.exists("sources", lambda s: F.size(s) == 0)).select("want", F.pmod(F.xxhash64("want"), F.lit(_SALTS)).cast("int").alias("salt"))
     changed = source_files.select("diff_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    wide = changed.join(wide_rules, "salt").select("diff_id", "rule_id")
-    there = pattern_hits(files.select("diff_id", "path"), own).join(own.select("rule_id", "pattern"), "pattern").select("diff_id", "rule_id")
-    lost = named.unionByName(wide).distinct().join(there, ["diff_id", "rule_id"], "left_anti")
-    hit = lost.join(own.select("rule_id", "rule_kind", "severity", "message", "pattern"), "rule_id")
+    wide = changed.join(wide_wants, "salt").select("diff_id", "want")
+    placed = wants.select("want", F.explode("places").alias("pattern"))
+    there = pattern_hits(files.select("diff_id", "path"), placed).join(placed, "pattern").select("diff_id", "want")
+    lost = named.unionByName(wide).distinct().join(there, ["diff_id", "want"], "left_anti")
+    hit = _dealt(lost, own.join(needs.select("rule_id", "want"), "rule_id").select("want", "rule_id", "rule_kind", "severity", "message", "pattern"), "want")
     return hit.select("diff_id", "rule_id", "rule_kind", "severity", "message", F.lit(None).cast("string").alias("path"), "pattern", F.concat(F.lit("no changed file matched "), "pattern").alias("evidence"))
 
 

@@ -78,3 +78,14 @@ def test_forbidden_imports_come_out_once_without_a_shuffle(spark):
     both = ["from tool", "from tool.js", "from tool/x/y"]
     assert got == sorted([("r0", e) for e in both] + [("r1", e) for e in both] + [("r2", "from other.JS"), ("r3", "from a//b"), ("r4", "from tool/x/y"), ("r5", "from tool"), ("r5", "from tool.js")])
     assert "Aggregate" not in exchanged(found)
+
+
+def test_rules_of_one_place_are_one_want(spark):
+    files = spark.createDataFrame([(f"d{k}", p) for k, ps in enumerate((["src/a.ts"], ["src/a.ts", "tests/u/a.test.ts"], ["src/gen/b.ts", "src/gen/b.ts"], ["tests/u/x.test.ts"])) for p in ps], "diff_id string, path string")
+    tests = [(f"t{k}", "required_test_path", "tests/u/**", "m", ["tests/u/**"], "warning", "active") for k in range(100)] + [("n", "required_test_path", "tests/u/**", "m", ["src/gen/**", "tests/u/**"], "warning", "active")]
+    edits = [("e", "forbidden_path_edit", "src/gen/**", "m", ["src/gen/**"], "error", "active"), ("f", "forbidden_path_edit", "x", "m", ["src/**", "src/gen/*.ts"], "error", "active")]
+    made = spark.createDataFrame(tests + edits, _RULE)
+    lost = rules.missing_tests(files, made)
+    assert sorted((r["diff_id"], r["rule_id"]) for r in lost.collect()) == sorted([(d, f"t{k}") for d in ("d0", "d2") for k in range(100)] + [("d2", "n")])
+    assert "Aggregate" not in exchanged(lost)
+    assert sorted((r["diff_id"], r["rule_id"], r["path"]) for r in rules.forbidden_edits(files, made).collect()) == [("d0", "f", "src/a.ts"), ("d1", "f", "src/a.ts"), ("d2", "e", "src/gen/b.ts"), ("d2", "f", "src/gen/b.ts")]
