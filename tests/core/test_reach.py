@@ -89,3 +89,16 @@ def test_rules_of_one_place_are_one_want(spark):
     assert sorted((r["diff_id"], r["rule_id"]) for r in lost.collect()) == sorted([(d, f"t{k}") for d in ("d0", "d2") for k in range(100)] + [("d2", "n")])
     assert "Aggregate" not in exchanged(lost)
     assert sorted((r["diff_id"], r["rule_id"], r["path"]) for r in rules.forbidden_edits(files, made).collect()) == [("d0", "f", "src/a.ts"), ("d1", "f", "src/a.ts"), ("d2", "e", "src/gen/b.ts"), ("d2", "f", "src/gen/b.ts")]
+
+
+def test_same_feature_edges_are_not_made_distinct_again(spark):
+    from siftwell.operators import entities
+
+    files = spark.range(300).select(F.lit("r").alias("repo_key"), F.concat(F.lit("src/features/a/f"), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(".ts")).alias("path"), F.lit("").alias("content"))
+    files = files.unionByName(files)
+    edges = entities.file_edges(files, entities.extract_imports(files))
+    paths = [f"src/features/a/f{k:03}.ts" for k in range(300)]
+    want = sorted((p, q) for p in paths for q in [x for x in paths[:11] if x != p][:10])
+    assert sorted((r["source_path"], r["target_path"]) for r in edges.filter("kind = 'same_feature'").collect()) == want
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
