@@ -44,5 +44,5 @@ def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = 64) ->
     sums = counted.groupBy(key, place.alias("place")).agg(F.sum(sign * F.col("n")).alias("s"))
     maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("m"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("double"))
-    sums = df.select(key).join(maps, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimensions)).otherwise(vector).alias("sums"))
+    sums = df.select(key).join(maps.hint("merge"), key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimensions)).otherwise(vector).alias("sums"))
     return sums.select(key, normalize(F.col("sums")).alias("embedding"))
