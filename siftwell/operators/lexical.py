@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 K1, B = 1.2, 0.75
 TOKEN = r"([\p{L}\p{N}]+)"
 
@@ -59,18 +61,48 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1,
     return found.select(F.col("k").alias(key), rank.alias("rank"))
 
 
+#: Documents of a term up to which all of them are scored for a query.
+RARE = 1000
+
+
 def bm25_each(docs: DataFrame, key: str, text: str, queries: DataFrame, most: int, k1: float = K1, b: float = B) -> DataFrame:
     """query, key and rank of the `most` best documents of each row of queries (query, terms): as bm25, for any number
-    of queries in one pass. Only postings of the queries' terms are made; ties go by key."""
+    of queries in one pass. Only postings of the queries' terms are made; ties go by key.
+
+    Documents with a term of at most RARE documents are scored for each query. Any other document of a query has its common
+    terms only, and no more than the sum of what these give at most: queries whose `most` best are all above that are
+    done. For the others, documents are ranked once by each distinct set of common terms, so pairs grow with these sets
+    and not with the queries."""
     asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
     split = docs.select(F.col(key).alias("k"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    posted = split.select("k", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("k", "dl", "term").agg(F.count("*").alias("tf"))
-    dfs = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus_size(docs, text)), how="cross")  # one row
-    weighed = asked.join(dfs, "term").select("query", "term", _idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    part = _part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    ranked = posted.join(weighed, "term").groupBy("query", "k").agg((-F.sum(part)).alias("rank"))
-    n = F.row_number().over(Window.partitionBy("query").orderBy("rank", "k"))
-    return ranked.withColumn("n", n).filter(F.col("n") <= most).select("query", F.col("k").alias(key), "rank")
+    wanted = split.select("k", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("k", "dl", "term").agg(F.count("*").alias("tf"))
+    posted = ordering.settled(wanted.join(F.broadcast(corpus_size(docs, text)), how="cross").select("k", "term", "n", _part(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("weight")))  # one row
+    terms = posted.groupBy("term").agg(F.count("*").alias("df"), F.first("n").alias("n"), F.max("weight").alias("weight"))
+    terms = terms.select("term", "df", _idf(F.col("n"), F.col("df")).alias("idf"), "weight")
+    weighed = ordering.settled(asked.join(terms, "term").select("query", "term", "df", "idf", (F.col("idf") * F.col("weight")).alias("bound")))
+
+    def best(pairs: DataFrame, by: str, n: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(by).orderBy("rank", "k"))
+        return pairs.withColumn("place", place).filter(F.col("place") <= n)
+
+    rank = (-F.sum(F.col("idf") * F.col("weight"))).alias("rank")
+    near = ordering.settled(posted.join(weighed.filter(F.col("df") <= RARE).select("query", "term"), "term").select("query", "k").distinct())
+    scored = near.join(weighed.select("query", "term", "idf"), "query").join(posted, ["k", "term"]).groupBy("query", "k").agg(rank)
+    first = ordering.settled(best(scored, "query", most).drop("place"))
+    least = first.groupBy("query").agg(F.count("*").alias("found"), (-F.max("rank")).alias("least"))
+    common = F.col("df") > RARE
+    rest = weighed.groupBy("query").agg(F.coalesce(F.sum(F.when(common, F.col("bound"))), F.lit(0.0)).alias("rest"), F.array_sort(F.collect_list(F.when(common, F.struct("term", "idf")))).alias("common"))
+    done = (F.col("rest") == 0) | ((F.col("found") >= most) & (F.col("least") > F.col("rest") * (1 + 1e-9)))
+    left = rest.join(least, "query", "left").filter(~F.coalesce(done, F.lit(False))).join(near.groupBy("query").agg(F.count("*").alias("near")), "query", "left")
+    # Of a set's ranking, a query needs as many more as it has documents that are scored already.
+    left = ordering.settled(left.select("query", "common", F.sha2(F.to_json("common"), 256).alias("set"), (F.coalesce("near", F.lit(0)) + most).alias("need")))
+    deepest = left.agg(F.max("need")).first()[0]
+    if deepest is None:
+        return best(first, "query", most).select("query", F.col("k").alias(key), "rank")
+    sets = left.groupBy("set").agg(F.first("common").alias("common")).select("set", F.explode("common").alias("c")).select("set", "c.term", "c.idf")
+    lists = ordering.met(best(posted.join(sets, "term").groupBy("set", "k").agg(rank), "set", deepest))
+    others = left.join(lists, "set").filter(F.col("place") <= F.col("need")).select("query", "k", "rank").join(near, ["query", "k"], "left_anti")
+    return best(first.unionByName(others), "query", most).select("query", F.col("k").alias(key), "rank")
 
 
 POSTING_BUCKETS = 64

@@ -15,6 +15,8 @@ from . import ordering
 LEXICAL_SHARE, VECTOR_SHARE = 0.45, 0.55
 #: Most queries, and rows, that a task of vector_top_k_each compares at once, on average.
 QUERY_BLOCK, ROW_BLOCK = 1000, 10_000
+#: Queries that a task multiplies with its rows at once.
+BATCH = 100
 # Words that make a query ask for documentation, or for code.
 _DOC_QUERY = r"\b(readme|docs?|documentation|guide|usage|overview)\b"
 _CODE_QUERY = r"\b(where|how|built|implemented?|implementation|code|function|class|method|call|calls|prompt|review|graph|context|changed files?|handler|command|tool|worker|index(?:ed|er|ing)?|retriev(?:e|al)|rank(?:ing)?)\b"
@@ -78,13 +80,18 @@ def vector_top_k_each(items: DataFrame, queries: DataFrame, k: int, key: str, em
         rows = rows.sort_values("key", kind="stable")
         width = max((len(v) for s in (some["v"], rows["v"]) for v in s if v is not None), default=0)
         one, two = unit(some["v"], width), unit(rows["v"], width)
-        found = []
-        for name, vector in zip(some["query"], one, strict=True):
-            near = np.round(two @ vector, 12)
-            best = np.argsort(-near, kind="stable")[:k]
-            best = best[near[best] > 0]
-            found.append(pd.DataFrame({"query": name, "key": rows["key"].to_numpy()[best], "similarity": near[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query": [], "key": [], "similarity": []})
+        keys, found = rows["key"].to_numpy(), []
+        for start in range(0, len(some), BATCH):
+            names, all_near = some["query"].to_numpy()[start : start + BATCH], one[start : start + BATCH] @ two.T
+            # What may be among the k best after rounding: most rows are neither rounded nor sorted.
+            least = np.partition(all_near, -k, axis=1)[:, -k] if k < len(rows) else np.full(len(names), -np.inf)
+            for name, near, least_near in zip(names, all_near, least, strict=True):
+                some_rows = np.flatnonzero(near >= max(least_near - 1e-11, 0.0))
+                rounded = np.round(near[some_rows], 12)
+                order = np.argsort(-rounded, kind="stable")[:k]
+                order = order[rounded[order] > 0]
+                found.append((np.full(len(order), name, some["query"].dtype), keys[some_rows[order]], rounded[order]))
+        return pd.DataFrame({c: np.concatenate(v) if found else [] for c, v in zip(("query", "key", "similarity"), zip(*found, strict=True) if found else ([], [], []), strict=True)})
 
     schema = f"query {queries.schema['query'].dataType.simpleString()}, key {items.schema[key].dataType.simpleString()}, similarity double"
     made = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(compare, schema)

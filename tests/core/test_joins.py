@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors
-from siftwell.operators import entities, ordering
+from siftwell.operators import entities, lexical, ordering
+
+from .test_reach import joined_rows
 
 
 def _plan(df):
@@ -37,3 +39,17 @@ def test_a_table_is_sent_whole_only_where_it_has_few_rows(spark, tmp_path, monke
         monkeypatch.setattr(ordering, "_HELD", held)
         left = files.join(ordering.met(files.select("path")), "path", "left_semi")
         assert ("Broadcast" in _plan(left)) == sent and left.count() == 300
+
+
+def test_common_terms_do_not_pair_queries_with_documents(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "RARE", 5)
+    docs = spark.range(300).selectExpr("id AS k", "concat('common other name', id % 100, IF(id % 7 = 0, ' common', ''), repeat(' x', CAST(id % 3 AS INT))) AS t")
+    queries = spark.range(120).selectExpr("id AS query", "array('common', 'other', concat('name', id)) AS terms")  # the last 20 have no rare term
+    got = {}
+    for r in lexical.bm25_each(docs, "k", "t", queries, 3).collect():
+        got.setdefault(r["query"], []).append((round(r["rank"], 9), r["k"]))
+    for query in (0, 57, 99, 105):
+        every = lexical.bm25(docs, "k", "t", ["common", "other", f"name{query}"])
+        assert sorted(got[query]) == sorted((round(r["rank"], 9), r["k"]) for r in every.orderBy("rank", "k").limit(3).collect()), query
+    assert len(got) == 120
+    assert joined_rows(spark, lexical.bm25_each(docs, "k", "t", queries, 3)) <= 3000  # 36,000 pairs share a common term
