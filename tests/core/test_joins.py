@@ -1,9 +1,10 @@
 """Tables that grow with the corpus are merged, whatever their compressed files say."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors
-from siftwell.operators import entities, lexical, ordering
+from siftwell.operators import entities, lexical, ordering, similarity
 
 from .test_reach import joined_rows
 
@@ -53,3 +54,32 @@ def test_common_terms_do_not_pair_queries_with_documents(spark, monkeypatch):
         assert sorted(got[query]) == sorted((round(r["rank"], 9), r["k"]) for r in every.orderBy("rank", "k").limit(3).collect()), query
     assert len(got) == 120
     assert joined_rows(spark, lexical.bm25_each(docs, "k", "t", queries, 3)) <= 3000  # 36,000 pairs share a common term
+
+
+def _chunks(spark, n):
+    rows = [(k, f"d{k % 3}/f{k}.ts", f"k{k % 2}", None, f"n{k % 4}", "p" if k % 5 else "", [1.0, 0.05 * (k % 11), 0.02 * k]) for k in range(n)]
+    return spark.createDataFrame(rows, "chunk_id long, path string, chunk_kind string, symbol_kind string, symbol_name string, package_key string, embedding array<float>")
+
+
+@pytest.mark.parametrize("per_source", [5, None])
+def test_pairs_of_chunks_are_not_shuffled_to_meet_their_chunks(spark, per_source):
+    plan = similarity.similar_pool(_chunks(spark, 60), 0.5, per_source)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapCoGroups")]
+
+
+def test_cells_of_chunks_give_what_one_cell_gives(spark, monkeypatch):
+    shape = lambda df: sorted((r["source"], r["target"], r["n"], r["similarity"], r["score"], tuple(r["boosts"])) for r in df.collect())
+    chunks = _chunks(spark, 60)
+    want = shape(similarity.similar_pool(chunks, 0.5))
+    monkeypatch.setattr(similarity, "CELL", 7)
+    monkeypatch.setattr(similarity, "_PAIRS", 20)
+    assert shape(similarity.similar_pool(chunks, 0.5)) == want and len(want) == 300
+
+
+def test_a_pool_is_kept_up_without_an_index_of_all_vectors(spark):
+    shape = lambda df: sorted((r["source"], r["target"], r["n"], r["score"]) for r in df.collect())
+    now = _chunks(spark, 60)
+    before = now.filter("chunk_id % 7 != 0").unionByName(now.filter("chunk_id % 9 = 1").withColumn("chunk_id", F.col("chunk_id") + 100))
+    changed, deleted = now.filter("chunk_id % 7 = 0"), before.filter("chunk_id >= 100").select("chunk_id")
+    got = similarity.update_pool(similarity.similar_pool(before, 0.5), now, None, changed, deleted, 0.5)
+    assert shape(got) == shape(similarity.similar_pool(now, 0.5))
