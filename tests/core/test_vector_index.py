@@ -129,6 +129,16 @@ def test_a_search_reads_the_folders_of_its_balls(spark, tmp_path):
     assert "dynamicpruning" in plan
 
 
+def test_a_query_is_sent_once_to_a_group_of_rings(spark, monkeypatch):
+    vectors = list(np.random.default_rng(7).normal(size=(300, 8)))
+    items, ids = frame(spark, vectors), list(range(0, 300, 10))
+    index = vector_index.build(items, "id")
+    needs = vector_index._needs(index, vector_index._asked(queries(items, ids), "embedding", 0.1), vector_index._reachable)
+    assert needs.count() == len(ids) and index.rings.count() > 10
+    monkeypatch.setattr(vector_index, "_PAIRS", 50)  # of a task's pairs, few at once
+    same(found(vector_index.within(index, queries(items, ids), 0.1)), brute(vectors, ids, None, 0.1))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pool_after_changes_is_that_of_the_new_table(spark, seed):
     rng = np.random.default_rng(seed)
