@@ -54,7 +54,8 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1,
     any_hit = F.greatest(*names, F.lit(0)) > 0
     small = counted.groupBy(F.when(any_hit, F.col("k")).alias("k"), any_hit.alias("hit")).agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), *(F.max(c).alias(c) for c in names))
     stats = small.agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"), F.count("k").alias("hits"), F.count_if("hit").alias("hit"), *(F.count_if(F.col(c) > 0).alias(f"df{c}") for c in names))
-    found = small.filter("hit AND n > 0").select("k", F.col("n").alias("own"), "dl", *names).join(F.broadcast(stats.drop("hit")), how="cross")  # one row
+    # A filter on sums stays above them: one on `hit` would go below, with tokens made again for each term, in a pass of its own.
+    found = small.filter((F.greatest(*names, F.lit(0)) > 0) & (F.col("n") > 0)).select("k", F.col("n").alias("own"), "dl", *names).join(F.broadcast(stats.drop("hit")), how="cross")  # one row
     rank = F.lit(0.0)
     for c in names:
         rank = rank - _part(_idf(F.col("n"), F.col(f"df{c}")), F.col(c), F.col("dl") / F.col("own"), F.col("avgdl"), k1, b)
@@ -238,11 +239,15 @@ def bm25_stemmed(docs: DataFrame, key: str, text: str, terms: list[str], k1: flo
     for n in {max(1, len(stem) - 1) for stem in wanted}:
         begin = F.substring("term", 1, n)
         likely = likely | begin.isin(*(stem[:n] for stem in wanted if max(1, len(stem) - 1) == n)) | begin.rlike(r"[^\x00-\x7F]")
+    # One pass over the texts: each document also gives a row with the empty term, of which the corpus's size is made.
     split = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    posted = split.select(key, "dl", F.explode("t").alias("term")).filter(likely).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    stems = stem_vocabulary(posted).filter(F.col("stem").isin(*wanted))
+    every = split.select(key, "dl", F.explode(F.concat(F.coalesce("t", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    posted = ordering.settled(every.filter(likely | (F.col("term") == "")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf")))
+    size = posted.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
+    # Written down, as a filter on stems would go below the distinct terms, and each posting be stemmed.
+    stems = ordering.met(ordering.settled(stem_vocabulary(posted.filter("term != ''"))).filter(F.col("stem").isin(*wanted)))
     hits = posted.join(stems, "term").groupBy(key, "dl", "stem").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("stem").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "stem").join(F.broadcast(corpus_size(docs, text)), how="cross")  # a row a query term; one row
+    scored = hits.join(F.broadcast(df), "stem").join(F.broadcast(size), how="cross")  # a row a query term; one row
     part = _part(_idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return scored.groupBy(key).agg((-F.sum(part)).alias("rank"))

@@ -83,3 +83,18 @@ def test_a_pool_is_kept_up_without_an_index_of_all_vectors(spark):
     changed, deleted = now.filter("chunk_id % 7 = 0"), before.filter("chunk_id >= 100").select("chunk_id")
     got = similarity.update_pool(similarity.similar_pool(before, 0.5), now, None, changed, deleted, 0.5)
     assert shape(got) == shape(similarity.similar_pool(now, 0.5))
+
+
+def test_bm25_tokenizes_each_text_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "to run and run"), (2, "walk"), (3, None), (4, ""), (5, "a walk to walk")], "k long, text string")
+    ranked = lexical.bm25(docs, "k", "text", ["run", "walk"])
+    assert {r["k"]: r["rank"] < 0 for r in ranked.collect()} == {1: True, 2: True, 5: True}
+    final = _plan(ranked)[: _plan(ranked).find("Initial Plan")]
+    assert final.count("regexp_extract_all") == 1
+
+    written = []
+    settled = ordering.settled
+    monkeypatch.setattr(ordering, "settled", lambda df: written.append(_plan(df)) or settled(df))
+    stemmed = lexical.bm25_stemmed(docs, "k", "text", ["running", "walks"])
+    assert _plan(stemmed).count("regexp_extract_all") == 0 and sum("regexp_extract_all" in p for p in written) == 1
+    assert {r["k"] for r in stemmed.collect()} == {1, 2, 5}
