@@ -26,8 +26,9 @@ def summaries(paths: DataFrame, file_edges: DataFrame, code_edges: DataFrame, en
     rows = files.unionByName(code_out).unionByName(code_in).unionByName(alike).unionByName(declared).filter("section IS NOT NULL AND value IS NOT NULL")
     wanted = paths.select("path").distinct()
     names = ["declarations", "imports", "imported_by", "tests", "route_screens", "same_feature", "calls", "called_by", "renders", "hooks", "similar"]
-    place = F.row_number().over(Window.partitionBy("path", "section").orderBy("value"))
-    first = rows.join(wanted, "path", "left_semi").distinct().withColumn("__place", place).filter(F.col("__place") <= most)  # a task keeps `most` of a hub's rows
+    place = F.dense_rank().over(Window.partitionBy("path", "section").orderBy("value"))
+    # A task keeps the rows of `most` values of a path before any of them are sent: a hub's rows never meet in one task.
+    first = rows.withColumn("__place", place).filter(F.col("__place") <= most).select("path", "section", "value").distinct().join(wanted, "path", "left_semi")
     made = first.groupBy("path").agg(*(F.array_sort(F.collect_list(F.when(F.col("section") == n, F.col("value")))).alias(n) for n in names))
     empty = F.array().cast("array<string>")
     return wanted.join(made, "path", "left").select("path", *(F.coalesce(n, empty).alias(n) for n in names), F.coalesce("tests", empty).alias("counterparts"))

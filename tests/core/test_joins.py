@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors
-from siftwell.operators import entities, lexical, ordering, similarity
+from siftwell.operators import entities, graph, lexical, ordering, similarity
 
 from .test_reach import joined_rows
 
@@ -98,3 +98,18 @@ def test_bm25_tokenizes_each_text_once(spark, monkeypatch):
     stemmed = lexical.bm25_stemmed(docs, "k", "text", ["running", "walks"])
     assert _plan(stemmed).count("regexp_extract_all") == 0 and sum("regexp_extract_all" in p for p in written) == 1
     assert {r["k"] for r in stemmed.collect()} == {1, 2, 5}
+
+
+def test_a_hub_is_cut_before_its_rows_meet(spark):
+    edges = spark.createDataFrame([("hub", f"f{k}", "same_feature") for k in range(30)] * 2, "source_path string, target_path string, kind string")
+    code = spark.createDataFrame([], "source_path string, target_path string, source_name string, target_name string, kind string")
+    found = spark.createDataFrame([("hub", "function", "a")], "path string, kind string, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = graph.summaries(found, edges, code, found)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join LeftSemi") < plan.index("WindowGroupLimit")
+        row = made.first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert row["same_feature"] == sorted(f"f{k}" for k in range(30))[:8] and row["declarations"] == ["function a"]
