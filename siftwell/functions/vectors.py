@@ -1,9 +1,17 @@
-"""Vector arithmetic over arrays, in double precision, without Python."""
+"""Vector arithmetic over arrays, in double precision, without Python but for the hash embedding."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def _double(v: Column) -> Column:
@@ -34,15 +42,35 @@ def normalize(v: Column) -> Column:
     return F.zip_with(_double(v), F.array_repeat(factor, F.size(v)), lambda x, f: x * f)  # in a lambda, the norm would be taken for each place
 
 
+#: Distinct tokens of which a Python worker remembers the hash.
+_REMEMBERED = 100_000
+_TOKEN = re.compile("[a-z0-9_]+")
+
+
+@lru_cache(_REMEMBERED)
+def _hashed(token: str) -> tuple[int, int]:
+    """The number that gives a token's place, and its sign."""
+    sha = hashlib.sha256(token.encode()).digest()
+    return int.from_bytes(sha[:4], "big"), 1 - 2 * (sha[4] % 2)
+
+
 def hash_embedding(df: DataFrame, key: str, text: str, dimensions: int = 64) -> DataFrame:
-    """key and a unit vector of each text: each token of [a-z0-9_]+ adds 1 or -1 at a place, both from its SHA-256.
-    Tokens are summed by place before any shuffle of vectors; texts without tokens have zeros."""
-    tokens = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)).alias("token"))
-    counted = tokens.groupBy(key, "token").agg(F.count("*").alias("n")).withColumn("sha", F.sha2("token", 256))
-    place = (F.conv(F.substring("sha", 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    sign = F.when(F.conv(F.substring("sha", 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = counted.groupBy(key, place.alias("place")).agg(F.sum(sign * F.col("n")).alias("s"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("double"))
-    sums = df.select(key).join(maps.hint("merge"), key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimensions)).otherwise(vector).alias("sums"))
-    return sums.select(key, normalize(F.col("sums")).alias("embedding"))
+    """key and a unit vector of each row's text: each token of [a-z0-9_]+ adds 1 or -1 at a place, both from its SHA-256.
+    Nothing is shuffled: a text's tokens are counted where the text is read. Texts without tokens have zeros."""
+
+    def run(batches):
+        for batch in batches:
+            sums = np.zeros((batch.num_rows, dimensions))
+            for row, value in enumerate(batch.column(1)):
+                made = [0] * dimensions
+                for token, n in Counter(_TOKEN.findall(value.as_py() or "")).items():
+                    place, sign = _hashed(token)
+                    made[place % dimensions] += sign * n
+                sums[row] = made
+            size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            sums *= np.divide(1, size, out=np.zeros_like(size), where=size > 0)
+            ends = pa.array(np.arange(batch.num_rows + 1) * dimensions, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))], names=batch.schema.names)
+
+    lower = df.select(F.col(key).alias(key), F.lower(F.col(text)).alias("embedding"))
+    return lower.mapInArrow(run, StructType([lower.schema[0], StructField("embedding", ArrayType(DoubleType()))]))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import knowledge, rules
+from siftwell.functions import vectors
+from siftwell.operators import knowledge, lifecycle, rules
+from siftwell.plans import engine
+from siftwell.sources import web
 
 
 def joined_rows(spark, df) -> int:
@@ -102,3 +109,16 @@ def test_same_feature_edges_are_not_made_distinct_again(spark):
     assert sorted((r["source_path"], r["target_path"]) for r in edges.filter("kind = 'same_feature'").collect()) == want
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")
+
+
+def test_hash_embedding_shuffles_nothing(spark):
+    texts = ["the Tion the tion_2", None, "", "?! é", "les nicht " * 40]
+    made = vectors.hash_embedding(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    for key, vector in made.collect():
+        want = [0.0] * 64
+        for token in re.findall("[a-z0-9_]+", (texts[key] or "").lower()):
+            sha = hashlib.sha256(token.encode()).hexdigest()
+            want[int(sha[:8], 16) % 64] += 1 if int(sha[8:10], 16) % 2 == 0 else -1
+        size = sum(v * v for v in want) ** 0.5
+        assert vector == pytest.approx([v / size if size else 0.0 for v in want])
