@@ -122,3 +122,14 @@ def test_hash_embedding_shuffles_nothing(spark):
             want[int(sha[:8], 16) % 64] += 1 if int(sha[8:10], 16) % 2 == 0 else -1
         size = sum(v * v for v in want) ** 0.5
         assert vector == pytest.approx([v / size if size else 0.0 for v in want])
+
+
+def test_search_cuts_files_once(spark):
+    texts = [(f"src/f{k}.ts", f"export function made{k}() {{ return '{{' }}\nexport const handler = {k}\n" * 2) for k in range(8)]
+    files = spark.createDataFrame([("r", path, body, "typescript") for path, body in texts], "repo_key string, path string, content string, language string")
+    index, request = engine.build_index(files), engine.Request("where is the handler", {"current_file": ["src/f1.ts"]})
+    once = engine.search(engine.chunked(index), request)
+    assert sorted(once.columns) == sorted(engine.search(index, request).columns)
+    assert [r["chunk_id"] for r in once.collect()] == [r["chunk_id"] for r in engine.search(index, request).collect()]
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and plan.count("MapInArrow") == 1  # the vectors alone
