@@ -181,14 +181,18 @@ def capture(messages: DataFrame, message: str = "text", rewrite: Callable[[Colum
     """Learning candidates of user messages: corrections only, with the lesser of the two confidences, the status that
     follows from it, and scoped globs. Candidates that only repeat the message are left out. rewrite: makes a struct
     with fields of extract_learning of a message; what it leaves null comes from the wordings."""
-    hit = messages.filter(is_correction(F.col(message))).withColumn("l", extract_learning(F.col(message)))
+    # A message takes long for its bytes, so messages are dealt over all cores, whatever the files they come from. Rows of
+    # a generator: a filter on a plain column would go below the dealing, and cut the message up again for each field.
+    dealt = messages.repartition(4 * messages.sparkSession.sparkContext.defaultParallelism)
+    hit = dealt.select("*", F.explode(F.array(is_correction(F.col(message)))).alias("__is")).filter("__is").drop("__is")
+    hit = hit.select("*", F.explode(F.array(extract_learning(F.col(message)))).alias("l"))
     if rewrite is not None:
         hit = hit.withColumn("w", rewrite(F.col(message)))
         given = hit.schema["w"].dataType.names
         hit = hit.withColumn("l", F.struct(*(F.coalesce(F.col(f"w.{n}"), F.col(f"l.{n}")).alias(n) if n in given else F.col(f"l.{n}").alias(n) for n in hit.schema["l"].dataType.names))).drop("w")
     sure = F.least(F.col("l.confidence"), correction_confidence(F.col(message)))
     generic = (F.col("l.summary") == text.compact(F.col(message))) & F.col("l.avoid").isNull() & F.col("l.prefer").isNull() & F.col("l.path_globs").isNull()
-    out = hit.filter(~generic).withColumn("c", sure).withColumn("g", scope_globs(F.col(message), F.col("l.path_globs")))
+    out = hit.filter(~generic).select("*", F.explode(F.array(sure)).alias("c")).withColumn("g", scope_globs(F.col(message), F.col("l.path_globs")))
     fields = ["title", "summary", "rule_type", "applies_when", "avoid", "prefer", "priority"]
     return out.select(*messages.columns, *(F.col(f"l.{f}").alias(f) for f in fields), F.col("g").alias("path_globs"), F.col("c").alias("confidence"), status_for(F.col("c")).alias("status")).filter("status != 'ignored'")
 

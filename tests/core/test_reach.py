@@ -142,3 +142,11 @@ def test_upsert_files_joins_once(spark):
     assert len(re.findall(r"\bJoin\b", out._jdf.queryExecution().optimizedPlan().toString())) == 1
     got = {r["path"]: (r["file_hash"], r["is_generated"], r["last_indexed_at"].year, r["updated_at"].year, r["deleted_at"]) for r in out.collect()}
     assert got == {"a": (1, True, 2030, 2024, None), "b": (9, False, 2030, 2030, None), "c": (3, True, 2030, 2030, None), "d": (4, None, 2024, 2024, None), "e": (5, False, 2030, 2030, None)}
+
+
+def test_capture_cuts_a_message_up_once(spark):
+    said = spark.createDataFrame([("please use dayjs instead of using moment",), ("why is it so slow?",), (None,), ("",)], "text string")
+    out = knowledge.capture(said)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and not any("regexp_extract" in line for line in plan.split("\n") if "Filter" in line)
+    assert [(r["avoid"], r["prefer"], r["status"]) for r in out.collect()] == [("moment", "dayjs", "active")]
