@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -83,21 +82,22 @@ def _read(html: str | None, markdown: bool) -> str | None:
     return "\n".join(out).strip()
 
 
-def _as_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: _read(h, False))
+def _as_text(html: str | None) -> str | None:
+    return _read(html, False)
 
 
-def _as_markdown(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: _read(h, True))
+def _as_markdown(html: str | None) -> str | None:
+    return _read(html, True)
 
 
+# Row by row, not over Arrow: a worker then holds some rows, and not as many pages and results as an Arrow batch has rows.
 def html_to_text(html: Column) -> Column:
     """Visible text by blocks; scripts, styles and the head are left out, links lose their targets."""
-    return F.pandas_udf(_as_text, StringType())(html)
+    return F.udf(_as_text, StringType(), useArrow=False)(html)
 
 
 def html_to_markdown(html: Column) -> Column:
-    return F.pandas_udf(_as_markdown, StringType())(html)
+    return F.udf(_as_markdown, StringType(), useArrow=False)(html)
 
 
 def html_words(html: Column) -> Column:

@@ -150,3 +150,11 @@ def test_capture_cuts_a_message_up_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan and not any("regexp_extract" in line for line in plan.split("\n") if "Filter" in line)
     assert [(r["avoid"], r["prefer"], r["status"]) for r in out.collect()] == [("moment", "dayjs", "active")]
+
+
+def test_markdown_holds_no_batch_of_pages(spark):
+    pages = spark.createDataFrame([("<h1>a</h1><p>b <b>c</b>",), (None,)], "html string")
+    out = pages.select(web.html_to_markdown(F.col("html")).alias("m"), web.html_to_text(F.col("html")).alias("t"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [tuple(r) for r in out.collect()] == [("# a\n\nb **c**", "a\n\nb c"), (None, None)]
