@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors
-from siftwell.operators import entities, graph, lexical, ordering, similarity
+from siftwell.operators import entities, graph, lexical, ordering, rules, similarity
 
 from .test_reach import joined_rows
 
@@ -113,3 +113,12 @@ def test_a_hub_is_cut_before_its_rows_meet(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert row["same_feature"] == sorted(f"f{k}" for k in range(30))[:8] and row["declarations"] == ["function a"]
+
+
+def test_rules_of_many_salts_are_not_sent_whole(spark):
+    imports = spark.range(20).selectExpr("id AS diff_id", "'a.ts' AS path", "concat('tool', id % 3, '/x') AS source", "concat('from tool', id % 3) AS line", "1 AS line_no")
+    made = spark.range(30).selectExpr("concat('r', id) AS rule_id", "'forbidden_import' AS rule_kind", "concat('tool', id % 3) AS pattern", "'m' AS message", "CAST(NULL AS array<string>) AS path_globs", "'error' AS severity", "'active' AS status")
+    found = rules.forbidden_imports(imports, made)
+    assert "Broadcast" not in _plan(found)  # a rule stands in every salt, which a planner doesn't see
+    assert joined_rows(spark, found) == 200
+    assert {(r["diff_id"], r["rule_id"]) for r in found.collect()} == {(d, f"r{k}") for d in range(20) for k in range(30) if d % 3 == k % 3}
