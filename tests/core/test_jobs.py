@@ -11,6 +11,7 @@ from siftwell.plans import stored as stored_index
 from siftwell.sources.store import Store
 
 from .test_operators import MODULE, files
+from .test_reach import joined_rows
 
 GLOBS = ["src/**", "./src/gen", "gen", "*.PNG", "**/*.test.ts", "packages/*/src/**", "readme_?.md", "**/gen/*.json", "{a,b}/**", "[ab]*", "**", "*", "", "  ", "src/a.ts", "docs/", "**/.hidden", "*.d.ts", "{src/gen,packages/*/lib}/**", "!src/**", "+(a|b).ts", "**/[[:lower:]].!(js|ts)", "#x", "{a,readme_{1..3}}.{md,test.ts}", "[id].ts", "x/{gen,y.d.ts}"]
 PATHS = ["src/a.ts", "./src/gen/x.json", "src\\gen\\y.json", "gen/z.ts", "x/gen", "img/a.PNG", "dir.PNG/f", "a.test.ts", "deep/er/b.test.ts", "packages/en/src/m.js", "packages/en/lib/m.js", "readme_1.md", "docs/readme_22.md", "a/q", "b", "c/.hidden", "t.d.ts", "x/y.d.ts", "app/[id].ts", "d/#x", "b.ts"]
@@ -132,6 +133,28 @@ def test_review_finds_code_that_is_there(spark):
     assert [(r["diff_id"], r["path"]) for r in got] == [(1, "src/new.ts")] and got[0]["evidence"].startswith("similar to lib/money.ts:1-4 (")
 
 
+def test_review_counts_make_warnings_of_like_rules_once(spark):
+    lines = ["+import x from 'moment/min'", "+import y from 'other'", "-old"]
+    diffs = spark.createDataFrame([(k, "\n".join([f"diff --git a/{p} b/{p}", f"--- a/{p}", f"+++ b/{p}", "@@ -1 +1,2 @@", *lines])) for k, p in enumerate(f"{d}/f{n}.ts" for d in ("src", "gen", "tests/unit") for n in range(10))], "diff_id long, diff string")
+    kinds = [("avoid_pattern", "moment", None), ("avoid_pattern", "other", None), ("generated_code", "editing gen/", None), ("testing_convention", None, "add tests under tests/unit")]
+    learned = spark.createDataFrame([(f"{k}", "r", *kinds[k % 4][:1], "t", "s", *kinds[k % 4][1:], None, 0.9, "draft" if k % 10 == 9 else "active") for k in range(200)], "learning_id string, repo_key string, rule_type string, title string, summary string, avoid string, prefer string, path_globs array<string>, confidence double, status string")
+    index = engine.Index(*[None] * 6)
+    want = sorted(map(tuple, rules.warning_counts(engine.review(index, diffs, learned)).collect()))
+    made = engine.review_counts(index, diffs, learned)
+    assert sorted(map(tuple, made.collect())) == want and want[0] == (0, 90, 40) and want[10] == (10, 140, 40) and want[20] == (20, 90, 0)
+    assert joined_rows(spark, made) <= 200  # all warnings are over 3,000
+    one = rules.make_rules(learned.filter("learning_id = '0'"))
+    twice = engine.review_counts(index, diffs, learned, rules_extra=one)  # an id that stands for two rules
+    assert sorted(map(tuple, twice.collect())) == want
+
+
+def test_review_without_blocks_makes_no_chunks(spark, monkeypatch):
+    diffs = spark.createDataFrame([(1, "diff --git a/a.ts b/a.ts\n--- a/a.ts\n+++ b/a.ts\n@@ -1 +1,2 @@\n+const x = 1")], "diff_id long, diff string")
+    index = engine.build_index(files(spark, a_dot_ts="export const z = 1\n"))
+    monkeypatch.setattr(engine, "similar_code", lambda *_: pytest.fail("searched"))
+    assert engine.dry_warnings(index, diffs).count() == 0
+
+
 def test_extractors_and_rewriters_of_the_caller(spark):
     made = files(spark, a_dot_py="def f(): pass\ndef g(): pass\n", b_dot_ts="export const z = 1\n")
 
