@@ -148,6 +148,18 @@ def test_review_counts_make_warnings_of_like_rules_once(spark):
     assert sorted(map(tuple, twice.collect())) == want
 
 
+def test_review_finds_what_only_terms_find(spark):
+    """Vectors that put five other files first."""
+    name = lambda n: f"export function load_{n}(x: number) {{\n  return made_{n}(x) + helper_{n}(x)\n}}\n"
+    made = files(spark, **{f"lib__f{n}_dot_ts": name(n) for n in range(20)})
+    ranked = F.expr("array(1.0D, IF(content LIKE '%load_19(%', 0.5D, 0.0D))")
+    blind = lambda df, key, text: df.withColumn("content", F.col(text)).select(key, ranked.alias("embedding") if key == "chunk_id" else F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    body = "function load_19(x: number) {\n  return made_19(x) + helper_19(x)\n  // ------------------------------------\n}"
+    diffs = spark.createDataFrame([(1, "diff --git a/n.ts b/n.ts\n--- a/n.ts\n+++ b/n.ts\n@@ -1 +1,4 @@\n" + "\n".join("+" + x for x in body.split("\n")))], "diff_id long, diff string")
+    got = engine.dry_warnings(engine.build_index(made, blind), diffs).collect()
+    assert len(got) == 1 and got[0]["evidence"] == "similar to lib/f19.ts:1-3 (fts_match)"
+
+
 def test_review_without_blocks_makes_no_chunks(spark, monkeypatch):
     diffs = spark.createDataFrame([(1, "diff --git a/a.ts b/a.ts\n--- a/a.ts\n+++ b/a.ts\n@@ -1 +1,2 @@\n+const x = 1")], "diff_id long, diff string")
     index = engine.build_index(files(spark, a_dot_ts="export const z = 1\n"))
