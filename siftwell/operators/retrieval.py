@@ -13,10 +13,14 @@ from ..functions import paths, text, vectors
 from . import ordering
 
 LEXICAL_SHARE, VECTOR_SHARE = 0.45, 0.55
-#: Most queries, and rows, that a task of vector_top_k_each compares at once, on average.
-QUERY_BLOCK, ROW_BLOCK = 1000, 10_000
+#: Most distinct vectors of queries, and of rows, that a task of vector_top_k_each compares at once, on average, and the blocks
+#: that fewer are dealt over, if each gets LEAST_BLOCK.
+QUERY_BLOCK, ROW_BLOCK = 20_000, 20_000
+LEAST_BLOCK, LEAST_BLOCKS = 500, 8
 #: Queries that a task multiplies with its rows at once.
 BATCH = 100
+#: Rows of which only the best is looked at for what a query's least place takes.
+SHARE = 32
 # Words that make a query ask for documentation, or for code.
 _DOC_QUERY = r"\b(readme|docs?|documentation|guide|usage|overview)\b"
 _CODE_QUERY = r"\b(where|how|built|implemented?|implementation|code|function|class|method|call|calls|prompt|review|graph|context|changed files?|handler|command|tool|worker|index(?:ed|er|ing)?|retriev(?:e|al)|rank(?:ing)?)\b"
@@ -58,15 +62,30 @@ def vector_top_k(items: DataFrame, query: list[float], k: int, key: str, embeddi
 
 def vector_top_k_each(items: DataFrame, queries: DataFrame, k: int, key: str, embedding: str = "embedding") -> DataFrame:
     """query, key and similarity of the k nearest rows of items with a positive cosine, for each row of queries (query,
-    and a vector of the same length in `embedding`); similarities are rounded to 12 digits, ties go by key. Queries and rows are dealt over
-    blocks; a task compares one block of each, so none holds more, and hands on k rows a query."""
-    cut = lambda df, each: max(1, -(-df.count() // each))
-    ps, qs = cut(queries, QUERY_BLOCK), cut(items, ROW_BLOCK)
+    and a vector of the same length in `embedding`); similarities are rounded to 12 digits, ties go by key.
+
+    Equal vectors are compared once, under the least key of each side; what comes out is then given to all queries of a
+    vector, and a row's vector stands for its k first keys, so nothing of the k best is lost. Distinct vectors are dealt over
+    blocks; a task compares one block of each side, so none holds more, and hands on k rows a query. As a vector is
+    sent once to each block of the other side, blocks are as large as a task holds well."""
+    vector = F.col(embedding).cast("array<double>").alias("v")
+    asked = queries.filter(F.col(embedding).isNotNull()).select("query", vector)
+    some = ordering.settled(asked.groupBy("v").agg(F.min("query").alias("query")))
+    first = Window.partitionBy("v").orderBy("key")
+    rows = items.filter(F.col(embedding).isNotNull()).select(F.col(key).alias("key"), vector)
+    rows = rows.select("key", "v", F.row_number().over(first).alias("n"), F.first("key").over(first).alias("of")).filter(F.col("n") <= k)
+    rows = ordering.settled(rows.select("of", "key", F.when(F.col("n") == 1, F.col("v")).alias("v")))
+    rare = rows.filter("v IS NOT NULL").select("key", "v")
+
+    def cut(df: DataFrame, most: int) -> int:
+        n = df.count()
+        return max(1, -(-n // most), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK)))
+
+    ps, qs = cut(some, QUERY_BLOCK), cut(rare, ROW_BLOCK)
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vector = F.col(embedding).cast("array<double>").alias("v")
-    left = queries.select(slot("query", ps).alias("p"), each(qs).alias("q"), "query", vector)
-    right = items.select(each(ps).alias("p"), slot(key, qs).alias("q"), F.col(key).alias("key"), vector)
+    left = some.select(slot("query", ps).alias("p"), each(qs).alias("q"), "query", "v")
+    right = rare.select(each(ps).alias("p"), slot("key", qs).alias("q"), "key", "v")
 
     def unit(vectors: pd.Series, width: int) -> np.ndarray:
         out = np.zeros((len(vectors), width))
@@ -80,11 +99,14 @@ def vector_top_k_each(items: DataFrame, queries: DataFrame, k: int, key: str, em
         rows = rows.sort_values("key", kind="stable")
         width = max((len(v) for s in (some["v"], rows["v"]) for v in s if v is not None), default=0)
         one, two = unit(some["v"], width), unit(rows["v"], width)
+        two = np.vstack([two, np.zeros((-len(two) % SHARE, two.shape[1]))])  # cosines of 0 never come out
         keys, found = rows["key"].to_numpy(), []
         for start in range(0, len(some), BATCH):
             names, all_near = some["query"].to_numpy()[start : start + BATCH], one[start : start + BATCH] @ two.T
-            # What may be among the k best after rounding: most rows are neither rounded nor sorted.
-            least = np.partition(all_near, -k, axis=1)[:, -k] if k < len(rows) else np.full(len(names), -np.inf)
+            # What may be among the k best after rounding: most rows are neither rounded nor sorted. The k-th of the best of
+            # each share of the rows is never above the k-th of all.
+            tops = all_near.reshape(len(names), SHARE, -1).max(axis=1)
+            least = np.partition(tops, -k, axis=1)[:, -k] if k < tops.shape[1] else np.full(len(names), -np.inf)
             for name, near, least_near in zip(names, all_near, least, strict=True):
                 some_rows = np.flatnonzero(near >= max(least_near - 1e-11, 0.0))
                 rounded = np.round(near[some_rows], 12)
@@ -95,8 +117,11 @@ def vector_top_k_each(items: DataFrame, queries: DataFrame, k: int, key: str, em
 
     schema = f"query {queries.schema['query'].dataType.simpleString()}, key {items.schema[key].dataType.simpleString()}, similarity double"
     made = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(compare, schema)
-    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key"))
-    return made.withColumn("n", n).filter(F.col("n") <= k).select("query", F.col("key").alias(key), "similarity")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key"))
+    best = lambda df: df.withColumn("n", place).filter(F.col("n") <= k).drop("n")
+    near = best(made).withColumnRenamed("key", "of").join(ordering.merged(rows.select("of", "key")), "of")
+    near = best(near.select("query", "key", "similarity")).join(ordering.merged(some), "query").drop("query")
+    return asked.join(ordering.merged(near), "v").select("query", F.col("key").alias(key), "similarity")
 
 
 def top_per_path(chunks: DataFrame, most: int, path: str = "path", order: tuple[str, ...] = ("start_line", "chunk_id")) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors
-from siftwell.operators import entities, graph, lexical, ordering, rules, similarity
+from siftwell.operators import entities, graph, lexical, ordering, retrieval, rules, similarity
 
 from .test_reach import joined_rows
 
@@ -122,3 +122,38 @@ def test_rules_of_many_salts_are_not_sent_whole(spark):
     assert "Broadcast" not in _plan(found)  # a rule stands in every salt, which a planner doesn't see
     assert joined_rows(spark, found) == 200
     assert {(r["diff_id"], r["rule_id"]) for r in found.collect()} == {(d, f"r{k}") for d in range(20) for k in range(30) if d % 3 == k % 3}
+
+
+def _compared(spark, df) -> int:
+    """The most rows that an exchange below a cogroup writes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        counts = []
+
+        def walk(node, inside):
+            inside = inside or "CoGroups" in node.nodeName()
+            if inside and node.nodeName() == "Exchange":
+                counts.append(node.metrics().apply("shuffleRecordsWritten").value())
+            for k in range(node.children().size()):
+                walk(node.children().apply(k), inside)
+
+        list(map(tuple, df.collect()))
+        walk(df._jdf.queryExecution().executedPlan(), False)
+        return max(counts)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_equal_vectors_are_compared_once(spark):
+    items = spark.range(3000).selectExpr("id", "array(CAST(id % 7 AS DOUBLE), CAST(id % 11 AS DOUBLE) - 5, 1.0D) AS embedding")
+    queries = items.filter("id < 2000").withColumnRenamed("id", "query")
+    found = retrieval.vector_top_k_each(items, queries, 4, "id")
+    assert _compared(spark, found) <= 200  # there are 77 vectors
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], []).append((-r["similarity"], r["id"]))
+    assert len(got) == 2000
+    for q in (0, 5, 76, 1999):
+        alone = retrieval.vector_top_k(items, queries.filter(f"query = {q}").first()["embedding"], 3000, "id").collect()
+        assert sorted(got[q]) == sorted((-round(r["similarity"], 12), r["id"]) for r in alone)[:4]
