@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors
-from siftwell.operators import entities, graph, lexical, ordering, retrieval, rules, similarity
+from siftwell.operators import entities, graph, knowledge, lexical, ordering, retrieval, rules, similarity
 
 from .test_reach import joined_rows
 
@@ -157,3 +157,19 @@ def test_equal_vectors_are_compared_once(spark):
     for q in (0, 5, 76, 1999):
         alone = retrieval.vector_top_k(items, queries.filter(f"query = {q}").first()["embedding"], 3000, "id").collect()
         assert sorted(got[q]) == sorted((-round(r["similarity"], 12), r["id"]) for r in alone)[:4]
+
+
+def test_rows_of_agreeing_phrases_are_dealt_and_met_once(spark):
+    rows = spark.range(300).selectExpr("'g' AS g", "(id * 7) % 300 AS id", "IF(id % 3 = 0, 'brand11 size1', IF(id % 3 = 1, 'brand11 size12', 'brand11 size2')) AS phrase")
+    found = knowledge.compatible_pairs(rows, "g", "id", "phrase")
+    by = {r["id"]: r["phrase"] for r in rows.collect()}
+    want = sorted((a, b) for a in by for b in by if a < b and (by[a] in by[b] or by[b] in by[a]))
+    assert sorted(map(tuple, found.collect())) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(found)
+        tasks = [n for _, n in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Broadcast" not in plan[: plan.index("Exchange")] and "SortMergeJoin" in plan  # the planner would take the rows for few
+    assert len(tasks) == 4 and max(tasks) < len(want) / 2
